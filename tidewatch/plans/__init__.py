@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["traffic"]
+GROUPS = ["traffic", "urls"]
 
 
 def load_catalog():
