@@ -1,7 +1,8 @@
 """Ordered scans and exact order statistics that do not depend on one task per key.
 
-A running value over a key is computed in two levels. Rows carry an ordinal block
-(``ordinal // BLOCK_ROWS``), so a (key, block) group is bounded however hot the key is:
+A running value over a key is computed in two levels. Keys with more than ``BLOCK_ROWS``
+rows are cut into blocks of consecutive rows, so a (key, block) group is bounded however
+hot the key is; all other keys are one block.
 
 1. inside each (key, block) a normal window runs,
 2. one summary row per (key, block) is scanned per key, which is smaller by the block size,
@@ -19,9 +20,29 @@ from tidewatch.runtime import BLOCK_ROWS
 BLOCK = "_blk"
 
 
-def with_block(df: DataFrame, ordinal: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add the ordinal block; ``ordinal`` is unique, so a block holds at most ``rows`` rows."""
-    return df.withColumn(BLOCK, F.floor(F.col(ordinal) / F.lit(rows)).cast("bigint"))
+def with_block(df: DataFrame, keys: list[str], ordinal: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add the block of every row; ``ordinal`` is a unique whole number that orders rows.
+
+    A block of a hot key spans ``rows`` ordinals and so holds at most ``rows`` rows. Keys
+    are counted with a map-side combine, and the hot ones are at most ``n / rows``; the
+    planner broadcasts that list when its measured size allows.
+    """
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    block = F.when(F.col("_n").isNotNull(), F.floor(F.col(ordinal) / F.lit(rows)).cast("bigint")).otherwise(0)
+    return df.join(hot, keys, "left").select(*df.columns, block.alias(BLOCK))
+
+
+def with_time_block(df: DataFrame, keys: list[str], seconds: Column, rows: int = BLOCK_ROWS) -> DataFrame:
+    """As ``with_block`` for rows that only have a time: a hot key is cut into equal spans,
+    as many as give ``rows`` rows per block on average."""
+    timed = df.withColumn("_t", seconds.cast("double"))
+    hot = (
+        timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+        .where(F.col("_n") > rows)
+    )
+    share = F.try_divide(F.col("_t") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    block = F.coalesce(F.floor(share * F.ceil(F.col("_n") / F.lit(rows))).cast("bigint"), F.lit(0).cast("bigint"))
+    return timed.join(hot, keys, "left").select(*df.columns, block.alias(BLOCK))
 
 
 def running_totals(
@@ -46,6 +67,22 @@ def running_totals(
     )
 
 
+def running_last(
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]
+) -> DataFrame:
+    """Latest non-null value of each expression up to and including the row, per key."""
+    local = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    scanned = df.select("*", *[F.last(c, ignorenulls=True).over(local).alias(f"_run_{n}") for n, c in values.items()])
+    at = F.struct(*order)
+    ends = df.groupBy(*keys, BLOCK).agg(*[
+        F.max_by(c, F.when(c.isNotNull(), at)).alias(f"_end_{n}") for n, c in values.items()])
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, BLOCK, *[
+        F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_car_{n}") for n in values])
+    joined = scanned.join(carried, [*keys, BLOCK])
+    return joined.select(*df.columns, *[F.coalesce(f"_run_{n}", f"_car_{n}").alias(n) for n in values])
+
+
 def order_statistics(
     df: DataFrame, value: str, picks: dict[str, Column], group: str | None = None,
     buckets: int = 4096,

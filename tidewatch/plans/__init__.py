@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["traffic", "urls"]
+GROUPS = ["traffic", "urls", "quality", "flows"]
 
 
 def load_catalog():

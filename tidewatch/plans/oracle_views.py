@@ -98,9 +98,11 @@ domain_facts AS (SELECT domain, length(domain) % 4 <> 0 AS dns_ok,
  FROM (SELECT DISTINCT regexp_extract(url, '^https?://([^/:?#]*)', 1) AS domain FROM pages) WHERE length(domain) % 7 <> 0)"""
 
 VIEWS["host_lists"] = f"""
-host_lists AS (SELECT DISTINCT {_HOST} AS ip, CAST(1 AS BIGINT) AS seq, CASE WHEN user_id % 11 = 0 THEN 'whitelist' ELSE 'blacklist' END AS list_name
-  FROM events e WHERE user_id % 11 < 3
- UNION ALL SELECT DISTINCT {_HOST}, CAST(2 AS BIGINT), 'whitelist' FROM events e WHERE user_id % 33 = 1)"""
+hosts AS (SELECT DISTINCT user_id AS no, {_HOST} AS ip FROM events e UNION ALL
+  SELECT s_suppkey, concat('10.1.', CAST(CAST(floor(s_suppkey / 250) AS INT) AS VARCHAR), '.', CAST(s_suppkey % 250 AS VARCHAR)) FROM supplier),
+host_lists AS (SELECT ip, CAST(1 AS BIGINT) AS seq, CASE WHEN no % 11 = 0 THEN 'whitelist' ELSE 'blacklist' END AS list_name
+  FROM hosts WHERE no % 11 < 3
+ UNION ALL SELECT ip, CAST(2 AS BIGINT), 'whitelist' FROM hosts WHERE no % 33 = 1)"""
 
 VIEWS["predictions"] = """
 predictions AS (SELECT id, CAST(threat_type <> 'benign' AS INT) AS y_true, CAST(risk_score >= 0.5 AS INT) AS y_pred, risk_score AS score FROM traffic)"""

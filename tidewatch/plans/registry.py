@@ -28,7 +28,7 @@ class Tables:
             "rich_pages": lambda: views.rich_pages(self.pages),
             "urls": lambda: views.urls(self.pages),
             "domain_facts": lambda: views.domain_facts(self.pages),
-            "host_lists": lambda: views.host_lists(self.events),
+            "host_lists": lambda: views.host_lists(self.events, self.supplier),
             "predictions": lambda: views.predictions(self.traffic),
             "decisions": lambda: views.decisions(self.traffic),
             "model_scores": lambda: views.model_scores(self.traffic),

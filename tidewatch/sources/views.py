@@ -189,13 +189,18 @@ def domain_facts(pages: DataFrame) -> DataFrame:
     )
 
 
-def host_lists(events: DataFrame) -> DataFrame:
+def host_lists(events: DataFrame, supplier: DataFrame) -> DataFrame:
     """Maintenance log of the address lists: one entry per listed host, some re-listed."""
-    hosts = events.select("user_id").distinct().select("user_id", _event_host().alias("ip"))
-    first = hosts.where(F.col("user_id") % 11 < 3).select(
+    no = F.col("s_suppkey")
+    inner = F.concat(F.lit("10.1."), F.floor(no / 250).cast("int").cast("string"), F.lit("."), (no % 250).cast("string"))
+    hosts = (
+        events.select("user_id").distinct().select(F.col("user_id").alias("no"), _event_host().alias("ip"))
+        .unionByName(supplier.select(no.alias("no"), inner.alias("ip")))
+    )
+    first = hosts.where(F.col("no") % 11 < 3).select(
         "ip", F.lit(1).cast("bigint").alias("seq"),
-        F.when(F.col("user_id") % 11 == 0, "whitelist").otherwise("blacklist").alias("list_name"))
-    again = hosts.where(F.col("user_id") % 33 == 1).select(
+        F.when(F.col("no") % 11 == 0, "whitelist").otherwise("blacklist").alias("list_name"))
+    again = hosts.where(F.col("no") % 33 == 1).select(
         "ip", F.lit(2).cast("bigint").alias("seq"), F.lit("whitelist").alias("list_name"))
     return first.unionByName(again)
 
