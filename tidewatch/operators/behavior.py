@@ -85,7 +85,7 @@ def running_profiles(contacts: DataFrame, order: list[str]) -> DataFrame:
     for c in ("bytes_sent", "bytes_recv", "packets_sent", "packets_recv"):
         measures[f"run_{c}"] = F.coalesce(c, F.lit(0))
     for name, number in PROTOCOLS.items():
-        measures[name] = F.coalesce((F.col("protocol") == number).cast("bigint"), F.lit(0))
+        measures[name] = F.coalesce((F.col("protocol") == number).cast("bigint"), F.lit(0)) * F.col("_is_row")
     for k in kinds:
         measures[k] = F.coalesce(f"_{k}", F.lit(0.0))
     run = running_totals(both, ["src_ip"], [*order, "_is_row"], measures).where("_is_row = 1")

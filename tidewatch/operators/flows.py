@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.flow import closes_flow, flow_key, has_flag, swapped
 from tidewatch.operators.scans import BLOCK, running_last, running_totals, with_block
@@ -187,7 +188,7 @@ def assign_samples(packets: DataFrame, size: int = 10, span: float = 10.0, block
             pdf["sample_no"] = out
             yield pdf[names]
 
-    schema = entered.select(*rows.columns).schema.add("sample_no", "bigint")
+    schema = entered.select(*rows.columns).schema.add("sample_no", T.LongType())
     return entered.mapInPandas(number, schema)
 
 

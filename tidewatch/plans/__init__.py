@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["traffic", "urls", "quality", "flows"]
+GROUPS = ["traffic", "urls", "quality", "flows", "vectors"]
 
 
 def load_catalog():
