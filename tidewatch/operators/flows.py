@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.flow import closes_flow, flow_key, has_flag, swapped
-from tidewatch.operators.scans import BLOCK, running_last, running_totals, with_block
+from tidewatch.operators.scans import BLOCK, previous_value, running_last, running_totals, with_block
 from tidewatch.runtime import BLOCK_ROWS
 
 KEY = "flow_key"
@@ -25,14 +25,9 @@ def assemble(packets: DataFrame, idle: float = 60.0, block_rows: int = BLOCK_ROW
     """Number the flows of every key: a flow ends after ``idle`` seconds without a packet
     or with a FIN/RST packet. Adds ``flow_seq`` (from 1) and ``starts``."""
     rows = with_block(keyed(packets), [KEY], "pkt_no", block_rows)
-    local = Window.partitionBy(KEY, BLOCK).orderBy("pkt_no")
-    ends = rows.groupBy(KEY, BLOCK).agg(F.max_by(F.struct("ts_s", "tcp_flags"), "pkt_no").alias("_end"))
-    before = Window.partitionBy(KEY).orderBy(BLOCK)
-    carried = ends.select(KEY, BLOCK, F.lag("_end").over(before).alias("_car"))
-    prev = F.coalesce(F.lag(F.struct("ts_s", "tcp_flags")).over(local), F.col("_car"))
-    seen = rows.join(carried, [KEY, BLOCK]).withColumn("_prev", prev)
+    seen = previous_value(rows, [KEY], ["pkt_no"], F.struct("ts_s", "tcp_flags"), "_prev")
     fresh = F.col("_prev").isNull() | (F.col("ts_s") - F.col("_prev.ts_s") > idle) | closes_flow(F.col("_prev.tcp_flags"))
-    marked = seen.withColumn("starts", F.coalesce(fresh, F.lit(True)).cast("int")).drop("_prev", "_car")
+    marked = seen.withColumn("starts", F.coalesce(fresh, F.lit(True)).cast("int")).drop("_prev")
     return running_totals(marked, [KEY], ["pkt_no"], {"flow_seq": F.col("starts")})
 
 

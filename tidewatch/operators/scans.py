@@ -45,6 +45,20 @@ def with_time_block(df: DataFrame, keys: list[str], seconds: Column, rows: int =
     return timed.join(hot, keys, "left").select(*df.columns, block.alias(BLOCK))
 
 
+def with_global_block(df: DataFrame, ordinal: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Blocks of a scan over the whole table in ordinal order."""
+    return df.withColumn(BLOCK, F.floor(F.col(ordinal) / F.lit(rows)).cast("bigint"))
+
+
+def previous_value(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """Value of the row before, per key and across blocks; null on the first row of a key."""
+    local = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    ends = df.groupBy(*keys, BLOCK).agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    carried = ends.select(*keys, BLOCK, F.lag("_end").over(Window.partitionBy(*keys).orderBy(BLOCK)).alias("_car"))
+    within = df.withColumn("_lag", F.lag(value).over(local))
+    return within.join(carried, [*keys, BLOCK]).select(*df.columns, F.coalesce("_lag", "_car").alias(out))
+
+
 def running_totals(
     df: DataFrame, keys: list[str], order: list[str], measures: dict[str, Column]
 ) -> DataFrame:

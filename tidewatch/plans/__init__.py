@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["traffic", "urls", "quality", "flows", "vectors"]
+GROUPS = ["traffic", "urls", "quality", "flows", "vectors", "policy"]
 
 
 def load_catalog():
