@@ -120,36 +120,49 @@ def damped_sums(rows: DataFrame, sums: dict[str, Column], rates: list[float] = R
     ``rows`` hold channel, key, pkt_no and ts_s. Adds ``<name>_<i>`` per sum and rate. A
     packet older than the newest one of its key is added without fading.
     """
+    return damped_step(rows, sums, rates, block_rows)[0]
+
+
+def damped_step(rows: DataFrame, sums: dict[str, Column], rates: list[float] = RATES,
+                block_rows: int = BLOCK_ROWS, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``damped_sums`` continued from the state ``before`` (channel, key, tau, s0..), and
+    the state after the rows. The state before counts as one more block of its key."""
     names, r = list(sums), len(rates)
+    states = [f"s{i}" for i in range(len(names) * r)]
     keyed = with_block(rows, GROUP, "pkt_no", block_rows)
     by_key = Window.partitionBy(*GROUP).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     newest = keyed.groupBy(*GROUP, BLOCK).agg(F.max("ts_s").alias("_hi"))
+    if before is not None:
+        before = before.withColumn(BLOCK, F.lit(-1).cast("bigint"))
+        newest = newest.unionByName(before.select(*GROUP, BLOCK, F.col("tau").alias("_hi")))
     entered = newest.withColumn("tau_in", F.max("_hi").over(by_key)).where("tau_in IS NOT NULL").drop("_hi")
     inputs = keyed.join(entered, [*GROUP, BLOCK], "left").withColumns({f"_x{i}": c.cast("double") for i, c in enumerate(sums.values())})
     plain = [f"_x{i}" for i in range(len(names))]
-    states = [f"s{i}" for i in range(len(names) * r)]
     base = [f for f in inputs.schema.fields if f.name not in plain]
     schema = T.StructType([*base, T.StructField("tau", T.DoubleType()), *[T.StructField(s, T.DoubleType()) for s in states]])
     local = (
         inputs.repartition(*GROUP, BLOCK).sortWithinPartitions(*GROUP, BLOCK, "pkt_no")
         .mapInPandas(_scanner([*GROUP, BLOCK], "ts_s", "tau_in", plain, rates, True), schema)
     )
-    # the state at the end of every block of the keys that have several
-    spans = keyed.groupBy(*GROUP).agg(F.count_distinct(BLOCK).alias("_b")).where("_b > 1").drop("_b")
-    ends = (
-        local.join(spans, GROUP, "left_semi").groupBy(*GROUP, BLOCK)
-        .agg(F.max_by(F.struct("tau", *states), "pkt_no").alias("e")).select(*GROUP, BLOCK, "e.*")
-    )
+    # the state at the end of every block, one row per (key, block)
+    ends = local.groupBy(*GROUP, BLOCK).agg(F.max_by(F.struct("tau", *states), "pkt_no").alias("e")).select(*GROUP, BLOCK, "e.*")
+    if before is not None:
+        ends = ends.unionByName(before.select(*GROUP, BLOCK, "tau", *states))
     chain_schema = T.StructType([f for f in ends.schema.fields if f.name not in states and f.name != "tau"]
                                 + [T.StructField("at", T.DoubleType()), T.StructField("tau", T.DoubleType())]
                                 + [T.StructField(s, T.DoubleType()) for s in states])
-    chained = (
-        ends.withColumnRenamed("tau", "at").select(*GROUP, BLOCK, "at", *states)
-        .repartition(*GROUP).sortWithinPartitions(*GROUP, BLOCK)
-        .mapInPandas(_scanner(GROUP, "at", None, states, rates, False), chain_schema)
-    )
+
+    def chain(some: DataFrame) -> DataFrame:
+        return (
+            some.withColumnRenamed("tau", "at").select(*GROUP, BLOCK, "at", *states)
+            .repartition(*GROUP).sortWithinPartitions(*GROUP, BLOCK)
+            .mapInPandas(_scanner(GROUP, "at", None, states, rates, False), chain_schema))
+
+    several = newest.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_b")).where("_b > 1").drop("_b")
     previous = Window.partitionBy(*GROUP).orderBy(BLOCK)
-    carry = chained.select(*GROUP, BLOCK, *[F.lag(s).over(previous).alias(f"_c{s}") for s in states]).where("_cs0 IS NOT NULL")
+    carry = (
+        chain(ends.join(several, GROUP, "left_semi"))
+        .select(*GROUP, BLOCK, *[F.lag(s).over(previous).alias(f"_c{s}") for s in states]).where("_cs0 IS NOT NULL"))
     joined = local.join(carry, [*GROUP, BLOCK], "left")
     fade = [F.coalesce(F.exp(F.lit(-rate) * (F.col("tau") - F.col("tau_in"))), F.lit(0.0)) for rate in rates]
     out = []
@@ -157,7 +170,8 @@ def damped_sums(rows: DataFrame, sums: dict[str, Column], rates: list[float] = R
         for i in range(r):
             s = f"s{j * r + i}"
             out.append((F.col(s) + F.coalesce(F.col(f"_c{s}"), F.lit(0.0)) * fade[i]).alias(f"{name}_{i}"))
-    return joined.select(*rows.columns, *out)
+    after = chain(ends).groupBy(*GROUP).agg(F.max_by(F.struct("tau", *states), BLOCK).alias("e")).select(*GROUP, "e.*")
+    return joined.select(*rows.columns, *out), after
 
 
 def mean(w: Column, s: Column) -> Column:
@@ -172,15 +186,23 @@ def covariance(w: Column, s: Column, s2: Column, c: Column) -> Column:
     return F.when(w < 2, 0.0).otherwise(c / w - (s / w) * (s2 / w))
 
 
-def damped_statistics(rows: DataFrame, rates: list[float] = RATES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Weight, mean and deviation at every rate, as of every packet of a channel."""
+def statistic_sums() -> dict[str, Column]:
     v = F.col("value")
-    d = damped_sums(rows, {"w": F.lit(1.0), "s": v, "q": v * v}, rates, block_rows)
+    return {"w": F.lit(1.0), "s": v, "q": v * v}
+
+
+def statistics_of(sums: DataFrame, keep: list[str], n: int) -> DataFrame:
+    """Weight, mean and deviation from the faded sums."""
     stats = []
-    for i in range(len(rates)):
+    for i in range(n):
         w, s, q = F.col(f"w_{i}"), F.col(f"s_{i}"), F.col(f"q_{i}")
         stats += [w.alias(f"weight_{i}"), mean(w, s).alias(f"mean_{i}"), F.sqrt(variance(w, s, q)).alias(f"std_{i}")]
-    return d.select(*rows.columns, *stats)
+    return sums.select(*keep, *stats)
+
+
+def damped_statistics(rows: DataFrame, rates: list[float] = RATES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Weight, mean and deviation at every rate, as of every packet of a channel."""
+    return statistics_of(damped_sums(rows, statistic_sums(), rates, block_rows), rows.columns, len(rates))
 
 
 def damped_pair_statistics(rows: DataFrame, other: str, rates: list[float] = RATES, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -240,8 +262,4 @@ def current_statistics(rows: DataFrame, rates: list[float] = RATES) -> DataFrame
         measures += [F.sum(fade).alias(f"w_{i}"), F.sum(fade * F.col("value")).alias(f"s_{i}"),
                      F.sum(fade * F.col("value") * F.col("value")).alias(f"q_{i}")]
     sums = aged.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("packets"), *measures)
-    stats = []
-    for i in range(len(rates)):
-        w, s, q = F.col(f"w_{i}"), F.col(f"s_{i}"), F.col(f"q_{i}")
-        stats += [w.alias(f"weight_{i}"), mean(w, s).alias(f"mean_{i}"), F.sqrt(variance(w, s, q)).alias(f"std_{i}")]
-    return sums.select(*GROUP, "packets", *stats)
+    return statistics_of(sums, [*GROUP, "packets"], len(rates))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["traffic", "urls", "quality", "flows", "vectors", "policy", "similarity", "learn"]
+GROUPS = ["traffic", "urls", "quality", "flows", "vectors", "policy", "similarity", "learn", "streams"]
 
 
 def load_catalog():
