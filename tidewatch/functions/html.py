@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.url import domain_of, netloc
+from tidewatch.runtime import spread
 
 # --- fixed values: elements that carry no visible text --------------------------------
 HIDDEN_CONTAINERS = ["script", "style", "noscript", "header", "footer", "nav", "aside"]
@@ -179,7 +180,7 @@ def page_content(df: DataFrame, html: str = "html", url: str = "url") -> DataFra
     from tidewatch.functions.url import normalize
 
     return (
-        with_markup(df, html)
+        with_markup(spread(df), html)
         .withColumn("title", title(F.col(html)))
         .withColumn("description", meta_description(F.col("_clean")))
         .withColumn("text", visible_text(F.col(html)))

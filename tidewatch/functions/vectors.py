@@ -22,14 +22,18 @@ def fit_length(vector: Column, length: int = WIDE) -> Column:
     return F.slice(F.concat(vector, F.array_repeat(F.lit(0.0), length)), 1, length)
 
 
-def _numbers(*values) -> Column:
-    return F.array(*[(v if isinstance(v, Column) else F.col(v)).cast("double") for v in values])
+def _numbers(*values) -> list[Column]:
+    return [(v if isinstance(v, Column) else F.col(v)).cast("double") for v in values]
 
 
-def _octets(ip: str) -> Column:
+def _fixed(cells: Sequence[Column], length: int) -> Column:
+    """An array of exactly ``length`` numbers, built in one go."""
+    return F.array(*cells[:length], *[F.lit(0.0)] * (length - len(cells)))
+
+
+def _octets(ip: str) -> list[Column]:
     """Four numbers of a dotted address; anything else gives zeros."""
-    parts = F.transform(F.split(F.coalesce(F.col(ip), F.lit("")), "[.]"), lambda p: F.coalesce(p.try_cast("double"), F.lit(0.0)))
-    return F.slice(F.concat(parts, F.array_repeat(F.lit(0.0), 4)), 1, 4)
+    return [F.coalesce(F.split_part(F.col(ip), F.lit("."), F.lit(i)).try_cast("double"), F.lit(0.0)) for i in range(1, 5)]
 
 
 def packet_basic() -> Column:
@@ -37,7 +41,7 @@ def packet_basic() -> Column:
     ts = F.col("ts_s")
     head = _numbers("packet_size", "protocol", "src_port", "dst_port", "tcp_flags")
     clock = _numbers(F.pmod(ts, F.lit(86400.0)), F.pmod(ts, F.lit(3600.0)))
-    return fit_length(F.concat(head, _octets("src_ip"), _octets("dst_ip"), clock))
+    return _fixed([*head, *_octets("src_ip"), *_octets("dst_ip"), *clock], WIDE)
 
 
 def text_code(text: Column) -> Column:
@@ -56,7 +60,7 @@ def _record(df: DataFrame, names: Sequence[str]) -> Column:
             cells.append(text_code(F.col(f"`{n}`")))
         else:
             cells.append(F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)))
-    return fit_length(F.array(*cells))
+    return _fixed(cells, WIDE)
 
 
 def connection_basic(df: DataFrame) -> Column:
@@ -78,26 +82,24 @@ def unified_packet(has_ttl: bool = False) -> Column:
     ttl = F.coalesce(F.col("ttl"), F.lit(64)) if has_ttl else F.lit(64)
     head = _numbers(F.col("packet_size") / 1500.0, F.col("protocol") / 255.0, F.col("src_port") / 65535.0,
                     F.col("dst_port") / 65535.0, F.col("tcp_flags") / 255.0, ttl / 255.0)
-    parts = F.transform(F.concat(_octets("src_ip"), _octets("dst_ip")), lambda x: x / 255.0)
-    return fit_length(F.concat(head, parts), UNIFIED)
+    return _fixed([*head, *[x / 255.0 for x in _octets("src_ip") + _octets("dst_ip")]], UNIFIED)
 
 
 def unified_flow() -> Column:
-    return fit_length(F.array(
+    return _fixed([
         _share("duration", 60.0), _share("bytes_sent", 1e6), _share("bytes_recv", 1e6), _share("packets_sent", 1000.0),
-        _share("packets_recv", 1000.0), F.col("protocol") / 255.0, F.col("src_port") / 65535.0, F.col("dst_port") / 65535.0), UNIFIED)
+        _share("packets_recv", 1000.0), F.col("protocol") / 255.0, F.col("src_port") / 65535.0, F.col("dst_port") / 65535.0], UNIFIED)
 
 
 def unified_connection() -> Column:
     """Rates pass through, the other numbers are scaled by their range and cut at 1."""
-    return fit_length(F.array(*[
-        F.col(n).cast("double") if n.endswith("_rate") else _share(n, KDD_RANGE.get(n, 1.0)) for n in KDD_NUMERIC]), UNIFIED)
+    return _fixed([F.col(n).cast("double") if n.endswith("_rate") else _share(n, KDD_RANGE.get(n, 1.0)) for n in KDD_NUMERIC], UNIFIED)
 
 
 def unified_flow_meter() -> Column:
-    return fit_length(F.array(
+    return _fixed([
         _share("Flow Duration", 1e6), _share("Total Fwd Packets", 1000.0), _share("Total Backward Packets", 1000.0),
-        _share("Flow Bytes/s", 1e8), _share("Flow Packets/s", 1e4)), UNIFIED)
+        _share("Flow Bytes/s", 1e8), _share("Flow Packets/s", 1e4)], UNIFIED)
 
 
 def widen(unified: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.flow import SCORES, profile_score, score_columns
 from tidewatch.operators.scans import BLOCK, running_totals
+from tidewatch.runtime import spread
 
 # --- fixed values: resolvers that are always trusted ----------------------------------
 KNOWN_GOOD = ["8.8.8.8", "8.8.4.4", "1.1.1.1", "208.67.222.222"]
@@ -32,7 +33,7 @@ def as_contacts(rows: DataFrame, seconds: Column, bytes_sent: str, bytes_recv: C
 
 def profiles(contacts: DataFrame) -> DataFrame:
     """One profile per source address with the four scores and their maximum."""
-    grouped = contacts.groupBy("src_ip").agg(
+    grouped = spread(contacts).groupBy("src_ip").agg(
         F.count(F.lit(1)).alias("total_flows"),
         *[F.sum(c).alias(c) for c in ("bytes_sent", "bytes_recv", "packets_sent", "packets_recv")],
         F.count_distinct(F.when(F.col("dst_port") != 0, F.col("dst_port"))).alias("unique_dst_ports"),
@@ -73,7 +74,7 @@ def running_profiles(contacts: DataFrame, order: list[str]) -> DataFrame:
     }
     values = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()]))
     firsts = (
-        contacts.select("src_ip", at.alias("at"), "seen_s", values.alias("e")).where("e.value IS NOT NULL")
+        spread(contacts).select("src_ip", at.alias("at"), "seen_s", values.alias("e")).where("e.value IS NOT NULL")
         .groupBy("src_ip", "e.kind", "e.value").agg(F.min(F.struct("at", "seen_s")).alias("m"))
     )
     marks = firsts.select(

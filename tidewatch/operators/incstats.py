@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators.scans import BLOCK, with_block
-from tidewatch.runtime import BLOCK_ROWS
+from tidewatch.runtime import BLOCK_ROWS, spread
 
 # --- fixed values: time scales in seconds; a rate is 1 / scale --------------------------
 SCALES = [5, 3, 1, 0.1, 0.01]
@@ -42,7 +42,7 @@ def channel_rows(packets: DataFrame, channels: list[str] = CHANNELS, keep: list[
         "socket_pair": F.concat(source, arrow, "dst_ip", F.lit(":"), port["dst"]),
     }
     entries = F.array(*[F.struct(F.lit(c).alias("channel"), keys[c].alias("key")) for c in channels])
-    return packets.select("pkt_no", "ts_s", F.col("packet_size").cast("double").alias("value"), *keep,
+    return spread(packets).select("pkt_no", "ts_s", F.col("packet_size").cast("double").alias("value"), *keep,
                           F.explode(entries).alias("e")).select("pkt_no", "ts_s", "value", *keep, "e.*")
 
 

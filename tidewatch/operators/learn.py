@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import evals, sampling
 from tidewatch.operators.scans import order_statistics
 from tidewatch.operators.scorers import make_model, model
-from tidewatch.runtime import materialize
+from tidewatch.runtime import materialize, spread
 
 FEATURES, LABEL = "features", "label"
 
@@ -86,7 +86,7 @@ def dense_network(inputs: int, hidden: tuple = (64, 32), classes: int = 2, itera
 def assembled(df: DataFrame, columns: list[str], label: Column | None = None) -> DataFrame:
     """Feature vector (missing values as 0) and, when given, a 0/1 label as double."""
     values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
-    out = df.withColumn(FEATURES, array_to_vector(values))
+    out = spread(df).withColumn(FEATURES, array_to_vector(values))
     return out if label is None else out.withColumn(LABEL, label.cast("double"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import html as H
 from tidewatch.functions import url as U
+from tidewatch.runtime import spread
 from tidewatch.schemas import PHISHING_FEATURES
 
 
@@ -31,7 +32,7 @@ def phishing_features(
     it, so page bodies are never shuffled.
     """
     keep = [c for c in pages.columns if c != html]
-    own = H.with_markup(U.parse(pages, url), html).withColumns(
+    own = H.with_markup(U.parse(spread(pages), url), html).withColumns(
         {**U.structure_features(strict_shorteners), **H.page_features(html)})
     fact = U.fact_features(as_of)
     own = own.select(*keep, "domain", *[c for c in PHISHING_FEATURES if c not in fact])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators.scans import BLOCK, order_statistics, running_totals
+from tidewatch.runtime import spread
 from tidewatch.schemas import missing_and_extra
 
 
@@ -104,7 +105,7 @@ def add_missing_columns(df: DataFrame, required: list[str], value: int = 0) -> t
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-    return df.select(F.explode(cells).alias("e")).select("e.*")
+    return spread(df).select(F.explode(cells).alias("e")).select("e.*")
 
 
 def fill_values(df: DataFrame, columns: list[str], strategy: str) -> DataFrame:

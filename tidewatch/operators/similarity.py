@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.runtime import spread
+
 PIVOTS = 32
 CHUNK_ROWS = 20_000
 BLOCK_QUERIES = 4_000
@@ -178,8 +180,8 @@ def local_outlier_factor(points: DataFrame, k: int = 20, id_col: str = "id", vec
 # --- imputation from the nearest rows ---------------------------------------------------------
 
 
-def _pattern(columns: list[str]) -> Column:
-    return F.concat_ws(",", *[F.coalesce(F.col(c).cast("double").cast("string"), F.lit("_")) for c in columns])
+def _cells(columns: list[str]) -> Column:
+    return F.array(*[F.col(c).cast("double") for c in columns])
 
 
 def pattern_fills(df: DataFrame, columns: list[str], k: int = 5, block: int = 2_000) -> DataFrame:
@@ -191,19 +193,20 @@ def pattern_fills(df: DataFrame, columns: list[str], k: int = 5, block: int = 2_
     """
     width = len(columns)
     patterns = (
-        df.select(_pattern(columns).alias("pattern"), F.array(*[F.col(c).cast("double") for c in columns]).alias("cells"))
-        .groupBy("pattern").agg(F.first("cells").alias("cells"), F.count(F.lit(1)).alias("n"))
+        df.select(_cells(columns).alias("cells")).groupBy("cells").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("pattern", F.concat_ws(",", F.transform("cells", lambda x: F.coalesce(x.cast("string"), F.lit("_")))))
     )
     n_blocks = max(1, -(-patterns.count() // block))
     blocked = patterns.withColumn("b", F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     asking = blocked.where(F.exists("cells", lambda x: x.isNull())).withColumn("donor_block", others).withColumnRenamed("b", "ask_block")
     giving = blocked.withColumn("ask_block", others).withColumnRenamed("b", "donor_block")
-    schema = "pattern string, col int, dist double, donor string, value double, n bigint"
+    schema = "cells array<double>, pattern string, col int, dist double, donor string, value double, n bigint"
+    names = ["cells", "pattern", "col", "dist", "donor", "value", "n"]
 
     def meet(ask: pd.DataFrame, give: pd.DataFrame) -> pd.DataFrame:
         if not len(ask) or not len(give):
-            return pd.DataFrame({"pattern": [], "col": [], "dist": [], "donor": [], "value": [], "n": []})
+            return pd.DataFrame({n: [] for n in names})
         give = give.sort_values("pattern")
         a, b = _matrix(ask["cells"]), _matrix(give["cells"])
         ma, mb = ~np.isnan(a), ~np.isnan(b)
@@ -214,7 +217,7 @@ def pattern_fills(df: DataFrame, columns: list[str], k: int = 5, block: int = 2_
         with np.errstate(divide="ignore", invalid="ignore"):
             dist = np.where(both > 0, np.round(np.sqrt(np.maximum(square, 0.0) * width / both), DIGITS), np.inf)
         parts = []
-        who, donor = ask["pattern"].to_numpy(), give["pattern"].to_numpy()
+        who, cells, donor = ask["pattern"].to_numpy(), ask["cells"].to_numpy(), give["pattern"].to_numpy()
         count = give["n"].to_numpy()
         for c in range(width):
             rows, cols = np.flatnonzero(~ma[:, c]), np.flatnonzero(mb[:, c])
@@ -222,24 +225,25 @@ def pattern_fills(df: DataFrame, columns: list[str], k: int = 5, block: int = 2_
                 continue
             r, j = _smallest(dist[np.ix_(rows, cols)], k)
             parts.append(pd.DataFrame({
-                "pattern": who[rows[r]], "col": c, "dist": dist[rows[r], cols[j]], "donor": donor[cols[j]],
+                "cells": cells[rows[r]], "pattern": who[rows[r]], "col": c, "dist": dist[rows[r], cols[j]], "donor": donor[cols[j]],
                 "value": b[cols[j], c], "n": count[cols[j]]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"pattern": [], "col": [], "dist": [], "donor": [], "value": [], "n": []})
+        return pd.concat(parts) if parts else pd.DataFrame({n: [] for n in names})
 
     pair = ["ask_block", "donor_block"]
     found = asking.groupBy(*pair).cogroup(giving.groupBy(*pair)).applyInPandas(meet, schema)
     order = Window.partitionBy("pattern", "col").orderBy("dist", "donor").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.least(F.col("n"), F.lit(k) - F.coalesce(F.sum("n").over(order), F.lit(0)))
     weighted = found.withColumn("w", taken).where("w > 0")
-    return weighted.groupBy("pattern", "col").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("fill"))
+    return weighted.groupBy("cells", "col").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("fill"))
 
 
 def knn_impute(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """Fill nulls from the k nearest rows; a column nobody can give falls back to its mean."""
-    fills = pattern_fills(df, columns, k).groupBy("pattern").agg(
+    df = spread(df)
+    fills = pattern_fills(df, columns, k).groupBy("cells").agg(
         F.map_from_entries(F.collect_list(F.struct("col", "fill"))).alias("_fills"))
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    joined = df.withColumn("pattern", _pattern(columns)).join(fills, "pattern", "left")
+    joined = df.withColumn("cells", _cells(columns)).join(fills, "cells", "left")
     filled = {
         c: F.coalesce(F.col(c).cast("double"), F.try_element_at("_fills", F.lit(i)), F.lit(means[c]).cast("double"))
         for i, c in enumerate(columns)}

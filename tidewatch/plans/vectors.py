@@ -11,6 +11,7 @@ from tidewatch.operators import labels as L
 from tidewatch.plans.flows import _FLOWS
 from tidewatch.plans.oracle_views import with_views
 from tidewatch.plans.registry import query
+from tidewatch.runtime import spread
 from tidewatch.schemas import KDD_CATEGORICAL, KDD_FEATURES, KDD_NUMERIC
 from tidewatch.sources.views import connections
 
@@ -166,7 +167,7 @@ CONNS = _kdd_sql()
 
 
 def connection_rows(t):
-    return connections(t.lineitem, _NAMES)
+    return connections(spread(t.lineitem), _NAMES)
 
 
 _UK = [f'"{n}"' if n.endswith("_rate") else f'least("{n}"/{V.KDD_RANGE.get(n, 1.0)!r}, 1)' for n in KDD_NUMERIC]
@@ -183,8 +184,8 @@ _UM = ["least(l_quantity*40000/1e6, 1)", "least((l_partkey % 1500)/1000e0, 1)",
 
 
 def meter_rows(t):
-    return t.lineitem.select(F.col("l_orderkey").alias("flow_no"), F.col("l_linenumber").alias("flow_line"),
-                             *[F.expr(e).alias(n) for n, e in _METER.items()])
+    return spread(t.lineitem).select(F.col("l_orderkey").alias("flow_no"), F.col("l_linenumber").alias("flow_line"),
+                                     *[F.expr(e).alias(n) for n, e in _METER.items()])
 
 
 @query("unified_flow_meter_vectors", "V8 D18", f"SELECT l_orderkey AS flow_no, l_linenumber AS flow_line, {_wide(_UM, 50)} FROM lineitem")

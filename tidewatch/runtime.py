@@ -61,3 +61,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over the cores when the input has fewer splits than there are cores.
+
+    For operators that spend much time per row on a small table in few row groups. A table
+    large enough to fill the cluster has more splits than cores and passes unchanged.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
