@@ -226,4 +226,4 @@ def parsed_tags(html: str) -> Column:
     def batch(pages: pd.Series) -> pd.Series:
         return pages.map(_parse)
 
-    return F.pandas_udf(batch, T.ArrayType(TAG), F.PandasUDFType.SCALAR)(html)
+    return F.pandas_udf(batch, T.ArrayType(TAG))(html)

@@ -65,13 +65,14 @@ class IsolationForest:
         scale = 1 << 30
         draws = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
                          lambda t: F.pmod(F.xxhash64(*ids, t, F.lit(seed)), F.lit(scale)) < F.lit(int(share * scale)))
-        drawn = df.select(vector_to_array(column).alias("x"), F.xxhash64(*ids).alias("h"), F.explode(draws).alias("tree"))
+        drawn = df.select(vector_to_array(column).alias("x"), *ids, F.explode(draws).alias("tree")).select(
+            "x", "tree", F.xxhash64(*ids, "tree", F.lit(seed + 1)).alias("o"))
         size = min(sample, total)
         limit = max(1, int(np.ceil(np.log2(max(size, 2)))))
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             tree = int(pdf["tree"].iloc[0])
-            rows = pdf.assign(o=(pdf["h"] * 6364136223846793005 + tree)).sort_values(["o", "h"]).head(size)
+            rows = pdf.sort_values("o").head(size)
             nodes = _grow(np.array(rows["x"].tolist()), np.random.default_rng(seed * 1000 + tree), limit)
             return pd.DataFrame({"tree": [tree], "feature": [nodes[0]], "cut": [nodes[1]], "left_child": [nodes[2]], "path": [nodes[3]]})
 

@@ -187,6 +187,41 @@ def assign_samples(packets: DataFrame, size: int = 10, span: float = 10.0, block
     return entered.mapInPandas(number, schema)
 
 
+class SampleNumbers:
+    """Table function over packets partitioned by flow key and block and ordered by arrival:
+    (pkt_no, ts_s, held, start, first_sample) in, (pkt_no, sample_no) out. Keeps two numbers."""
+
+    def __init__(self):
+        self.held, self.start, self.sample, self.size, self.span = -1, 0.0, 0, 0, 0.0
+
+    def eval(self, row, size, span):
+        if self.held < 0:
+            self.held, self.start, self.sample = row["held"], row["start"], row["first_sample"]
+        if self.held == 0:
+            self.start = row["ts_s"]
+        self.held += 1
+        number = self.sample
+        if self.held >= size or row["ts_s"] - self.start >= span:
+            self.held, self.sample = 0, self.sample + 1
+        yield row["pkt_no"], number
+
+
+def register_table_functions(spark) -> None:
+    """Make ``sample_numbers`` available to SQL."""
+    spark.udtf.register("sample_numbers", F.udtf(SampleNumbers, returnType="pkt_no bigint, sample_no bigint"))
+
+
+def sample_numbers_by_function(packets: DataFrame, size: int = 10, span: float = 10.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``assign_samples`` through the table function: pkt_no and sample_no."""
+    rows = with_block(keyed(packets), [KEY], "pkt_no", block_rows)
+    states = _entry_states(rows, size, span)
+    entered = rows.join(states, [KEY, BLOCK], "left").na.fill({"held": 0, "start": 0.0, "first_sample": 0})
+    register_table_functions(packets.sparkSession)
+    return packets.sparkSession.sql(
+        f"SELECT pkt_no, sample_no FROM sample_numbers(TABLE(SELECT * FROM {{rows}}) PARTITION BY ({KEY}, {BLOCK}) ORDER BY (pkt_no), "
+        f"{int(size)}, {float(span)}D)", rows=entered)
+
+
 def packet_features(size_order: Window) -> Column:
     """The 11 normalised features of a packet inside its sample."""
     def optional(name: str, default: int) -> Column:

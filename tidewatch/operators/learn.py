@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import evals, sampling
 from tidewatch.operators.scans import order_statistics
 from tidewatch.operators.scorers import make_model, model
-from tidewatch.runtime import materialize, spread
+from tidewatch.runtime import BLOCK_ROWS, materialize, spread
 
 FEATURES, LABEL = "features", "label"
 
@@ -296,7 +296,7 @@ def permutation_importance(fitted: Model, df: DataFrame, names: list[str], ids:
     from pyspark.sql import Window
 
     x = vector_to_array(FEATURES)
-    bucket = F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1024))
+    bucket = F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(-(-df.count() // BLOCK_ROWS) * 8))
     order = Window.partitionBy("_b").orderBy(F.xxhash64(*ids, F.lit(seed + 1)), *ids)
     ranked = df.withColumn("_b", bucket).withColumn("_x", x).withColumn("_other", F.lead("_x").over(order))
     first = F.first("_x").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

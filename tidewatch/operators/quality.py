@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.scans import BLOCK, order_statistics, running_totals
+from tidewatch.operators.scans import BLOCK, order_statistics, running_totals, with_value_block
 from tidewatch.runtime import spread
 from tidewatch.schemas import missing_and_extra
 
@@ -116,7 +116,7 @@ def fill_values(df: DataFrame, columns: list[str], strategy: str) -> DataFrame:
     if strategy == "median":
         n = F.col("n")
         mid = order_statistics(_long(df, columns), "value", {
-            "below": F.floor((n - 1) / 2), "above": F.floor(n / 2)}, group="feature")
+            "below": F.floor((n - 1) / 2), "above": F.floor(n / 2)}, group="feature", few_groups=True)
         return mid.select("feature", ((F.col("below") + F.col("above")) / 2).alias("fill"))
     if strategy == "most_frequent":
         counts = _long(df, columns).where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
@@ -161,11 +161,13 @@ def ecdf_gap(base: DataFrame, current: DataFrame, columns: list[str]) -> DataFra
     """
     both = _long(base, columns).withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(
         _long(current, columns).withColumn("a", F.lit(0)).withColumn("b", F.lit(1)))
+    # grows with the value: the magnitude, and inside a crowded magnitude equal shares of it
+    magnitude = F.floor(F.signum("value") * F.log2(1 + F.abs("value")) * 16).cast("bigint")
     counts = (
         both.where("value IS NOT NULL").groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        # grows with the value, about 256 blocks per factor of two
-        .withColumn(BLOCK, F.floor(F.signum("value") * F.log2(1 + F.abs("value")) * 256).cast("bigint"))
+        .withColumn("_mag", magnitude)
     )
+    counts = with_value_block(counts, ["feature", "_mag"], F.col("value")).withColumn(BLOCK, F.struct("_mag", BLOCK)).drop("_mag")
     run = running_totals(counts, ["feature"], ["value"], {"ca": F.col("a"), "cb": F.col("b")})
     sizes = counts.groupBy("feature").agg(F.sum("a").alias("n_base"), F.sum("b").alias("n_current"))
     gap = F.abs(F.try_divide(F.col("ca"), F.col("n_base")) - F.try_divide(F.col("cb"), F.col("n_current")))

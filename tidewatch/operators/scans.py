@@ -32,10 +32,10 @@ def with_block(df: DataFrame, keys: list[str], ordinal: str, rows: int = BLOCK_R
     return df.join(hot, keys, "left").select(*df.columns, block.alias(BLOCK))
 
 
-def with_time_block(df: DataFrame, keys: list[str], seconds: Column, rows: int = BLOCK_ROWS) -> DataFrame:
-    """As ``with_block`` for rows that only have a time: a hot key is cut into equal spans,
-    as many as give ``rows`` rows per block on average."""
-    timed = df.withColumn("_t", seconds.cast("double"))
+def with_value_block(df: DataFrame, keys: list[str], value: Column, rows: int = BLOCK_ROWS) -> DataFrame:
+    """As ``with_block`` for rows ordered by a time or another number instead of an ordinal:
+    a hot key is cut into equal spans, as many as give ``rows`` rows per block on average."""
+    timed = df.withColumn("_t", value.cast("double"))
     hot = (
         timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
         .where(F.col("_n") > rows)
@@ -99,15 +99,20 @@ def running_last(
 
 def order_statistics(
     df: DataFrame, value: str, picks: dict[str, Column], group: str | None = None,
-    buckets: int = 4096,
+    few_groups: bool = False, buckets: int = 4096, levels: int = 2,
 ) -> DataFrame:
     """Exact k-th smallest values without a global sort.
 
     ``picks`` maps an output name to a zero-based rank expressed over ``n``, the number of
-    non-null values. Equal values are counted first (map-side combined); a histogram of
-    ``buckets`` equal-width buckets then tells which bucket holds each rank, and only the
-    distinct values of those buckets are ranked.
+    non-null values. Equal values are counted first (map-side combined). A histogram of
+    equal-width buckets tells which bucket holds each rank; the next level does the same
+    between the smallest and the largest value of that bucket, so one outlier does not
+    spoil the resolution. Only the distinct values of the last buckets are ranked.
+
+    ``few_groups`` says that the groups are names from a fixed list, such as columns; the
+    per-group tables then have a known size and are broadcast, as without groups.
     """
+    small = F.broadcast if group is None or few_groups else (lambda t: t)
     g = F.col(group) if group else F.lit(0)
     counts = (
         df.where(F.col(value).isNotNull())
@@ -115,24 +120,27 @@ def order_statistics(
     )
     span = counts.groupBy("_g").agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
-    placed = counts.join(span, "_g").withColumn("_b", bucket.cast("bigint"))
-    hist = placed.groupBy("_g", "_b").agg(F.sum("_c").alias("_bc"), F.max("n").alias("n"))
-    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
     wanted = F.explode(F.array(*[
         F.struct(F.lit(name).alias("pick"), rank.cast("bigint").alias("rank")) for name, rank in picks.items()
     ]))
-    targets = (
-        hist.select("_g", "_b", "_before", "_bc", wanted.alias("w"))
-        .where((F.col("w.rank") >= F.col("_before")) & (F.col("w.rank") < F.col("_before") + F.col("_bc")))
-        .select("_g", "_b", "_before", F.col("w.pick").alias("pick"), F.col("w.rank").alias("rank"))
-    )
-    inside = Window.partitionBy("_g", "_b", "pick").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    # where every pick still has to look: value range and the count below it
+    search = span.select("_g", "_lo", "_hi", F.lit(0).cast("bigint").alias("_before"), wanted.alias("w")).select(
+        "_g", "_lo", "_hi", "_before", "w.*")
+    width = F.col("_hi") - F.col("_lo")
+    bucket = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
+    for _ in range(levels):
+        inside = counts.join(small(search), "_g").where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        hist = inside.groupBy("_g", "pick", bucket.alias("_b")).agg(
+            F.sum("_c").alias("_bc"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+            F.first("_before").alias("_base"), F.first("rank").alias("rank"))
+        lower = Window.partitionBy("_g", "pick").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        hist = hist.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_bc").over(lower), F.lit(0)))
+        search = hist.where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_bc"))).select(
+            "_g", "_lo", "_hi", "_before", "pick", "rank")
+    upto = Window.partitionBy("_g", "pick").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        placed.select("_g", "_b", "_v", "_c").join(targets, ["_g", "_b"])
-        .withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+        counts.join(small(search), "_g").where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        .withColumn("_upto", F.col("_before") + F.sum("_c").over(upto))
         .where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_c")))
         .groupBy("_g").pivot("pick", list(picks)).agg(F.first("_v"))
     )

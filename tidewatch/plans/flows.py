@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.flow import flow_vector
 from tidewatch.operators import behavior as B
 from tidewatch.operators import flows as O
-from tidewatch.operators.scans import with_time_block
+from tidewatch.operators.scans import with_value_block
 from tidewatch.plans.oracle_views import with_views
 from tidewatch.plans.registry import query
 
@@ -91,6 +91,11 @@ def flow_samples_by_count(t):
         F.count(F.lit(1)).alias("packets"), F.min("pkt_no").alias("first_packet"), F.max("pkt_no").alias("last_packet"))
 
 
+@query("flow_samples_by_function", "E6", with_views("packets keyed", _GREEDY.format(n=5, t=60) + " SELECT pkt_no, sample_no FROM sampled", recursive=True))
+def flow_samples_by_function(t):
+    return O.sample_numbers_by_function(t.packets, 5, 60.0)
+
+
 _PF = ["least(packet_size/1500e0, 1)", "least(coalesce(ts_s - lag(ts_s) OVER w, 0), 1)",
        "CASE protocol WHEN 6 THEN 1e0 WHEN 17 THEN 0.5e0 ELSE 0e0 END", "tcp_flags/255e0", "src_port/65535e0", "dst_port/65535e0",
        "0e0", "0e0", "20/60e0", "0e0", "64/255e0"]
@@ -176,7 +181,7 @@ running AS (SELECT *, {_SCORES_SQL} FROM f2)"""
 
 
 def running_rows(t):
-    contacts = with_time_block(flow_contacts(t), ["src_ip"], F.col("seen_s"))
+    contacts = with_value_block(flow_contacts(t), ["src_ip"], F.col("seen_s"))
     return B.running_profiles(contacts, ORDER)
 
 

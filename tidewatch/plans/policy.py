@@ -241,3 +241,17 @@ def best_model(t):
     scores = model_metrics(t).select("model", F.col("f1").alias("score"))
     ranked = scores.groupBy("model").agg(F.avg("score").alias("score")).orderBy(F.desc("score"), "model").limit(1)
     return ranked.select("model", *r6("score"))
+
+
+@query("staged_pipeline_decisions", "E3 E4", with_views("traffic model_scores", """, z AS (SELECT id, statistical, text, coalesce(statistical, 0) AS risk FROM model_scores)
+SELECT id, (coalesce(statistical, 0) > 0.4 OR coalesce(text, 0) > 0.5 OR risk > 0.8) AS any_threat, round(greatest(coalesce(statistical, 0), coalesce(text, 0)), 6) AS top_score,
+ CASE WHEN risk > 0.8 THEN 'BLOCK' WHEN risk > 0.5 THEN 'CHALLENGE' WHEN risk > 0.3 THEN 'ALERT' ELSE 'ALLOW' END AS last_action FROM z"""))
+def staged_pipeline_decisions(t):
+    from tidewatch.operators.scorers import StageBuilder
+
+    risk = F.coalesce("statistical", F.lit(0.0))
+    pipeline = (
+        StageBuilder().add("kitsune", "errors", F.col("statistical"), threshold=0.4)
+        .add("ml", "words", F.col("text")).add("rl", "policy", F.lit(0.0), action=P.best_action(risk)).build())
+    rows = P.stage_decision(pipeline.fit(t.model_scores).transform(t.model_scores))
+    return rows.select("id", "any_threat", *r6("top_score"), "last_action")

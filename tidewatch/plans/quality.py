@@ -205,3 +205,12 @@ def attack_threat_names(t):
 @query("prediction_labels", "F9 A16", with_views("traffic predictions", """SELECT CASE WHEN y_pred = 1 THEN 'Malicious' ELSE 'Safe' END AS verdict, count(*) AS cnt FROM predictions GROUP BY 1"""))
 def prediction_labels(t):
     return t.predictions.groupBy(L.verdict_text(F.col("y_pred")).alias("verdict")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query("schema_checks", "U1 U2 U3 S15", with_views("phishing", """SELECT 'SFH' AS feature, 'missing' AS status, true AS count_ok, false AS numeric_ok, count(*) AS rows FROM phishing
+ UNION ALL SELECT 'Iframe', 'missing', true, false, count(*) FROM phishing UNION ALL SELECT 'row_id', 'extra', true, false, count(*) FROM phishing UNION ALL SELECT 'Result', 'extra', true, false, count(*) FROM phishing"""))
+def schema_checks(t):
+    rows = _gappy(t)
+    found = Q.schema_difference(rows, FEATURES).withColumns({
+        "count_ok": F.lit(Q.has_column_count(rows, len(FEATURES))), "numeric_ok": F.lit(Q.numeric_columns_ok(rows, FEATURES))})
+    return found.withColumn("rows", rows.agg(F.count(F.lit(1))).scalar())

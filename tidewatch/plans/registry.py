@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.runtime import pin_utc
+from tidewatch.runtime import pin_utc, spread
 from tidewatch.sources import views
 
 Builder = Callable[["Tables"], DataFrame]
@@ -24,7 +24,7 @@ class Tables:
             "traffic": lambda: views.traffic(self.events, self.nation),
             "packets": lambda: views.packets(self.events),
             "flows": lambda: views.flows(self.lineitem),
-            "phishing": lambda: views.phishing(self.events),
+            "phishing": lambda: views.phishing(spread(self.events)),
             "rich_pages": lambda: views.rich_pages(self.pages),
             "urls": lambda: views.urls(self.pages),
             "domain_facts": lambda: views.domain_facts(self.pages),
