@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.flow import closes_flow, flow_key, has_flag, swapped
-from tidewatch.operators.scans import BLOCK, previous_value, running_last, running_totals, with_block
+from tidewatch.operators.scans import BLOCK, running_last, with_block
 from tidewatch.runtime import BLOCK_ROWS
 
 KEY = "flow_key"
@@ -25,10 +25,26 @@ def assemble(packets: DataFrame, idle: float = 60.0, block_rows: int = BLOCK_ROW
     """Number the flows of every key: a flow ends after ``idle`` seconds without a packet
     or with a FIN/RST packet. Adds ``flow_seq`` (from 1) and ``starts``."""
     rows = with_block(keyed(packets), [KEY], "pkt_no", block_rows)
-    seen = previous_value(rows, [KEY], ["pkt_no"], F.struct("ts_s", "tcp_flags"), "_prev")
-    fresh = F.col("_prev").isNull() | (F.col("ts_s") - F.col("_prev.ts_s") > idle) | closes_flow(F.col("_prev.tcp_flags"))
-    marked = seen.withColumn("starts", F.coalesce(fresh, F.lit(True)).cast("int")).drop("_prev")
-    return running_totals(marked, [KEY], ["pkt_no"], {"flow_seq": F.col("starts")})
+    here = F.struct("ts_s", "tcp_flags")
+
+    def breaks(before: Column) -> Column:
+        return F.coalesce((F.col("ts_s") - before["ts_s"] > idle) | closes_flow(before["tcp_flags"]), F.lit(True)).cast("int")
+
+    local = Window.partitionBy(KEY, BLOCK).orderBy("pkt_no")
+    prev = F.lag(here).over(local)
+    # whether the first packet of a block starts a flow depends on the block before
+    inner = rows.withColumn("_first", F.row_number().over(local) == 1).withColumn(
+        "_start", F.when(F.col("_first"), 0).otherwise(breaks(prev))).withColumn(
+        "_seq", F.sum("_start").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = inner.groupBy(KEY, BLOCK).agg(
+        F.min_by(here, "pkt_no").alias("_head"), F.max_by(here, "pkt_no").alias("_tail"), F.sum("_start").alias("_n"))
+    by_key = Window.partitionBy(KEY).orderBy(BLOCK)
+    opened = F.coalesce((F.col("_head.ts_s") - F.col("_prev.ts_s") > idle) | closes_flow(F.col("_prev.tcp_flags")), F.lit(True)).cast("int")
+    carried = blocks.withColumn("_prev", F.lag("_tail").over(by_key)).withColumn("_open", opened).select(
+        KEY, BLOCK, "_open", F.coalesce(F.sum(F.col("_n") + F.col("_open")).over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return inner.join(carried, [KEY, BLOCK]).select(
+        *rows.columns, F.when(F.col("_first"), F.col("_open")).otherwise(F.col("_start")).alias("starts"),
+        (F.col("_base") + F.col("_open") + F.col("_seq")).alias("flow_seq"))
 
 
 def with_direction(assembled: DataFrame) -> DataFrame:

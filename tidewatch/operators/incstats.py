@@ -140,15 +140,19 @@ def damped_step(rows: DataFrame, sums: dict[str, Column], rates: list[float] = R
     plain = [f"_x{i}" for i in range(len(names))]
     base = [f for f in inputs.schema.fields if f.name not in plain]
     schema = T.StructType([*base, T.StructField("tau", T.DoubleType()), *[T.StructField(s, T.DoubleType()) for s in states]])
-    local = (
-        inputs.repartition(*GROUP, BLOCK).sortWithinPartitions(*GROUP, BLOCK, "pkt_no")
-        .mapInPandas(_scanner([*GROUP, BLOCK], "ts_s", "tau_in", plain, rates, True), schema)
-    )
-    # the state at the end of every block, one row per (key, block)
-    ends = local.groupBy(*GROUP, BLOCK).agg(F.max_by(F.struct("tau", *states), "pkt_no").alias("e")).select(*GROUP, BLOCK, "e.*")
-    if before is not None:
-        ends = ends.unionByName(before.select(*GROUP, BLOCK, "tau", *states))
-    chain_schema = T.StructType([f for f in ends.schema.fields if f.name not in states and f.name != "tau"]
+
+    def scan(some: DataFrame) -> DataFrame:
+        return (
+            some.repartition(*GROUP, BLOCK).sortWithinPartitions(*GROUP, BLOCK, "pkt_no")
+            .mapInPandas(_scanner([*GROUP, BLOCK], "ts_s", "tau_in", plain, rates, True), schema))
+
+    def block_ends(some: DataFrame) -> DataFrame:
+        """The state at the end of every block, one row per (key, block)."""
+        found = scan(some).groupBy(*GROUP, BLOCK).agg(F.max_by(F.struct("tau", *states), "pkt_no").alias("e")).select(*GROUP, BLOCK, "e.*")
+        return found if before is None else found.unionByName(before.select(*GROUP, BLOCK, "tau", *states))
+
+    local = scan(inputs)
+    chain_schema = T.StructType([keyed.schema[c] for c in (*GROUP, BLOCK)]
                                 + [T.StructField("at", T.DoubleType()), T.StructField("tau", T.DoubleType())]
                                 + [T.StructField(s, T.DoubleType()) for s in states])
 
@@ -160,8 +164,10 @@ def damped_step(rows: DataFrame, sums: dict[str, Column], rates: list[float] = R
 
     several = newest.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_b")).where("_b > 1").drop("_b")
     previous = Window.partitionBy(*GROUP).orderBy(BLOCK)
+    # only keys that have several blocks are scanned a second time
+    hot = block_ends(inputs.join(several, GROUP, "left_semi"))
     carry = (
-        chain(ends.join(several, GROUP, "left_semi"))
+        chain(hot)
         .select(*GROUP, BLOCK, *[F.lag(s).over(previous).alias(f"_c{s}") for s in states]).where("_cs0 IS NOT NULL"))
     joined = local.join(carry, [*GROUP, BLOCK], "left")
     fade = [F.coalesce(F.exp(F.lit(-rate) * (F.col("tau") - F.col("tau_in"))), F.lit(0.0)) for rate in rates]
@@ -170,7 +176,7 @@ def damped_step(rows: DataFrame, sums: dict[str, Column], rates: list[float] = R
         for i in range(r):
             s = f"s{j * r + i}"
             out.append((F.col(s) + F.coalesce(F.col(f"_c{s}"), F.lit(0.0)) * fade[i]).alias(f"{name}_{i}"))
-    after = chain(ends).groupBy(*GROUP).agg(F.max_by(F.struct("tau", *states), BLOCK).alias("e")).select(*GROUP, "e.*")
+    after = chain(block_ends(inputs)).groupBy(*GROUP).agg(F.max_by(F.struct("tau", *states), BLOCK).alias("e")).select(*GROUP, "e.*")
     return joined.select(*rows.columns, *out), after
 
 

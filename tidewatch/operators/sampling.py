@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 20
+MAX_CLASSES = 10_000
 
 
 def mark_fraction(
@@ -14,34 +16,47 @@ def mark_fraction(
 ) -> DataFrame:
     """Add a flag that is true for exactly ``rows`` or ``round(fraction * n)`` rows.
 
-    Rows are ranked by a hash of their ids. Counting the leading hash bits tells which of
-    2**20 buckets holds the cut, so only that bucket is ranked; no global sort and no
-    window over the table. With ``by`` the share is taken inside every class.
+    Rows are ranked by a hash of their ids. Two small jobs find the last row to pick: a
+    histogram over the leading hash bits names the bucket of the cut (one of 2**20), and
+    only that bucket is ranked. One row per class reaches the driver; the result is then a
+    comparison per row, without a sort or shuffle of the table. With ``by`` the share is
+    taken inside every class.
     """
     g = F.col(by) if by else F.lit(0)
     h = F.xxhash64(*[F.col(c) for c in ids], F.lit(seed))
-    keyed = df.withColumn("_h", h).withColumn("_hb", F.shiftrightunsigned("_h", 64 - BITS)).withColumn("_g", g)
-    hist = keyed.groupBy("_g", "_hb").agg(F.count(F.lit(1)).alias("c"))
-    totals = hist.groupBy("_g").agg(F.sum("c").alias("n"))
+    keyed = df.select(g.alias("_g"), h.alias("_h"), *ids).withColumn("_hb", F.shiftrightunsigned("_h", 64 - BITS))
+    # leading bits in signed order, so buckets follow the order of the hash itself
+    keyed = keyed.withColumn("_hb", F.pmod(F.col("_hb") + (1 << (BITS - 1)), F.lit(1 << BITS)))
+    per_class = Window.partitionBy("_g")
+    running = per_class.orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)
     want = F.lit(rows).cast("bigint") if rows is not None else F.round(F.col("n") * F.lit(fraction)).cast("bigint")
-    upto = F.sum("c").over(Window.partitionBy("_g").orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0))
     edges = (
-        hist.withColumn("upto", upto).join(totals, "_g").withColumn("want", F.least(want, F.col("n")))
+        keyed.groupBy("_g", "_hb").agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("upto", F.sum("c").over(running)).withColumn("n", F.sum("c").over(per_class))
+        .withColumn("want", F.least(want, F.col("n")))
         .where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("c") < F.col("want")))
-        .select(F.col("_g").alias("_eg"), F.col("_hb").alias("_edge"),
-                (F.col("want") - F.col("upto") + F.col("c")).alias("_need"))
+        .select("_g", "_hb", (F.col("want") - F.col("upto") + F.col("c")).alias("need")).limit(MAX_CLASSES + 1).collect()
     )
-    if by:
-        # one row per class; the adaptive planner broadcasts it from its measured size
-        placed = keyed.join(edges, F.col("_g").eqNullSafe(F.col("_eg")), "left")
-    else:
-        placed = keyed.withColumn("_edge", edges.select("_edge").scalar()).withColumn("_need", edges.select("_need").scalar())
-    keep = [F.col(c) for c in df.columns]
-    edge = F.coalesce("_edge", F.lit(-1))
-    clear = placed.where(F.col("_hb") != edge).select(*keep, (F.col("_hb") < edge).alias(out))
-    rank = F.row_number().over(Window.partitionBy("_g", "_hb").orderBy("_h", *ids))
-    cut = placed.where(F.col("_hb") == edge).withColumn("_r", rank).select(*keep, (F.col("_r") <= F.col("_need")).alias(out))
-    return clear.unionByName(cut)
+    if len(edges) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {by}")
+    if not edges:
+        return df.withColumn(out, F.lit(False))
+    spark = df.sparkSession
+    at = spark.createDataFrame([tuple(e) for e in edges], keyed.select("_g", "_hb").schema.add("_need", T.LongType()))
+    rank = F.row_number().over(per_class.orderBy("_h", *ids))
+    last = (
+        keyed.join(F.broadcast(at), (keyed["_g"].eqNullSafe(at["_g"])) & (keyed["_hb"] == at["_hb"]))
+        .select(keyed["_g"], "_h", *ids, "_need").withColumn("_r", rank).where("_r = _need")
+    )
+    mine = F.struct(h.alias("_h"), *ids)
+    if not by:
+        edge = last.first()
+        limit = F.struct(*[F.lit(edge[c]).cast(last.schema[c].dataType).alias(c) for c in ("_h", *ids)])
+        return df.withColumn(out, mine <= limit)
+    cuts = last.select(F.col("_g").alias("_cg"), F.struct("_h", *ids).alias("_cut"))
+    known = spark.createDataFrame(cuts.collect(), cuts.schema)
+    joined = df.join(F.broadcast(known), F.col(by).eqNullSafe(F.col("_cg")), "left")
+    return joined.select(*df.columns, F.coalesce(mine <= F.col("_cut"), F.lit(False)).alias(out))
 
 
 def split(df: DataFrame, ids: list[str], test_size: float = 0.2, seed: int = 42,
