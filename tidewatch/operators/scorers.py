@@ -53,8 +53,8 @@ class ScorerBook:
 
 
 # --- fixed values: which stage a kind of model belongs to -----------------------------------
-STAGE_OF = {"kitsune": "anomaly", "slips": "anomaly", "lucid": "classification", "ml": "classification",
-            "dl": "classification", "rl": "decision"}
+STAGE_OF = {"encoder_ensemble": "anomaly", "behavior": "anomaly", "flow_classifier": "classification", "ml": "classification",
+            "dl": "classification", "policy": "decision"}
 
 
 def adapt(kind: str, name: str, score: Column, threshold: Column | float = 0.5, action: Column | None = None) -> Column:

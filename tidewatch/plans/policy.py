@@ -251,7 +251,7 @@ def staged_pipeline_decisions(t):
 
     risk = F.coalesce("statistical", F.lit(0.0))
     pipeline = (
-        StageBuilder().add("kitsune", "errors", F.col("statistical"), threshold=0.4)
-        .add("ml", "words", F.col("text")).add("rl", "policy", F.lit(0.0), action=P.best_action(risk)).build())
+        StageBuilder().add("encoder_ensemble", "errors", F.col("statistical"), threshold=0.4)
+        .add("ml", "words", F.col("text")).add("policy", "policy", F.lit(0.0), action=P.best_action(risk)).build())
     rows = P.stage_decision(pipeline.fit(t.model_scores).transform(t.model_scores))
     return rows.select("id", "any_threat", *r6("top_score"), "last_action")
