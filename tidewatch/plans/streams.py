@@ -8,7 +8,7 @@ from tidewatch.operators import behavior as B
 from tidewatch.operators import labels as L
 from tidewatch.operators import learn as M
 from tidewatch.plans.flows import (
-    _FLOW_COLS, _FLOWS, _GREEDY, _MAXS, _PCOLS, _REPORTS, _RS, _RUN, _RUN_COLS, _SCOLS, ORDER, flow_contacts, rounded)
+    _FLOW_COLS, _FLOWS, _GREEDY, _MAXS, _REPORTS, _RS, _RUN, _RUN_COLS, _SCOLS, ORDER, flow_contacts, rounded)
 from tidewatch.plans.learn import IDS, training_rows
 from tidewatch.plans.oracle_views import with_views
 from tidewatch.plans.registry import Tables, query
