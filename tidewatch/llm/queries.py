@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, packing
+from tidewatch.llm import bpe, packing, secrets, url_filter
 from tidewatch.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -16,6 +16,19 @@ RANKS = "byte_bpe_50k.tiktoken"
 SPECIALS = {"<|endoftext|>": 50256}
 
 
+#: The rules of op3, by verdict.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.rank_encoder(public_tokenizers.path(RANKS), SPECIALS))
 
@@ -24,5 +37,5 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_packing, op6_bpe)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secrets, op3_url_filter, op5_packing, op6_bpe)}
+SQL: dict[str, str] = {"op3_url_filter": url_filter.judge_urls_sql(URL_RULES)}
