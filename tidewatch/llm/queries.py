@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, html_text, packing, secrets, url_filter
+from tidewatch.llm import bpe, html_text, packing, secrets, toxicity, url_filter
 from tidewatch.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -37,9 +37,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secrets, op3_url_filter, op5_packing, op6_bpe, op10_html_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secrets, op3_url_filter, op5_packing, op6_bpe, op9_toxicity, op10_html_text)}
 SQL: dict[str, str] = {"op3_url_filter": url_filter.judge_urls_sql(URL_RULES)}
