@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, html_text, packing, secrets, toxicity, url_filter
+from tidewatch.llm import bpe, html_text, language, packing, secrets, topk, toxicity, url_filter
 from tidewatch.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -20,6 +21,10 @@ SPECIALS = {"<|endoftext|>": 50256}
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.rank_encoder(public_tokenizers.path(RANKS), SPECIALS))
 
@@ -45,5 +54,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secrets, op3_url_filter, op5_packing, op6_bpe, op9_toxicity, op10_html_text)}
-SQL: dict[str, str] = {"op3_url_filter": url_filter.judge_urls_sql(URL_RULES)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_secrets, op3_url_filter, op4_language, op5_packing, op6_bpe, op9_toxicity, op10_html_text)}
+SQL: dict[str, str] = {"op1_topk": topk.TOP_K_SQL, "op3_url_filter": url_filter.judge_urls_sql(URL_RULES)}
