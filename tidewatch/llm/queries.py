@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, html_text, jaccard, language, packing, secrets, topk, toxicity, url_filter
+from tidewatch.llm import bpe, html_text, jaccard, language, neighbours, packing, secrets, topk, toxicity, url_filter
 from tidewatch.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -46,6 +46,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.shingle_components(table(spark, sf_dir, "documents"))
 
@@ -58,5 +62,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_secrets, op3_url_filter, op4_language, op5_packing, op6_bpe, op8_jaccard, op9_toxicity, op10_html_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_secrets, op3_url_filter, op4_language, op5_packing, op6_bpe, op7_neighbours, op8_jaccard, op9_toxicity, op10_html_text)}
 SQL: dict[str, str] = {"op1_topk": topk.TOP_K_SQL, "op3_url_filter": url_filter.judge_urls_sql(URL_RULES)}
