@@ -327,11 +327,11 @@ def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[i
     return out
 
 
-def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``wanted``: a bit table of fixed size first, then a join."""
+def id_table(ids: DataFrame) -> bytes:
+    """A bit table of fixed size in which the hashes of the column ``doc_id`` are set."""
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * MULT) >> np.uint64(64 - WANTED_BITS)
+            h = id_hash(batch.column(0))
             part = (h >> np.uint64(WANTED_BITS - 6)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array((h & np.uint64((1 << WANTED_BITS - 6) - 1)).astype(np.int32))], names=["part", "bit"])
 
@@ -340,17 +340,39 @@ def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         table[rows["bit"].to_numpy()] = 1
         return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(table, bitorder="little").tobytes()]})
 
-    set_bits = wanted.select("doc_id").mapInArrow(bits, "part int, bit int").distinct()
-    parts = {r["part"]: bytes(r["bits"]) for r in set_bits.groupBy("part").applyInPandas(pack, "part int, bits binary").collect()}
-    sent = docs.sparkSession.sparkContext.broadcast(b"".join(parts.get(k, bytes(1 << WANTED_BITS - 9)) for k in range(1 << 6)))  # 8 MB
+    hashes = ids.select("doc_id").mapInArrow(bits, "part int, bit int").distinct()
+    parts = {r["part"]: bytes(r["bits"]) for r in hashes.groupBy("part").applyInPandas(pack, "part int, bits binary").collect()}  # 8 MB in all
+    return b"".join(parts.get(k, bytes(1 << WANTED_BITS - 9)) for k in range(1 << 6))
+
+
+def id_hash(ids: pa.Array) -> np.ndarray:
+    return mixed(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * MULT) >> np.uint64(64 - WANTED_BITS)
+
+
+def in_table(docs: DataFrame, sent, wanted: bool, id_col: str = "doc_id") -> DataFrame:
+    """Rows whose id may be in a broadcast bit table, or those whose id is surely not."""
+    at = docs.columns.index(id_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            h = mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * MULT) >> np.uint64(64 - WANTED_BITS)
-            yield batch.filter(pa.array((table[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
+            h = id_hash(batch.column(at))
+            on = (table[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            yield batch.filter(pa.array(on == wanted))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` joined with ``wanted`` on doc_id; rows surely not wanted are left out before the shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(id_table(wanted))
+    return in_table(docs, sent, True).join(wanted, "doc_id")
+
 
-    return docs.mapInArrow(keep, docs.schema).join(wanted, "doc_id")
+def without(docs: DataFrame, unwanted: DataFrame) -> DataFrame:
+    """``docs`` whose doc_id is not in ``unwanted``; rows surely not in it pass without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(id_table(unwanted))
+    return in_table(docs, sent, False).union(in_table(docs, sent, True).join(unwanted.select("doc_id"), "doc_id", "left_anti"))
 
 
 def verified_links(docs: DataFrame, clusters: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
@@ -371,7 +393,7 @@ def verified_links(docs: DataFrame, clusters: DataFrame, words: int, percent: in
             return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(sets, pa.binary())], names=["doc_id", "cluster", "blocks", "own", "shingles"])
         return step
 
-    texts = _only(docs.select("doc_id", "text"), placed.select("doc_id", "cluster", "blocks", "own"))
+    texts = only(docs.select("doc_id", "text"), placed.select("doc_id", "cluster", "blocks", "own"))
     sets = map_texts(texts, ["doc_id", "text", "cluster", "blocks", "own"], "doc_id long, cluster long, blocks int, own int, shingles binary", make)
     tasks = sets.select("doc_id", "cluster", "own", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = tasks.select("doc_id", "cluster", "shingles", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))

@@ -155,8 +155,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     return model
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of every row, the predicted language of the whole text and a score from 0 to 1.
+def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of every row and, as ``out``, the predicted language of the whole text and a score from 0 to 1.
 
     A null text and one without a letter is ``und`` with score 0, and so is every text if no
     language was learned. Repeated rows stay repeated; other columns are not read.
@@ -174,12 +174,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
                 names += n
                 scores.append(s)
             return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(np.concatenate(scores).astype(np.float64))],
-                                              names=[*batch.schema.names[1:], "lang_pred", "score"])
+                                              names=[*batch.schema.names[1:], *out])
 
         return step
 
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
     return map_texts(docs.select(F.col(text_col).alias("__text"), *keep), ["__text", *keep], schema, make)
 
 

@@ -199,8 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return Model(hashes, weights, bias)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of every row of ``docs`` and the score of its whole text, from 0 to 1.
+def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
+    """Columns ``keep`` of every row of ``docs`` and, as ``out``, the score of its whole text, from 0 to 1.
 
     Null and empty texts have the score of a text without features.
     """
@@ -216,12 +216,12 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"], text_col:
                 row, feature = text_features(batch.column(0).slice(at, BATCH), slot, wanted)
                 n = min(BATCH, batch.num_rows - at)
                 margin[at:at + n] += np.bincount(row, own.weights[feature], minlength=n)
-            return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))], names=[*batch.schema.names[1:], "score"])
+            return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))], names=[*batch.schema.names[1:], out])
 
         return step
 
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
-    return map_texts(docs.select(F.col(text_col).alias("__text"), *keep), ["__text", *keep], T.StructType([*fields, T.StructField("score", T.DoubleType())]), make)
+    return map_texts(docs.select(F.col(text_col).alias("__text"), *keep), ["__text", *keep], T.StructType([*fields, T.StructField(out, T.DoubleType())]), make)
 
 
 def judged(docs: DataFrame, labels: DataFrame, holdout: int = 5) -> DataFrame:
@@ -232,6 +232,6 @@ def judged(docs: DataFrame, labels: DataFrame, holdout: int = 5) -> DataFrame:
     table gives an empty result.
     """
     train_docs, train_labels = docs.where(fold("doc_id", holdout) != 0), labels.where(fold("doc_id", holdout) != 0)
-    scored = score(docs, train(train_docs, train_labels))
+    scored = score(docs, train(train_docs, train_labels), ["doc_id"])
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", holdout) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
