@@ -130,10 +130,25 @@ def test_page_content(spark):
     assert len(row.forms) == 1 and row.forms[0].action == "/login" and row.forms[0].method == "POST"
     assert [i.type for i in row.forms[0].inputs] == ["text", "password", "text"]
     assert row.has_password_field and row.has_login_form and row.links.total == 0
-    parsed = pages.select(F.transform(H.parsed_tags("html"), lambda t: t["tag"]).alias("t")).first().t
+    parsed = pages.select(H.tag_names(H.markup(F.col("html"))).alias("t")).first().t
     assert parsed.count("input") == 3 and parsed.count("a") == 1
 
 
+TEXTS = [("A&copy;B &#x27;q&#x27;", "A\u00a9B 'q'"), ("caf&eacute; &amp;amp; &lt;b&gt;", "caf\u00e9 &amp; <b>"), ("a & b &unknown; &#8364;&#128512;", "a & b &unknown; \u20ac\U0001f600"),
+         ("&#0;&#xD800;&amp", "\ufffd\ufffd&"), ("", ""), (None, None)]
+
+
+def test_character_references(spark):
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(TEXTS)], "id int, t string").select("id", H.unescape(F.col("t")).alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == [b for _, b in TEXTS]
+
+
+def test_nested_hidden_elements(spark):
+    pages = [(1, "<body>a<nav>x<nav>y</nav>z</nav>b<ASIDE class='k'>q</aside>c<navy>d</navy></body>"), (2, "<body>a<nav>open</body>"), (3, None), (4, "<body><header>h</header>t</nav>u</body>")]
+    rows = spark.createDataFrame(pages, "id int, h string").select("id", H.visible_text(F.col("h")).alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == ["a b c d", "a open", None, "t u"]
+
+
 def test_clean_text(spark):
     assert spark.range(1).select(H.tidy(F.lit("  Hello   World  \n\n  Test  "))).first()[0] == "Hello World Test"
 

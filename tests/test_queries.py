@@ -9,7 +9,7 @@ from __spark_entry__ import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 #: rows-only queries that are quick enough for every run
-ROWS_ONLY = ["page_tag_counts_parsed", "connection_basic_vectors", "flow_meter_basic_vectors", "latency_profile_approx",
+ROWS_ONLY = ["connection_basic_vectors", "flow_meter_basic_vectors", "latency_profile_approx",
              "drift_verdict", "isolation_forest_scores", "row_contributions", "scored_feature_file"]
 
 

@@ -1,17 +1,15 @@
 """Page markup as column expressions.
 
-Tags are cut out with regular expressions on the JVM. ``parsed_tags`` gives the same list
-from a real parser for pages whose quoting defeats a pattern.
+Tags are cut out with regular expressions on the JVM.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import json
+from html.entities import name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.functions.url import domain_of, netloc
 from tidewatch.runtime import spread
@@ -20,15 +18,47 @@ from tidewatch.runtime import spread
 HIDDEN_CONTAINERS = ["script", "style", "noscript", "header", "footer", "nav", "aside"]
 HIDDEN_VOID = ["meta", "link"]
 
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+#: Characters of named references, from the standard library's table; a no-break space counts as a blank.
+NAMED = json.dumps({name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "})
+REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31})(;?)"
 ATTRS = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*"""
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 
 
 def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Text with named and numeric character references decoded, each once; others stay as they are."""
+    def decoded(piece: Column) -> Column:
+        found = F.regexp_extract(piece, REFERENCE, 1)
+        digits = F.when(found.rlike("^#[xX]"), F.conv(F.substring(found, 3, 6), 16, 10)).when(found.startswith("#"), F.substring(found, 2, 7))
+        code = digits.cast("bigint")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(code.isNotNull(), "\ufffd")
+        char = F.coalesce(char, F.try_element_at(F.from_json(F.lit(NAMED), "map<string,string>"), F.nullif(found, F.lit(""))))
+        rest = F.length(found) + F.length(F.regexp_extract(piece, REFERENCE, 2)) + 1
+        return F.coalesce(F.concat(char, piece.substr(rest, F.length(piece))), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded), ""))
+    return F.when(text.contains("&"), whole).otherwise(text)
+
+
+def without_elements(html: Column, tag: str) -> Column:
+    """The page without the elements ``tag`` and all inside, nested ones included.
+
+    An element that is not closed is left where it is.
+    """
+    pieces = F.split(html, f"(?i)(?=</?{tag}\\b)")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+
+    def step(state: Column, piece: Column) -> Column:
+        opens, closes = piece.rlike(f"(?is)^<{tag}\\b"), piece.rlike(f"(?is)^</{tag}\\b") & (state["depth"] > 0)
+        depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        shown = F.when(closes, F.concat(F.lit(" "), F.regexp_replace(piece, "(?s)^[^>]*>?", ""))).otherwise(piece)
+        return F.struct(depth.alias("depth"), F.when(depth == 0, F.concat(state["kept"], shown)).otherwise(state["kept"]).alias("kept"))
+
+    done = F.aggregate(pieces, start, step)
+    return F.when(html.rlike(f"(?i)<{tag}\\b"), F.when(done["depth"] == 0, done["kept"]).otherwise(
+        F.regexp_replace(html, f"(?is)<{tag}\\b{ATTRS}>.*?</{tag}\\s*>", " "))).otherwise(html)
 
 
 def tidy(text: Column) -> Column:
@@ -49,6 +79,11 @@ def tags(clean: Column, *names: str) -> Column:
     return F.regexp_extract_all(clean, F.lit(f"(?is)<(?:{'|'.join(names)})\\b{ATTRS}>"), F.lit(0))
 
 
+def tag_names(clean: Column) -> Column:
+    """Lower-case names of all opening tags, in page order."""
+    return F.transform(F.regexp_extract_all(clean, F.lit(f"(?s)<([a-zA-Z][a-zA-Z0-9]*){ATTRS}>"), F.lit(1)), F.lower)
+
+
 def attr(tag: Column, name: str) -> Column:
     """Value of an attribute, '' when it has none."""
     pattern = f"""(?is)\\s{name}\\s*=\\s*(?:"([^"]*)"|'([^']*)'|([^\\s>"']+))"""
@@ -139,8 +174,10 @@ def meta_description(clean: Column) -> Column:
 def visible_text(html: Column) -> Column:
     """Text of the body without the hidden elements."""
     bare = F.regexp_replace(html, "(?s)<!--.*?-->", "")
-    for tag in HIDDEN_CONTAINERS:
+    for tag in HIDDEN_CONTAINERS[:3]:  # raw text cannot nest
         bare = F.regexp_replace(bare, f"(?is)<{tag}\\b{ATTRS}>.*?</{tag}\\s*>", " ")
+    for tag in HIDDEN_CONTAINERS[3:]:
+        bare = without_elements(bare, tag)
     body = F.regexp_extract(bare, "(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|\\z)", 1)
     inner = F.when(bare.rlike("(?i)<body\\b"), body).otherwise(bare)
     return tidy(unescape(F.regexp_replace(inner, "<[^>]*>", " ")))
@@ -197,33 +234,3 @@ def model_text(title_: Column, description: Column, text: Column, max_length: in
     """Title, description and text in one string; ``None`` keeps the whole text."""
     joined = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (title_, description, text)])
     return F.substring(joined, 1, max_length) if max_length else joined
-
-
-class _TagList(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.found: list[dict] = []
-
-    def handle_starttag(self, tag, attrs):
-        self.found.append({"tag": tag, "attrs": {k: v or "" for k, v in attrs}})
-
-
-TAG = T.StructType([T.StructField("tag", T.StringType()),
-                    T.StructField("attrs", T.MapType(T.StringType(), T.StringType()))])
-
-
-def _parse(page: str | None) -> list[dict] | None:
-    if page is None:
-        return None
-    parser = _TagList()
-    parser.feed(page)
-    parser.close()
-    return parser.found
-
-
-def parsed_tags(html: str) -> Column:
-    """All opening tags with their attributes, from the standard parser."""
-    def batch(pages: pd.Series) -> pd.Series:
-        return pages.map(_parse)
-
-    return F.pandas_udf(batch, T.ArrayType(TAG))(html)

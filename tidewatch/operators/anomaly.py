@@ -121,12 +121,11 @@ def feature_groups(corr: np.ndarray, largest: int = 10, above: float = 0.3) -> l
     return groups
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
-
-
 class TinyEncoder:
-    """One hidden layer, trained row by row."""
+    """One hidden layer of hyperbolic tangents and a linear output, trained in small batches."""
+
+    #: Rows of one update: a batch is a handful of matrix products.
+    BATCH = 32
 
     def __init__(self, inputs: int, ratio: float, rate: float, seed: int, mean=None, std=None):
         hidden = max(1, int(inputs * ratio))
@@ -140,23 +139,25 @@ class TinyEncoder:
 
     def errors(self, rows: np.ndarray) -> np.ndarray:
         x = self._ready(rows)
-        back = _sigmoid(_sigmoid(x @ self.w1 + self.b1) @ self.w2 + self.b2)
+        back = np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
         return np.sqrt(((x - back) ** 2).mean(axis=1))
 
     def learn(self, rows: np.ndarray) -> np.ndarray:
-        """Error of every row before its own update."""
+        """Error of every row before the update of its batch."""
         out = np.empty(len(rows))
-        for n, x in enumerate(self._ready(rows)):
-            hidden = _sigmoid(x @ self.w1 + self.b1)
-            back = _sigmoid(hidden @ self.w2 + self.b2)
-            error = x - back
-            out[n] = np.sqrt((error * error).mean())
-            outer = error * back * (1 - back)
-            inner = (self.w2 @ outer) * hidden * (1 - hidden)
-            self.w2 += self.rate * np.outer(hidden, outer)
-            self.b2 += self.rate * outer
-            self.w1 += self.rate * np.outer(x, inner)
-            self.b1 += self.rate * inner
+        ready = self._ready(rows)
+        for at in range(0, len(ready), self.BATCH):
+            x = ready[at:at + self.BATCH]
+            hidden = np.tanh(x @ self.w1 + self.b1)
+            error = x - hidden @ self.w2 - self.b2
+            out[at:at + len(x)] = np.sqrt((error * error).mean(axis=1))
+            # the step of a batch is the mean of its rows' steps, shortened where errors are large
+            step = self.rate / len(x) * error / np.maximum(1.0, np.linalg.norm(error, axis=1, keepdims=True))
+            inner = (step @ self.w2.T) * (1 - hidden * hidden)
+            self.w2 += hidden.T @ step
+            self.b2 += step.sum(axis=0)
+            self.w1 += x.T @ inner
+            self.b1 += inner.sum(axis=0)
         return out
 
     def state(self) -> list[float]:
@@ -190,11 +191,17 @@ class EncoderEnsemble:
     @classmethod
     def fit(cls, df: DataFrame, ordinal: str, column: str, map_rows: int = 5_000, train_rows: int = 50_000,
             largest: int = 10, rate: float = 0.1, ratio: float = 0.75, percentile: float = 99.0, seed: int = 42) -> EncoderEnsemble:
-        """``ordinal`` numbers the packets from 0 without gaps; ``column`` is an array."""
+        """``ordinal`` numbers the packets from 0 without gaps; ``column`` is an array.
+
+        Raises ``ValueError`` if either range holds no packet.
+        """
         from pyspark.ml.functions import array_to_vector
 
         head = materialize(df.where(F.col(ordinal) < map_rows + train_rows).select(F.col(ordinal).alias("no"), F.col(column).alias("x")), "head")
         mapped = head.where(F.col("no") < map_rows)
+        seen = head.agg(F.count_if(F.col("no") < map_rows), F.count_if(F.col("no") >= map_rows)).first()
+        if not seen[0] or not seen[1]:
+            raise ValueError(f"no packets to learn from: {seen[0]} of {map_rows} to map, {seen[1]} of {train_rows} to train")
         corr = correlation_matrix(mapped.select(array_to_vector("x").alias("v")), "v")
         groups = feature_groups(corr, largest)
         width = len(corr)
@@ -235,8 +242,6 @@ class EncoderEnsemble:
         # at most ``train_rows`` rows of one number per group
         last = table.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(train_output, "threshold double, weights array<double>").first()
         output = TinyEncoder(len(groups), ratio, rate, seed - 1)
-        if last is None:
-            return cls(groups, members, output, 1.0)
         return cls(groups, members, output.restore(last["weights"]), last["threshold"])
 
     def score(self, df: DataFrame, column: str, ordinal: str | None = None, trained_until: int = 0) -> DataFrame:

@@ -181,14 +181,16 @@ def reports_from(verdict_rows: DataFrame, above: float = 0.7) -> DataFrame:
 
 
 def detector_statistics(verdict_rows: DataFrame) -> DataFrame:
-    """Totals and threat rate, with one row per threat type of the threats."""
+    """Totals and threat rate, with one row per threat type of the threats.
+
+    Without a threat the totals come with a null type and a count of 0.
+    """
     threats = verdict_rows.where("is_threat")
     by_type = threats.select(F.explode("threat_types").alias("threat_type")).groupBy("threat_type").agg(F.count(F.lit(1)).alias("cnt"))
     total = verdict_rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_threat").alias("t"))
-    return (
-        by_type.withColumn("total", total.select("n").scalar()).withColumn("threats", total.select("t").scalar())
-        .withColumn("threat_rate", F.col("threats") / F.greatest("total", F.lit(1)))
-    )
+    rows = total.withColumn("_all", F.lit(1)).join(by_type.withColumn("_all", F.lit(1)), "_all", "left")
+    return rows.select("threat_type", F.coalesce("cnt", F.lit(0)).alias("cnt"), F.col("n").alias("total"), F.col("t").alias("threats"),
+                       (F.col("t") / F.greatest("n", F.lit(1))).alias("threat_rate"))
 
 
 def reputation_statistics(reputation: DataFrame) -> DataFrame:

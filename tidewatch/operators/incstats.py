@@ -57,7 +57,7 @@ def _cuts(*columns: np.ndarray) -> np.ndarray:
 
 def _fold(fresh: np.ndarray, tau: np.ndarray, added: np.ndarray, rates: np.ndarray) -> np.ndarray:
     """Faded running sums inside each group; ``added`` is rows x rates x sums."""
-    step = np.diff(tau, prepend=tau[:1])
+    step = np.where(fresh, 0.0, np.diff(tau, prepend=tau[:1]))
     keep = np.exp(-np.outer(step, rates))[:, :, None]
     keep[fresh] = 0.0
     total = added.copy()

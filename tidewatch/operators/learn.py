@@ -134,15 +134,24 @@ def test_report(fitted: Model, test: DataFrame, ids: list[str]) -> DataFrame:
 GRIDS: dict[str, dict[str, list]] = {
     "random_forest": {"numTrees": [50, 100], "maxDepth": [10, 20]},
     "gradient_boosting": {"maxIter": [50, 100], "stepSize": [0.05, 0.1]},
-    "logistic_regression": {"regParam": [10.0, 1.0]},
+    "decision_tree": {"maxDepth": [5, 10, 20]},
+    "logistic_regression": {"C": [0.1, 1.0]},
     "naive_bayes": {"smoothing": [1e-9]},
-    "linear_svc": {"regParam": [1.0, 0.1]},
+    "linear_svc": {"C": [1.0, 10.0]},
 }
 
 
-def _grid(estimator: Estimator, settings: dict[str, list]) -> list:
+def penalty(c: float, rows: float) -> float:
+    """Spark's ``regParam`` for an inverse strength ``c``: Spark averages the loss over the rows
+    while the inverse strength weighs their sum."""
+    return 1.0 / (c * max(1.0, rows))
+
+
+def _grid(estimator: Estimator, settings: dict[str, list], rows: float) -> list:
     builder = ParamGridBuilder()
     for name, values in settings.items():
+        if name == "C":
+            name, values = "regParam", [penalty(c, rows) for c in values]
         builder = builder.addGrid(estimator.getParam(name), values)
     return builder.build()
 
@@ -152,9 +161,10 @@ def grid_search(train: DataFrame, grids: dict[str, dict[str, list]] | None = Non
     """Best cross-validated score and refitted model per family."""
     scores, models = {}, {}
     judge = MulticlassClassificationEvaluator(labelCol=LABEL, metricName=metric)
+    rows = train.count() * (folds - 1) / folds
     for name, settings in (grids or GRIDS).items():
         estimator = make_model(name)
-        cv = CrossValidator(estimator=estimator, estimatorParamMaps=_grid(estimator, settings), evaluator=judge,
+        cv = CrossValidator(estimator=estimator, estimatorParamMaps=_grid(estimator, settings, rows), evaluator=judge,
                             numFolds=folds, parallelism=parallelism, seed=seed)
         fitted = cv.fit(train)
         scores[name], models[name] = max(fitted.avgMetrics), fitted.bestModel
@@ -187,6 +197,11 @@ def cross_validated(df: DataFrame, estimator: Estimator, ids: list[str], folds:
     return out
 
 
+def cv_f1(df: DataFrame, estimators: dict[str, Estimator], ids: list[str], folds: int = 5, seed: int = 42) -> dict[str, float]:
+    """F1 of each estimator over its out-of-fold scores: what vote weights are made of."""
+    return {n: evaluate(cross_validated(df, e, ids, folds, seed)).first()["f1"] for n, e in estimators.items()}
+
+
 def cv_metrics(df: DataFrame, estimator: Estimator, ids: list[str], folds: int = 5, seed: int = 42) -> DataFrame:
     """Mean and deviation over the folds of accuracy, precision, recall and F1."""
     scored = cross_validated(df, estimator, ids, folds, seed).withColumn("y_true", F.col(LABEL).cast("int"))
@@ -350,16 +365,23 @@ def reconstruction(train: DataFrame, df: DataFrame, components: int = 10, percen
 
 
 def correlation_matrix(df: DataFrame, column: str = FEATURES):
-    """Pearson correlations of a vector column; undefined entries are 0."""
-    return np.nan_to_num(Correlation.corr(df, column).first()[0].toArray(), nan=0.0)
+    """Pearson correlations of a vector column; undefined entries are 0, also of a column with itself."""
+    raw = Correlation.corr(df, column).first()[0].toArray()
+    off = np.isnan(raw) | np.eye(len(raw), dtype=bool)
+    flat = off.all(axis=1) & (len(raw) > 1)  # a column that does not vary has no correlation at all
+    raw[flat, flat] = np.nan
+    return np.nan_to_num(raw, nan=0.0)
 
 
 def correlation_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The same in long form for named columns, in one aggregation."""
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                      F.coalesce(F.nanvl(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0)), F.lit(0.0)).alias("r"))
-             for a in columns for b in columns]
-    return df.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("e")).select("e.*")
+    """The same in long form for named columns: one row per pair, 0 where a column does not vary.
+
+    Missing values count as 0. The matrix is of the number of columns squared.
+    """
+    numbers = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    corr = correlation_matrix(df.select(array_to_vector(numbers).alias("v")), "v")
+    rows = [(a, b, float(corr[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def area_under_curve(scored: DataFrame) -> float:

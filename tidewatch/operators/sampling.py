@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BITS = 20
-MAX_CLASSES = 10_000
 
 
 def mark_fraction(
@@ -16,11 +14,11 @@ def mark_fraction(
 ) -> DataFrame:
     """Add a flag that is true for exactly ``rows`` or ``round(fraction * n)`` rows.
 
-    Rows are ranked by a hash of their ids. Two small jobs find the last row to pick: a
-    histogram over the leading hash bits names the bucket of the cut (one of 2**20), and
-    only that bucket is ranked. One row per class reaches the driver; the result is then a
-    comparison per row, without a sort or shuffle of the table. With ``by`` the share is
-    taken inside every class.
+    Rows are ranked by a hash of their ids. A histogram over the leading hash bits names the
+    bucket of the cut (one of 2**20), only that bucket is ranked, and the result is a
+    comparison per row. Without ``by`` the one row of the cut reaches the driver and the table
+    is neither sorted nor shuffled. With ``by`` the share is taken inside every class and the
+    cuts, one row per class, stay a frame that is joined; there may be any number of classes.
     """
     g = F.col(by) if by else F.lit(0)
     h = F.xxhash64(*[F.col(c) for c in ids], F.lit(seed))
@@ -35,27 +33,22 @@ def mark_fraction(
         .withColumn("upto", F.sum("c").over(running)).withColumn("n", F.sum("c").over(per_class))
         .withColumn("want", F.least(want, F.col("n")))
         .where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("c") < F.col("want")))
-        .select("_g", "_hb", (F.col("want") - F.col("upto") + F.col("c")).alias("need")).limit(MAX_CLASSES + 1).collect()
+        .select(F.col("_g").alias("_eg"), F.col("_hb").alias("_eb"), (F.col("want") - F.col("upto") + F.col("c")).alias("_need"))
     )
-    if len(edges) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {by}")
-    if not edges:
-        return df.withColumn(out, F.lit(False))
-    spark = df.sparkSession
-    at = spark.createDataFrame([tuple(e) for e in edges], keyed.select("_g", "_hb").schema.add("_need", T.LongType()))
     rank = F.row_number().over(per_class.orderBy("_h", *ids))
     last = (
-        keyed.join(F.broadcast(at), (keyed["_g"].eqNullSafe(at["_g"])) & (keyed["_hb"] == at["_hb"]))
-        .select(keyed["_g"], "_h", *ids, "_need").withColumn("_r", rank).where("_r = _need")
+        keyed.join(edges, F.col("_g").eqNullSafe(F.col("_eg")) & (F.col("_hb") == F.col("_eb")))
+        .select("_g", "_h", *ids, "_need").withColumn("_r", rank).where("_r = _need")
     )
     mine = F.struct(h.alias("_h"), *ids)
     if not by:
         edge = last.first()
+        if edge is None:
+            return df.withColumn(out, F.lit(False))
         limit = F.struct(*[F.lit(edge[c]).cast(last.schema[c].dataType).alias(c) for c in ("_h", *ids)])
         return df.withColumn(out, mine <= limit)
     cuts = last.select(F.col("_g").alias("_cg"), F.struct("_h", *ids).alias("_cut"))
-    known = spark.createDataFrame(cuts.collect(), cuts.schema)
-    joined = df.join(F.broadcast(known), F.col(by).eqNullSafe(F.col("_cg")), "left")
+    joined = df.join(cuts, F.col(by).eqNullSafe(F.col("_cg")), "left")
     return joined.select(*df.columns, F.coalesce(mine <= F.col("_cut"), F.lit(False)).alias(out))
 
 
@@ -121,15 +114,18 @@ def _interpolated(rows: DataFrame, ids: list[str], features: list[str], k: int,
     """Synthetic rows between a row and one of its k nearest rows of the same class."""
     from tidewatch.operators.similarity import nearest
 
-    keyed = rows.withColumn("_id", F.xxhash64(*ids))
+    keyed = rows.withColumn("_id", F.col(ids[0]) if len(ids) == 1 else F.to_json(F.struct(*ids)))
     points = keyed.select("_id", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("_vec"))
     near = nearest(points, points, k, "_id", "_vec", metric="euclidean", skip_self=True)
     wanted = keyed.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    pick = F.pmod(F.xxhash64("_id", "_copy", F.lit(seed)), F.lit(k)) + 1
+    # a class of up to k rows has fewer neighbours; a lone row is its own
+    have = near.groupBy(F.col("query_id").alias("_id")).agg(F.max("rank").cast("bigint").alias("_have"))
+    wanted = wanted.join(have, "_id", "left")
+    pick = F.pmod(F.xxhash64("_id", "_copy", F.lit(seed)), F.col("_have")) + 1
     gap = F.pmod(F.xxhash64("_copy", "_id", F.lit(seed + 1)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     chosen = wanted.withColumn("_pick", pick).withColumn("_gap", gap)
     other = near.select(F.col("query_id").alias("_id"), F.col("rank").cast("bigint").alias("_pick"), F.col("item_id").alias("_other"))
-    joined = chosen.join(other, ["_id", "_pick"]).join(
+    joined = chosen.join(other, ["_id", "_pick"], "left").withColumn("_other", F.coalesce("_other", "_id")).join(
         points.select(F.col("_id").alias("_other"), F.col("_vec").alias("_to")), "_other")
     made = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) + F.col("_gap") * (F.get("_to", F.lit(i)) - F.coalesce(F.col(c).cast("double"), F.lit(0.0)))).alias(c)
             for i, c in enumerate(features)]

@@ -1,8 +1,8 @@
 """Ordered scans and exact order statistics that do not depend on one task per key.
 
-A running value over a key is computed in two levels. Keys with more than ``BLOCK_ROWS``
-rows are cut into blocks of consecutive rows, so a (key, block) group is bounded however
-hot the key is; all other keys are one block.
+A running value over a key is computed in two levels. Keys are cut into blocks of
+consecutive rows by the quantiles of their own rows, so a (key, block) group is bounded however
+hot or bursty the key is; a key of up to ``BLOCK_ROWS`` rows is one block.
 
 1. inside each (key, block) a normal window runs,
 2. one summary row per (key, block) is scanned per key, which is smaller by the block size,
@@ -18,31 +18,37 @@ from pyspark.sql import functions as F
 from tidewatch.runtime import BLOCK_ROWS
 
 BLOCK = "_blk"
+#: Steps of the quantiles of a hot key, and so its most blocks.
+QUANTILES = 512
 
 
 def with_block(df: DataFrame, keys: list[str], ordinal: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add the block of every row; ``ordinal`` is a unique whole number that orders rows.
-
-    A block of a hot key spans ``rows`` ordinals and so holds at most ``rows`` rows. Keys
-    are counted with a map-side combine, and the hot ones are at most ``n / rows``; the
-    planner broadcasts that list when its measured size allows.
-    """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-    block = F.when(F.col("_n").isNotNull(), F.floor(F.col(ordinal) / F.lit(rows)).cast("bigint")).otherwise(0)
-    return df.join(hot, keys, "left").select(*df.columns, block.alias(BLOCK))
+    """Add the block of every row; ``ordinal`` is a unique number that orders rows."""
+    return with_value_block(df, keys, F.col(ordinal), rows)
 
 
 def with_value_block(df: DataFrame, keys: list[str], value: Column, rows: int = BLOCK_ROWS) -> DataFrame:
-    """As ``with_block`` for rows ordered by a time or another number instead of an ordinal:
-    a hot key is cut into equal spans, as many as give ``rows`` rows per block on average."""
+    """Add the block of every row of rows ordered by a number, such as a time.
+
+    Keys are counted with a map-side combine; the hot ones, at most ``n / rows``, get
+    quantiles of their own rows from mergeable sketches. Their blocks are made of whole
+    quantile steps and aim at three quarters of ``rows``; rows of equal value stay together. A
+    key of more than ``QUANTILES`` blocks gets larger ones.
+    """
     timed = df.withColumn("_t", value.cast("double"))
-    hot = (
-        timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-        .where(F.col("_n") > rows)
-    )
-    share = F.try_divide(F.col("_t") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    block = F.coalesce(F.floor(share * F.ceil(F.col("_n") / F.lit(rows))).cast("bigint"), F.lit(0).cast("bigint"))
-    return timed.join(hot, keys, "left").select(*df.columns, block.alias(BLOCK))
+    own = [c.eqNullSafe(d) for c, d in ((F.col(k), F.col(f"_k_{k}")) for k in keys)]
+    match = own[0]
+    for c in own[1:]:
+        match = match & c
+    hot = timed.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    steps = [i / QUANTILES for i in range(1, QUANTILES)]
+    cuts = (timed.join(hot, match).groupBy(*[f"_k_{k}" for k in keys], "_n")
+            .agg(F.percentile_approx("_t", steps, 20 * QUANTILES).alias("_q")))
+    blocks = F.least(F.ceil(F.col("_n") / F.lit(0.75 * rows)), F.lit(QUANTILES)).cast("int")
+    chosen = F.transform(F.sequence(F.lit(1), blocks - 1), lambda i: F.get("_q", F.floor(i * F.lit(QUANTILES) / blocks).cast("int") - 1))
+    cuts = cuts.select(*[f"_k_{k}" for k in keys], F.when(blocks > 1, F.array_distinct(chosen)).alias("_cuts"))
+    block = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_t"))).cast("bigint"), F.lit(0).cast("bigint"))
+    return timed.join(cuts, match, "left").select(*df.columns, block.alias(BLOCK))
 
 
 def with_global_block(df: DataFrame, ordinal: str, rows: int = BLOCK_ROWS) -> DataFrame:

@@ -1,15 +1,18 @@
 """Exact nearest neighbours and what is built on them.
 
-Items are put into the cell of their nearest pivot (a fixed number of sampled vectors).
-With the radius of every cell known, the triangle inequality tells which cells can hold
-one of the k nearest items of a query; the others are never visited. Cells are cut into
-chunks and queries into blocks of bounded size, so a cell with a third of all items is
-many tasks. A (chunk, block) pair meets inside one task as a matrix product and only the
-k best per query leave it. The result is exact; pruning only saves work.
+Items are put into the cell of their nearest pivot (sampled vectors, their number growing with
+the root of the table up to a bound). With the radius of every cell known, the triangle
+inequality tells which cells can hold one of the k nearest items of a query; the others are
+never visited. Cells are cut into chunks and the queries of a cell into blocks of bounded
+size, so a cell with a third of all items is many tasks, and the queries of a block, which lie
+close together, visit much the same cells. An item is copied only to the blocks that visit its
+chunk. A (chunk, block) pair meets inside one task as a matrix product and only the k best
+per query leave it. The result is exact; pruning only saves work.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +23,8 @@ from pyspark.sql import types as T
 
 from tidewatch.runtime import spread
 
-PIVOTS = 32
+#: Fewest and most pivots; between them the square root of the number of items.
+PIVOTS = (16, 1_024)
 CHUNK_ROWS = 20_000
 BLOCK_QUERIES = 4_000
 SLACK = 1e-3
@@ -70,14 +74,14 @@ def _into_cells(items: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec",
-            metric: str = "euclidean", skip_self: bool = False, pivots: int = PIVOTS,
+            metric: str = "euclidean", skip_self: bool = False, pivots: int | None = None,
             chunk_rows: int = CHUNK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """The k nearest items of every query: query_id, item_id, rank, and the distance
     (``euclidean``) or the inner product of unit vectors (``inner``)."""
     q = queries.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     i = items.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     id_type = i.schema["id"].dataType
-    centers = _pivots(i, pivots)
+    centers = _pivots(i, pivots or min(PIVOTS[1], max(PIVOTS[0], math.isqrt(i.count()))))
     out_schema = T.StructType([T.StructField("query_id", q.schema["id"].dataType), T.StructField("item_id", id_type),
                                T.StructField("measure", T.DoubleType())])
     if not len(centers):
@@ -96,11 +100,17 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, id_col: str = "id", ve
         close[c["cell"]] = c["close"] if c["close"] is not None else np.inf
         chunks[c["cell"]] = -(-c["n"] // chunk_rows)
     filled = np.flatnonzero(np.isfinite(radius))
-    blocks = max(1, -(-q.count() // block_queries))
-    per_cell = F.element_at(F.array(*[F.lit(int(n)) for n in chunks]), F.col("cell") + 1)
-    chunked = celled.select(
-        "id", "vec", "cell", F.pmod(F.xxhash64("id"), per_cell).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asking = _into_cells(q, centers).withColumnRenamed("cell", "home")
+    asks = np.zeros(len(centers), dtype=int)  # one number per pivot
+    for r in asking.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect():
+        asks[r["home"]] = r["n"]
+    blocks = np.maximum(1, -(-asks // block_queries))
+
+    def of(numbers: np.ndarray, cell: str) -> Column:
+        return F.element_at(F.array(*[F.lit(int(n)) for n in numbers]), F.col(cell) + 1)
+
+    chunked = celled.select("id", "vec", "cell", F.pmod(F.xxhash64("id"), of(chunks, "cell")).cast("int").alias("chunk"))
+    block = of(np.cumsum(blocks) - blocks, "home") + F.pmod(F.xxhash64("id"), of(blocks, "home"))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -117,7 +127,10 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, id_col: str = "id", ve
 
     visit_schema = T.StructType([*q.schema.fields, T.StructField("block", T.IntegerType()),
                                  T.StructField("cell", T.IntegerType()), T.StructField("chunk", T.IntegerType())])
-    visits = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).mapInPandas(visit, visit_schema)
+    visits = asking.select(*q.columns, block.cast("int").alias("block")).mapInPandas(visit, visit_schema)
+    visited = visits.select(*[F.col(c).alias(f"_{c}") for c in ("cell", "chunk", "block")]).distinct()
+    copied = chunked.join(visited, (F.col("cell") == F.col("_cell")) & (F.col("chunk") == F.col("_chunk")))
+    copied = copied.select("id", "vec", "cell", "chunk", F.col("_block").alias("block"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "item_id": [], "measure": []})
@@ -135,7 +148,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, id_col: str = "id", ve
         return pd.DataFrame({"query_id": qid[rows], "item_id": iid[cols], "measure": -value if metric == "inner" else value})
 
     group = ["cell", "chunk", "block"]
-    found = visits.groupBy(*group).cogroup(chunked.groupBy(*group)).applyInPandas(meet, out_schema)
+    found = visits.groupBy(*group).cogroup(copied.groupBy(*group)).applyInPandas(meet, out_schema)
     best = F.desc("measure") if metric == "inner" else F.asc("measure")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "item_id")))
     return ranked.where(F.col("rank") <= k)

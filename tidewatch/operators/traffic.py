@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.scans import one_row
@@ -66,6 +66,20 @@ def page(df: DataFrame, limit: int = 50, offset: int = 0, order_by: str = "times
     return rows.withColumn("total", df.agg(F.count(F.lit(1))).scalar())
 
 
+def page_with_total(df: DataFrame, limit: int = 50, offset: int = 0, order_by: str = "timestamp", descending: bool = True) -> DataFrame:
+    """One row: the total under the page's predicates and the page as an array of records.
+
+    The total is there also when the page is empty; ``limit`` bounds the array.
+    """
+    rows = page(df, limit, offset, order_by, descending)
+    key = F.col(order_by if order_by in ORDERABLE else "timestamp")
+    place = F.row_number().over(Window.orderBy(key.desc() if descending else key.asc(), "id"))  # at most ``limit`` rows
+    kept = rows.select(place.alias("place"), F.struct(*df.columns).alias("record"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "record")), lambda a, b: a["place"] - b["place"])
+    held = kept.agg(F.transform(listed, lambda x: x["record"]).alias("rows"))
+    return df.agg(F.count(F.lit(1)).alias("total"), F.lit(1).alias("_all")).join(held.withColumn("_all", F.lit(1)), "_all").drop("_all")
+
+
 def page_after(df: DataFrame, last_timestamp: dt.datetime, last_id, limit: int = 50) -> DataFrame:
     """Next page, newest first, after the last row of the page before (keyset paging)."""
     ts, at = F.col("timestamp"), F.lit(last_timestamp)

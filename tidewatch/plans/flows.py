@@ -264,6 +264,7 @@ def reputation_statistics(t):
 @query("detector_statistics", "A23", with_views("flows host_lists", _VERD + """,
 ty AS (SELECT unnest(string_split(threat_types, ',')) AS threat_type FROM vd WHERE threat_score >= 0.5),
 tot AS (SELECT count(*) AS total, count(*) FILTER (threat_score >= 0.5) AS threats FROM vd)
-SELECT threat_type, count(*) AS cnt, any_value(total) AS total, any_value(threats) AS threats, round(any_value(threats)*1e0/any_value(total), 6) AS threat_rate FROM ty, tot GROUP BY 1"""))
+SELECT threat_type, count(*) AS cnt, any_value(total) AS total, any_value(threats) AS threats, round(any_value(threats)*1e0/any_value(total), 6) AS threat_rate FROM ty, tot GROUP BY 1
+UNION ALL SELECT NULL, 0, total, threats, round(threats*1e0/greatest(total, 1), 6) FROM tot WHERE threats = 0"""))
 def detector_statistics(t):
     return rounded(B.detector_statistics(verdict_rows(t)), "threat_rate")

@@ -37,20 +37,18 @@ def connection_training(t):
     return M.assembled(rows, CONN_COLUMNS, L.is_attack()).select("flow_no", "flow_line", "attack_type", "features", "label")
 
 
-_PAIRS = ["src_bytes", "count", "serror_rate", "dst_host_count", "duration"]
-
-
-@query("feature_correlations", "A25", f"WITH {CONNS} " + " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN isnan(corr(\"{a}\", \"{b}\")) THEN 0 ELSE coalesce(corr(\"{a}\", \"{b}\"), 0) END, 6) + 0 AS r FROM conns" for a in _PAIRS for b in _PAIRS))
+@query("feature_correlations", "A25", f"WITH {CONNS}, w AS (SELECT " + ", ".join(
+    f"CASE WHEN isnan(corr(\"{a}\", \"{b}\")) THEN 0 ELSE coalesce(corr(\"{a}\", \"{b}\"), 0) END AS \"{a}|{b}\"" for a in KDD_NUMERIC for b in KDD_NUMERIC)
+    + " FROM conns), u AS (UNPIVOT w ON COLUMNS(*) INTO NAME pair VALUE r) SELECT split_part(pair, '|', 1) AS a, split_part(pair, '|', 2) AS b, round(r, 6) + 0 AS r FROM u")
 def feature_correlations(t):
-    return M.correlation_rows(connection_rows(t), _PAIRS).select("a", "b", (F.round("r", 6) + F.lit(0.0)).alias("r"))
+    return M.correlation_rows(connection_rows(t), KDD_NUMERIC).select("a", "b", (F.round("r", 6) + F.lit(0.0)).alias("r"))
 
 
 @query("batch_scored_connections", "S13 M16 M18")
 def batch_scored_connections(t):
-    rows = connection_training(t)
-    fitted = M.make_model("random_forest", trees=20, depth=8).fit(rows)
-    return M.score(fitted, rows).select("flow_no", "flow_line", "label", "score", "y_pred")
+    train, test = M.split_tables(connection_training(t), ["flow_no", "flow_line"])
+    fitted = M.make_model("random_forest").fit(train)
+    return M.score(fitted, test).select("flow_no", "flow_line", "label", "score", "y_pred")
 
 
 @query("scored_test_table", "M18 M19 F9")
@@ -63,9 +61,8 @@ def scored_test_table(t):
 def test_set_metrics(t):
     out = None
     train, test = M.split_tables(training_rows(t), IDS)
-    for name, params in {"decision_tree": {}, "logistic_regression": {}, "naive_bayes": {}, "linear_svc": {"iterations": 20},
-                         "gradient_boosting": {"rounds": 5}, "random_forest": {"trees": 10, "depth": 6}}.items():
-        fitted = M.make_model(name, **params).fit(train)
+    for name in ("decision_tree", "logistic_regression", "naive_bayes", "linear_svc", "gradient_boosting", "random_forest"):
+        fitted = M.make_model(name).fit(train)
         part = M.evaluate(M.score(fitted, test)).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
@@ -73,7 +70,7 @@ def test_set_metrics(t):
 
 @query("dense_network_scores", "M17")
 def dense_network_scores(t):
-    fitted, _, test = trained(t, "dense_network", inputs=30, hidden=(16,), iterations=20)
+    fitted, _, test = trained(t, "dense_network", inputs=30, hidden=(128, 64, 32))
     return M.score(fitted, test).select("row_id", "label", "score", "y_pred")
 
 
@@ -87,7 +84,8 @@ def prepared_tables(t):
 
 @query("grid_search_scores", "M15 T7 E1")
 def grid_search_scores(t):
-    grids = {"logistic_regression": {"regParam": [10.0, 1.0]}, "naive_bayes": {"smoothing": [1e-9]}}
+    # every family of the grids but the two whose 24 large ensembles take hours on a small machine
+    grids = {n: g for n, g in M.GRIDS.items() if n not in ("random_forest", "gradient_boosting")}
     scores, _ = M.grid_search(materialize(training_rows(t), "rows"), grids)
     # the search result is one number per family; the table adds how many rows it saw
     cells = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(float(s)).alias("score")) for n, s in scores.items()])
@@ -97,17 +95,16 @@ def grid_search_scores(t):
 @query("random_search_score", "M25")
 def random_search_score(t):
     best, found, _ = M.random_search(materialize(training_rows(t), "rows"), "logistic_regression",
-                                     {"regParam": lambda r: 10 ** r.uniform(-3, 0)}, trials=3)
+                                     {"regParam": lambda r: 10 ** r.uniform(-3, 0)})
     return t.phishing.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(float(best["regParam"])).alias("setting"), F.lit(float(found)).alias("f1"), "rows")
 
 
 @query("voting_scores", "M20 M23")
 def voting_scores(t):
     train, test = M.split_tables(training_rows(t), IDS)
-    models = {"logistic_regression": M.make_model("logistic_regression").fit(train), "naive_bayes": M.make_model("naive_bayes").fit(train),
-              "decision_tree": M.make_model("decision_tree", depth=5).fit(train)}
-    f1 = {n: M.evaluate(M.score(m, train)).first()["f1"] for n, m in models.items()}
-    weights = list(M.vote_weights(f1).values())
+    estimators = {n: M.make_model(n) for n in ("logistic_regression", "naive_bayes", "decision_tree")}
+    models = {n: e.fit(train) for n, e in estimators.items()}
+    weights = list(M.vote_weights(M.cv_f1(train, estimators, IDS)).values())
     names = [f"score_{n}" for n in models]
     rows = M.base_scores(models, test)
     return rows.select("row_id", "label", M.soft_vote(names, weights).alias("soft"), M.hard_vote(names, weights).alias("hard"))
@@ -127,25 +124,25 @@ def weighted_votes(t):
 @query("stacked_scores", "M21")
 def stacked_scores(t):
     train, test = M.split_tables(training_rows(t), IDS)
-    bases = {"logistic_regression": M.make_model("logistic_regression", iterations=20), "decision_tree": M.make_model("decision_tree", depth=5)}
-    return M.stack(train, bases, IDS, folds=3).score(test).select("row_id", "label", "score", "y_pred")
+    bases = {"logistic_regression": M.make_model("logistic_regression"), "decision_tree": M.make_model("decision_tree")}
+    return M.stack(train, bases, IDS, folds=5).score(test).select("row_id", "label", "score", "y_pred")
 
 
 @query("blended_scores", "M22")
 def blended_scores(t):
     train, test = M.split_tables(training_rows(t), IDS)
-    bases = {"logistic_regression": M.make_model("logistic_regression", iterations=20), "decision_tree": M.make_model("decision_tree", depth=5)}
+    bases = {"logistic_regression": M.make_model("logistic_regression"), "decision_tree": M.make_model("decision_tree")}
     return M.blend(train, bases, IDS).score(test).select("row_id", "label", "score", "y_pred")
 
 
 @query("cross_validation_metrics", "M24")
 def cross_validation_metrics(t):
-    return M.cv_metrics(training_rows(t), M.make_model("naive_bayes"), IDS, folds=3)
+    return M.cv_metrics(training_rows(t), M.make_model("naive_bayes"), IDS)
 
 
 @query("feature_importances", "M26")
 def feature_importances(t):
-    fitted, _, _ = trained(t, "decision_tree", depth=6)
+    fitted, _, _ = trained(t, "decision_tree")
     return M.feature_importance(fitted, FEATURES, t.spark)
 
 
@@ -192,8 +189,11 @@ def reconstruction_errors(t):
 def encoder_ensemble_scores(t):
     vectors = I.packet_vectors(t.packets)
     rows = materialize(vectors, "vectors")
-    model = A.EncoderEnsemble.fit(rows, "pkt_no", "vector", map_rows=200, train_rows=500)
-    return model.score(rows, "vector", "pkt_no", 700).select("pkt_no", "rmse", "label", "probability", "is_training")
+    # the method's 5,000 and 50,000 packets, or a share of a shorter capture so that some are left to score
+    n = rows.count()
+    mapped, learned = min(5_000, n // 20), min(50_000, n // 2)
+    model = A.EncoderEnsemble.fit(rows, "pkt_no", "vector", map_rows=mapped, train_rows=learned)
+    return model.score(rows, "vector", "pkt_no", mapped + learned).select("pkt_no", "rmse", "label", "probability", "is_training")
 
 
 @query("error_threshold_labels", "M33 M34", with_views("traffic", ", q AS (SELECT quantile_cont(processing_time_ms, 0.99) AS c FROM traffic) SELECT id, CASE WHEN processing_time_ms > c THEN -1 ELSE 1 END AS label, round(least(1e0, processing_time_ms/(c*2)), 6) AS probability FROM traffic, q"))
@@ -209,7 +209,7 @@ def flow_sample_scores(t):
     from pyspark.ml.functions import array_to_vector
 
     rows = m.select("flow_key", "sample_no", array_to_vector(F.flatten("matrix")).alias("features"), F.col("label").cast("double").alias("label"))
-    fitted = M.make_model("logistic_regression", iterations=30).fit(rows)
+    fitted = M.make_model("logistic_regression").fit(rows)
     return M.score(fitted, rows).select("flow_key", "sample_no", "label", "score", "y_pred")
 
 

@@ -54,10 +54,11 @@ flows AS (SELECT l_orderkey AS flow_no, l_linenumber AS flow_line, l_shipdate AS
  CAST(l_quantity AS BIGINT) AS packets_sent
 FROM lineitem)"""
 
+_CELL = ["((event_id*%d + user_id*%d + CAST(floor(value) AS INT)) %% 3 - 1)" % (j + 3, j * j + 1) for j in range(3)]
 VIEWS["phishing"] = "phishing AS (SELECT event_id AS row_id, " + ", ".join(
     f"CASE WHEN (event_id + {j}) % 17 <> 0 THEN CAST((event_id*{j + 3} + user_id*{j * j + 1} + CAST(floor(value) AS INT)) % 3 - 1 AS INT) END AS \"{c}\""
     for j, c in enumerate(PHISHING_FEATURES)
-) + ", CASE WHEN (event_id*10 + user_id*50 + CAST(floor(value) AS INT)) % 3 - 1 >= 0 THEN 1 ELSE -1 END AS \"Result\" FROM events)"
+) + f", CASE WHEN {_CELL[0]} * {_CELL[1]} + {_CELL[2]} + (event_id*31 + user_id*17) % 5 - 2 >= 0 THEN 1 ELSE -1 END AS \"Result\" FROM events)"
 
 VIEWS["rich_pages"] = """
 rich_pages AS (SELECT page_id, url, replace(html, '</body>', concat(

@@ -94,7 +94,5 @@ def neighbour_imputed_rows(t):
 def smote_classes(t):
     from tidewatch.operators.sampling import balance
 
-    # numeric measures of the log: the class is whether the entry is a threat
-    rows = t.phishing.select("row_id", "Result", *FEATURES[:6])
-    out = balance(rows, "Result", ["row_id"], "smote", features=FEATURES[:6])
+    out = balance(t.phishing, "Result", ["row_id"], "smote", features=FEATURES)
     return out.groupBy(F.col("Result").alias("label")).agg(F.count(F.lit(1)).alias("cnt"))

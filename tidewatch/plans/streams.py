@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import behavior as B
 from tidewatch.operators import labels as L
 from tidewatch.operators import learn as M
+from tidewatch.operators.incstats import CHANNELS
 from tidewatch.plans.flows import (
     _FLOW_COLS, _FLOWS, _GREEDY, _MAXS, _REPORTS, _RS, _RUN, _RUN_COLS, _SCOLS, ORDER, flow_contacts, rounded)
 from tidewatch.plans.learn import IDS, training_rows
@@ -63,9 +64,9 @@ def streamed_flow_samples(t):
     return rows.select("flow_key", "sample_no", F.col("packets").cast("bigint").alias("packets"), "first_packet", "last_packet")
 
 
-@query("streamed_damped_statistics", "ST5", with_views("packets", _damped(["ip"]) + f" SELECT pkt_no, {', '.join(_ST)} FROM ds"))
+@query("streamed_damped_statistics", "ST5", with_views("packets", _damped(CHANNELS) + f" SELECT pkt_no, channel, {', '.join(_ST)} FROM ds"))
 def streamed_damped_statistics(t):
-    return snapshots.stream_damped(live(t).packets, ["ip"]).select("pkt_no", *_statistics_columns())
+    return snapshots.stream_damped(live(t).packets, CHANNELS).select("pkt_no", "channel", *_statistics_columns())
 
 
 @query("streamed_behavior", "ST6", with_views("flows", _RUN + f"SELECT {', '.join(_RUN_COLS)}, {_RS}, round({_MAXS}, 6) AS behavior_score FROM running"))

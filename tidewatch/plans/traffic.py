@@ -187,6 +187,19 @@ def log_page(t):
     return rows.select(*_LOG.split(", "), "total")
 
 
+@query("empty_log_page", "T4", with_views("traffic", "SELECT count(*) AS total, 0 AS returned FROM traffic WHERE risk_score>=0.5"))
+def empty_log_page(t):
+    beyond = op.page_with_total(op.search(t.traffic, min_risk_score=0.5), limit=50, offset=1 << 30)
+    return beyond.select("total", F.size("rows").alias("returned"))
+
+
+@query("log_page_with_total", "T4", with_views("traffic", f"""SELECT {_LOG}, place, (SELECT count(*) FROM traffic WHERE risk_score>=0.5) AS total
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY timestamp DESC, id) - 101 AS INT) AS place FROM traffic WHERE risk_score>=0.5) WHERE place BETWEEN 0 AND 49"""))
+def log_page_with_total(t):
+    page = op.page_with_total(op.search(t.traffic, min_risk_score=0.5), limit=50, offset=100)
+    return page.select("total", F.posexplode("rows").alias("place", "r")).select("total", "place", "r.*").select(*_LOG.split(", "), "place", "total")
+
+
 @query("log_page_after", "T4", with_views("traffic", f"""SELECT {_LOG} FROM traffic WHERE timestamp < TIMESTAMP '2024-01-20 12:00:00'
  ORDER BY timestamp DESC, id LIMIT 50"""))
 def log_page_after(t):

@@ -211,10 +211,12 @@ def page_links_and_login(t):
     return H.page_content(t.rich_pages).select("page_id", "links.internal", "links.external", "links.total", "has_password_field")
 
 
-@query("page_tag_counts_parsed", "X31")
+@query("page_tag_counts_parsed", "X31", with_views("rich_pages", PARSED.format(src="rich_pages") + MARKED + r""",
+opened AS (SELECT page_id, lower(unnest(regexp_extract_all(clean, '(?s)<([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1))) AS tag FROM marked)
+SELECT page_id, tag, count(*) AS cnt FROM opened GROUP BY ALL"""))
 def page_tag_counts_parsed(t):
-    found = t.rich_pages.select("page_id", F.explode(H.parsed_tags("html")).alias("t"))
-    return found.groupBy("page_id", F.col("t.tag").alias("tag")).agg(F.count(F.lit(1)).alias("cnt"))
+    found = t.rich_pages.select("page_id", F.explode(H.tag_names(H.markup(F.col("html")))).alias("tag"))
+    return found.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 # --- fixed values: official domains of well-known sites -------------------------------

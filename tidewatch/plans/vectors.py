@@ -12,7 +12,7 @@ from tidewatch.plans.flows import _FLOWS
 from tidewatch.plans.oracle_views import with_views
 from tidewatch.plans.registry import query
 from tidewatch.runtime import spread
-from tidewatch.schemas import KDD_CATEGORICAL, KDD_FEATURES, KDD_NUMERIC
+from tidewatch.schemas import KDD_CATEGORICAL, KDD_FEATURES, KDD_NUMERIC, PHISHING_FEATURES
 from tidewatch.sources.views import connections
 
 _RATES = [repr(r) for r in I.RATES]
@@ -95,13 +95,13 @@ def packet_vectors(t):
     return I.packet_vectors(t.packets).select("pkt_no", *cells("vector", 115, 3))
 
 
-@query("current_source_statistics", "E5", with_views("packets", _CHAN.format(chans="('ip'), ('ip_pair')") + """,
+@query("current_source_statistics", "E5", with_views("packets", _CHAN.format(chans=", ".join(f"('{c}')" for c in I.CHANNELS)) + """,
 now AS (SELECT *, max(ts_s) OVER (PARTITION BY channel, key) AS n FROM chan),
 fin AS (SELECT channel, key, count(*) AS packets, """ + ", ".join(
     f"sum(exp(-{r}*(n-ts_s))) AS w_{i}, sum(exp(-{r}*(n-ts_s))*x) AS s_{i}, sum(exp(-{r}*(n-ts_s))*x*x) AS q_{i}" for i, r in enumerate(_RATES))
     + f" FROM now GROUP BY channel, key) SELECT channel, key, packets, {', '.join(_ST)} FROM fin"))
 def current_source_statistics(t):
-    return I.current_statistics(I.channel_rows(t.packets, ["ip", "ip_pair"])).select("channel", "key", "packets", *_statistics_columns())
+    return I.current_statistics(I.channel_rows(t.packets, I.CHANNELS)).select("channel", "key", "packets", *_statistics_columns())
 
 
 # --- vectors --------------------------------------------------------------------------------
@@ -272,14 +272,12 @@ def enriched_states(t):
     return rows.select("id", *cells("v", 15)[7:10])
 
 
-@query("decision_states", "V17", with_views("phishing", """SELECT row_id, coalesce("URL_Length", 0)*1e0 AS v001, 0.25e0 AS v030, CAST("Result" AS DOUBLE) AS v031, 0.5e0 AS v032 FROM phishing"""))
+@query("decision_states", "V17", with_views("phishing", "SELECT row_id, " + ", ".join(
+    f'coalesce("{c}", 0)*1e0 AS v{i:03d}' for i, c in enumerate(PHISHING_FEATURES)) + ', 0.25e0 AS v030, CAST("Result" AS DOUBLE) AS v031, 0.5e0 AS v032 FROM phishing'))
 def decision_states(t):
-    from tidewatch.schemas import PHISHING_FEATURES
-
     features = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in PHISHING_FEATURES])
     rows = t.phishing.withColumn("v", V.decision_state(features, F.lit(0.25), F.col("Result"), F.lit(0.5)))
-    every = cells("v", 33)
-    return rows.select("row_id", every[1], *every[30:])
+    return rows.select("row_id", *cells("v", 33))
 
 
 

@@ -63,15 +63,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Session setting: number of partitions that CPU-heavy operators deal their input into.
+SPREAD = "spark.tidewatch.spread"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out over the cores when the input has fewer splits than there are cores.
+    """Deal rows out over ``spark.tidewatch.spread`` partitions; without that setting the input stays as it lies.
 
-    For operators that spend much time per row on a small table in few row groups. A table
-    large enough to fill the cluster has more splits than cores and passes unchanged.
+    For tables in fewer splits than there are cores, and operators that spend much time per
+    row. The caller decides; nothing is measured and no job is started.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df if df.isStreaming or not parts else df.repartition(int(parts))

@@ -12,6 +12,8 @@ from tidewatch.runtime import materialize
 from tidewatch.schemas import ACTIONS, PREDICTION, RISK_LEVELS, THREAT_TYPES, TRAFFIC_LOG
 
 DATE = "date"
+#: Fixed value: the folder of rows without a day.
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 STRINGS = T.MapType(T.StringType(), T.StringType())
 
 
@@ -83,26 +85,37 @@ class LogTable:
         return rows.drop(DATE)
 
     def append(self, log: DataFrame) -> None:
-        self._partitioned(log).write.mode("append").partitionBy(DATE).parquet(self.path)
+        self._written(log, "append")
 
-    def append_new(self, log: DataFrame) -> int:
+    def append_new(self, log: DataFrame, lateness: dt.timedelta | None = None) -> int:
         """Append the rows whose id is not stored yet, the earliest one per id; returns how
-        many were written. Only the id column of the table is scanned."""
+        many were written.
+
+        Only ids are compared with the table. With ``lateness`` only the days of the batch,
+        and so much before and after, are scanned: an id that comes back later than that
+        is stored again.
+        """
         first = log.groupBy("id").agg(F.min_by(F.struct(*log.columns), "timestamp").alias("r")).select("r.*")
-        fresh = first.join(self.read().select("id"), "id", "left_anti").select(*log.columns)
+        start = end = None
+        if lateness is not None:
+            span = log.agg(F.min("timestamp"), F.max("timestamp")).first()
+            start, end = (span[0] - lateness, span[1] + lateness) if span[0] else (None, None)
+        fresh = first.join(self.read(start, end).select("id"), "id", "left_anti").select(*log.columns)
         written = Observation()
         self.append(fresh.observe(written, F.count(F.lit(1)).alias("n")))
         return written.get["n"]
 
-    def get(self, log_id) -> DataFrame:
-        """The record with the id; row-group statistics prune the scan."""
-        return self.read().where(F.col("id") == F.lit(log_id))
+    def get(self, log_id, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
+        """The record with the id. Statistics and the Bloom filter of the id skip row groups, a
+        known time range skips whole days."""
+        return self.read(start, end).where(F.col("id") == F.lit(log_id))
 
     def delete_before(self, cutoff: dt.datetime) -> int:
         """Delete rows strictly older than ``cutoff``; returns how many went.
 
-        Days before the cutoff are removed as folders; only the day of the cutoff is
-        rewritten, from a copy of the rows to keep.
+        Days before the cutoff are removed as folders; then the day of the cutoff is
+        rewritten, from a copy of the rows to keep. Rows without a time stay. Every step can be
+        repeated, so a delete that broke off is finished by calling it again.
         """
         old = self.read(end=cutoff).where(F.col("timestamp") < F.lit(cutoff))
         gone = old.count()
@@ -112,26 +125,27 @@ class LogTable:
         midnight, last = dt.datetime.combine(day, dt.time.min), dt.datetime.combine(day, dt.time.max)
         kept = materialize(self.read(start=cutoff, end=last), "kept")
         survivors = not kept.isEmpty()
-        if survivors:
-            self._partitioned(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(self.path)
         fs, path = self._fs()
         for status in fs.listStatus(path):
             name = status.getPath().getName()
-            if name.startswith(f"{DATE}="):
+            if name.startswith(f"{DATE}=") and name != f"{DATE}={NO_DAY}":
                 d = dt.date.fromisoformat(name.split("=", 1)[1])
                 if d < day or (d == day and not survivors and midnight < cutoff):
                     fs.delete(status.getPath(), True)
+        if survivors:
+            self._written(kept, "overwrite", partitionOverwriteMode="dynamic")
         return gone
 
     def clear(self) -> int:
         """Delete every row; returns how many went."""
         n = self.read().count()
         empty = self.spark.createDataFrame([], self.schema)
-        self._partitioned(empty).write.mode("overwrite").partitionBy(DATE).parquet(self.path)
+        self._written(empty, "overwrite")
         return n
 
-    def _partitioned(self, log: DataFrame) -> DataFrame:
-        return log.withColumn(DATE, F.to_date("timestamp"))
+    def _written(self, log: DataFrame, mode: str, **options: str) -> None:
+        writer = log.withColumn(DATE, F.to_date("timestamp")).write.mode(mode).options(**options)
+        writer.option("parquet.bloom.filter.enabled#id", "true").partitionBy(DATE).parquet(self.path)
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm

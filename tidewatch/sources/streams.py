@@ -33,10 +33,21 @@ def sink_to_log(stream: DataFrame, table: LogTable, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available and return its output table."""
+def _folders(spark: SparkSession, name: str, folder: str | None) -> tuple[str, str]:
+    """Output and checkpoint of a stream: below the caller's folder, or fresh ones."""
+    base = folder.rstrip("/") if folder else shared_dir(spark, name)
+    return f"{base}/output", f"{base}/checkpoint"
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over everything available and return its output table.
+
+    With a ``folder`` of the caller's a later call goes on where this one stopped, also after
+    a crash: a repeated micro-batch overwrites its own output. The table holds the output of
+    all calls.
+    """
     spark = stream.sparkSession
-    target, checkpoint = shared_dir(spark, name), shared_dir(spark, f"{name}-state")
+    target, checkpoint = _folders(spark, name, folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
@@ -47,10 +58,10 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(target).drop("batch")
 
 
-def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def drain_updates(stream: DataFrame, name: str, keys: list[str], folder: str | None = None) -> DataFrame:
     """The same in update mode: the newest version of every key."""
     spark = stream.sparkSession
-    target, checkpoint = shared_dir(spark, name), shared_dir(spark, f"{name}-state")
+    target, checkpoint = _folders(spark, name, folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
@@ -65,9 +76,9 @@ def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
 Handler = Callable[[DataFrame, int], None]
 
 
-def for_each_batch(stream: DataFrame, name: str, handler: Handler):
-    """Run a handler over all available micro-batches."""
-    checkpoint = shared_dir(stream.sparkSession, f"{name}-state")
+def for_each_batch(stream: DataFrame, name: str, handler: Handler, folder: str | None = None):
+    """Run a handler over all available micro-batches; with a ``folder`` later calls go on from there."""
+    _, checkpoint = _folders(stream.sparkSession, name, folder)
     run = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
     return run

@@ -115,13 +115,18 @@ def flows(lineitem: DataFrame) -> DataFrame:
 
 
 def phishing(events: DataFrame) -> DataFrame:
-    """30 features in -1/0/1 with nulls, and a target in -1/1, one row per event."""
+    """30 features in -1/0/1 with nulls, and a target in -1/1, one row per event.
+
+    The target follows the product of two features and a third, with noise that no feature
+    holds: no single feature gives it away and no model can be right about every row.
+    """
     whole = F.floor("value").cast("int")
-    cols = []
+    cols, plain = [], []
     for j, name in enumerate(PHISHING_FEATURES):
         raw = (F.col("event_id") * (j + 3) + F.col("user_id") * (j * j + 1) + whole) % 3 - 1
+        plain.append(raw)
         cols.append(F.when((F.col("event_id") + j) % 17 != 0, raw.cast("int")).alias(name))
-    target = (F.col("event_id") * 10 + F.col("user_id") * 50 + whole) % 3 - 1
+    target = plain[0] * plain[1] + plain[2] + (F.col("event_id") * 31 + F.col("user_id") * 17) % 5 - 2
     return events.select(
         F.col("event_id").alias("row_id"), *cols,
         F.when(target >= 0, 1).otherwise(-1).alias("Result"),

@@ -31,12 +31,29 @@ class Versions:
     def read(self, spark, number: int) -> DataFrame:
         return spark.read.parquet(self.path(number))
 
+    def exists(self, spark) -> bool:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
-def stream_damped(packets: DataFrame, channels: list[str] = I.CHANNELS, keep_seconds: float | None = None) -> DataFrame:
+    def forget(self, spark, number: int) -> None:
+        """Remove a version that no repeated micro-batch can ask for any more."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(number))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def newest(self, spark) -> int:
+        """Number of the newest version."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        return max(int(s.getPath().getName().split("=", 1)[1]) for s in found)
+
+
+def stream_damped(packets: DataFrame, channels: list[str] = I.CHANNELS, keep_seconds: float | None = None, folder: str | None = None) -> DataFrame:
     """Damped statistics of every packet over the micro-batches of a stream. Keys not seen
-    for ``keep_seconds`` of event time leave the state."""
+    for ``keep_seconds`` of event time leave the state. With a ``folder`` of the caller's a
+    later call goes on from the state that this one left."""
     spark = packets.sparkSession
-    results, versions = shared_dir(spark, "damped"), Versions(shared_dir(spark, "damped-versions"))
+    folder = folder or shared_dir(spark, "damped")
+    results, versions = f"{folder}/results", Versions(f"{folder}/versions")
 
     def step(batch: DataFrame, number: int) -> None:
         rows = I.channel_rows(batch, channels)
@@ -46,8 +63,10 @@ def stream_damped(packets: DataFrame, channels: list[str] = I.CHANNELS, keep_sec
         if keep_seconds is not None:
             after = after.where(F.col("tau") >= after.agg(F.max("tau")).scalar() - F.lit(keep_seconds))
         versions.write(after, number)
+        if number > 1:
+            versions.forget(spark, number - 2)
 
-    for_each_batch(packets, "damped", step)
+    for_each_batch(packets, "damped", step, folder)
     return spark.read.parquet(results).drop("batch")
 
 
@@ -81,18 +100,22 @@ def lower(reputation: DataFrame, reports: DataFrame) -> DataFrame:
         (had("reports", F.lit(0)) + had("_n", F.lit(0))).alias("reports"), had("source", F.lit("unknown")).alias("source"))
 
 
-def stream_feedback(scored: DataFrame, lists: DataFrame) -> DataFrame:
+def stream_feedback(scored: DataFrame, lists: DataFrame, folder: str | None = None) -> DataFrame:
     """Final reputation after strong verdicts have lowered their sources, batch by batch: a
-    micro-batch is judged by the reputation that the batches before it left."""
+    micro-batch is judged by the reputation that the batches before it left. With a ``folder``
+    of the caller's a later call goes on from there and does not read ``lists`` again."""
     spark = scored.sparkSession
-    versions, last = Versions(shared_dir(spark, "reputation")), [-1]
-    versions.write(initial_reputation(lists), -1)
+    folder = folder or shared_dir(spark, "reputation")
+    versions = Versions(f"{folder}/versions")
+    if not versions.exists(spark):
+        versions.write(initial_reputation(lists), -1)
 
     def step(batch: DataFrame, number: int) -> None:
         now = versions.read(spark, number - 1)
         judged = B.verdicts(with_scores(batch, now))
         versions.write(lower(now, B.reports_from(judged)), number)
-        last[0] = number
+        if number > 0:
+            versions.forget(spark, number - 2)
 
-    for_each_batch(scored, "feedback", step)
-    return versions.read(spark, last[0])
+    for_each_batch(scored, "feedback", step, folder)
+    return versions.read(spark, versions.newest(spark))
