@@ -6,6 +6,7 @@ Tags are cut out with regular expressions on the JVM.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
@@ -25,21 +26,31 @@ ATTRS = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*"""
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed, and held in the plan, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _decoded(piece: Column) -> Column:
+    """What follows an ampersand, with the reference that it may begin with decoded."""
+    def character(found: Column) -> Column:
+        digits = F.when(found.rlike("^#[xX]"), F.conv(F.substring(found, 3, 6), 16, 10)).when(found.startswith("#"), F.substring(found, 2, 7))
+        number = let(digits.cast("bigint"), lambda code: F.when(
+            code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(code.isNotNull(), "\ufffd"))
+        named = F.try_element_at(F.from_json(F.lit(NAMED), "map<string,string>"), F.nullif(found, F.lit("")))
+        end = F.length(found) + F.length(F.regexp_extract(piece, REFERENCE, 2)) + 1
+        return F.concat(F.coalesce(number, named), piece.substr(end, F.length(piece)))
+
+    return F.coalesce(let(F.regexp_extract(piece, REFERENCE, 1), character), F.concat(F.lit("&"), piece))
+
+
 def unescape(text: Column) -> Column:
     """Text with named and numeric character references decoded, each once; others stay as they are."""
-    def decoded(piece: Column) -> Column:
-        found = F.regexp_extract(piece, REFERENCE, 1)
-        digits = F.when(found.rlike("^#[xX]"), F.conv(F.substring(found, 3, 6), 16, 10)).when(found.startswith("#"), F.substring(found, 2, 7))
-        code = digits.cast("bigint")
-        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(code.isNotNull(), "\ufffd")
-        char = F.coalesce(char, F.try_element_at(F.from_json(F.lit(NAMED), "map<string,string>"), F.nullif(found, F.lit(""))))
-        rest = F.length(found) + F.length(F.regexp_extract(piece, REFERENCE, 2)) + 1
-        return F.coalesce(F.concat(char, piece.substr(rest, F.length(piece))), F.concat(F.lit("&"), piece))
+    def whole(pieces: Column) -> Column:
+        rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, _decoded), ""))
 
-    pieces = F.split(text, "&")
-    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded), ""))
-    return F.when(text.contains("&"), whole).otherwise(text)
+    return let(F.split(text, "&"), whole)
 
 
 def without_elements(html: Column, tag: str) -> Column:
@@ -47,7 +58,6 @@ def without_elements(html: Column, tag: str) -> Column:
 
     An element that is not closed is left where it is.
     """
-    pieces = F.split(html, f"(?i)(?=</?{tag}\\b)")
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
 
     def step(state: Column, piece: Column) -> Column:
@@ -56,9 +66,9 @@ def without_elements(html: Column, tag: str) -> Column:
         shown = F.when(closes, F.concat(F.lit(" "), F.regexp_replace(piece, "(?s)^[^>]*>?", ""))).otherwise(piece)
         return F.struct(depth.alias("depth"), F.when(depth == 0, F.concat(state["kept"], shown)).otherwise(state["kept"]).alias("kept"))
 
-    done = F.aggregate(pieces, start, step)
-    return F.when(html.rlike(f"(?i)<{tag}\\b"), F.when(done["depth"] == 0, done["kept"]).otherwise(
-        F.regexp_replace(html, f"(?is)<{tag}\\b{ATTRS}>.*?</{tag}\\s*>", " "))).otherwise(html)
+    plain = f"(?is)<{tag}\\b{ATTRS}>.*?</{tag}\\s*>"
+    return let(html, lambda page: let(F.aggregate(F.split(page, f"(?i)(?=</?{tag}\\b)"), start, step), lambda done: F.when(
+        done["depth"] == 0, done["kept"]).otherwise(F.regexp_replace(page, plain, " "))))
 
 
 def tidy(text: Column) -> Column:

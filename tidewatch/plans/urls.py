@@ -54,8 +54,12 @@ FACT_SQL = {
 _ATTRS = r"""[^>"'']*(?:(?:"[^"]*"|''[^'']*'')[^>"'']*)*"""
 
 
+#: The references that the given pages hold; the twin needs no others.
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
+
+
 def _unescape(x: str) -> str:
-    for entity, char in H.ENTITIES:
+    for entity, char in _ENTITIES:
         x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
     return x
 

@@ -99,7 +99,7 @@ def packet_vectors(t):
 now AS (SELECT *, max(ts_s) OVER (PARTITION BY channel, key) AS n FROM chan),
 fin AS (SELECT channel, key, count(*) AS packets, """ + ", ".join(
     f"sum(exp(-{r}*(n-ts_s))) AS w_{i}, sum(exp(-{r}*(n-ts_s))*x) AS s_{i}, sum(exp(-{r}*(n-ts_s))*x*x) AS q_{i}" for i, r in enumerate(_RATES))
-    + f" FROM now GROUP BY channel, key) SELECT channel, key, packets, {', '.join(_ST)} FROM fin"))
+    + f" FROM now GROUP BY channel, key) SELECT channel, CASE channel WHEN 'mac' THEN '00:00:00:00:00:00->00:00:00:00:00:00' ELSE key END AS key, packets, {', '.join(_ST)} FROM fin"))
 def current_source_statistics(t):
     return I.current_statistics(I.channel_rows(t.packets, I.CHANNELS)).select("channel", "key", "packets", *_statistics_columns())
 
@@ -265,11 +265,11 @@ def security_state_inverse(t):
 
 
 @query("enriched_states", "R26", with_views("traffic model_scores", """SELECT id, round(greatest(coalesce(statistical,0), coalesce(text,0), coalesce(visual,0)), 6) AS v007,
- round((coalesce(statistical,0) + coalesce(text,0) + coalesce(visual,0))/3, 6) AS v008, 0.5e0 AS v009 FROM model_scores"""))
+ round((coalesce(statistical,0) + coalesce(text,0) + coalesce(visual,0))/3, 6) AS v008, 0.5e0 AS v009, """ + ", ".join(f"0e0 AS v{i:03d}" for i in (*range(7), *range(10, 15))) + " FROM model_scores"))
 def enriched_states(t):
     scores = F.array(*[F.coalesce(c, F.lit(0.0)) for c in ("statistical", "text", "visual")])
     rows = t.model_scores.withColumn("v", V.enrich_state(V.state_vector([]), scores))
-    return rows.select("id", *cells("v", 15)[7:10])
+    return rows.select("id", *cells("v", 15))
 
 
 @query("decision_states", "V17", with_views("phishing", "SELECT row_id, " + ", ".join(
