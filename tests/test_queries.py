@@ -6,11 +6,11 @@ import pytest
 from compare import compare, duck
 
 from __spark_entry__ import oracle_sql, queries
+from tidewatch.plans import load_catalog
 
 SF = "/root/testdata/sf0.001"
-#: rows-only queries that are quick enough for every run
-ROWS_ONLY = ["connection_basic_vectors", "flow_meter_basic_vectors", "latency_profile_approx",
-             "drift_verdict", "isolation_forest_scores", "row_contributions", "scored_feature_file"]
+#: rows-only queries of the catalogue: trained models, hashes and sketches
+ROWS_ONLY = sorted(name for name, q in load_catalog().items() if not q.sql)
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(name for name, q in load_catalog().items() if q.sql))
 def test_equals_sql(spark, con, name):
     assert compare(queries()[name](spark, SF), con, oracle_sql()[name]) in (None, "EMPTY")
 

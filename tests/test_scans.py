@@ -151,10 +151,8 @@ def test_encoder_training_equals_one_loop(spark):
     model = A.EncoderEnsemble.fit(df, "no", "v", map_rows=20, train_rows=30)
     mean, std = x[:20].mean(0), x[:20].std(0)
     members = [A.TinyEncoder(len(g), 0.75, 0.1, 42 + i, mean[g], std[g]) for i, g in enumerate(model.groups)]
-    output, errors = A.TinyEncoder(len(members), 0.75, 0.1, 41), []
-    for row in x[20:50]:
-        inner = np.array([m.learn(row[None, g])[0] for m, g in zip(members, model.groups)])
-        errors.append(output.learn(inner[None])[0])
+    output = A.TinyEncoder(len(members), 0.75, 0.1, 41)
+    errors = output.learn(np.column_stack([m.learn(x[20:50][:, g]) for m, g in zip(members, model.groups)]))
     assert model.threshold == pytest.approx(np.percentile(errors, 99))
     scored = model.score(df, "v", "no", 50).where("no >= 50").orderBy("no").collect()
     inner = np.column_stack([m.errors(x[50:, g]) for m, g in zip(members, model.groups)])
