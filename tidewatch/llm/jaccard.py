@@ -35,7 +35,7 @@ from tidewatch.llm.components import components
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: Bits of the table of shared shingles, and most entries of the list of frequent ones: bounds of what is broadcast.
-SHARED_BITS, FREQUENT = 27, 1 << 20
+SHARED_BITS, FREQUENT = 26, 1 << 19
 #: Parts of the hash range in which shingles are counted.
 PARTS = 256
 #: Lists up to this length are joined in full; sets of longer ones are kept together.
@@ -43,7 +43,7 @@ NEAR = 8
 #: Shingles of a verification block: bounds the memory of a task.
 BLOCK = 250_000
 #: Bits of the table of ids whose sets are needed.
-WANTED_BITS = 26
+WANTED_BITS = 25
 BATCH = 256
 MULT, ROOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
@@ -341,7 +341,7 @@ def id_table(ids: DataFrame) -> bytes:
         return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(table, bitorder="little").tobytes()]})
 
     hashes = ids.select("doc_id").mapInArrow(bits, "part int, bit int").distinct()
-    parts = {r["part"]: bytes(r["bits"]) for r in hashes.groupBy("part").applyInPandas(pack, "part int, bits binary").collect()}  # 8 MB in all
+    parts = {r["part"]: bytes(r["bits"]) for r in hashes.groupBy("part").applyInPandas(pack, "part int, bits binary").collect()}  # 4 MB in all
     return b"".join(parts.get(k, bytes(1 << WANTED_BITS - 9)) for k in range(1 << 6))
 
 

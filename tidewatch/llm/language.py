@@ -8,6 +8,7 @@ are shares of hashed byte 2- and 3-grams of the whole text.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -22,7 +23,7 @@ from tidewatch.llm.common import fold, map_texts
 from tidewatch.llm.grams import hashed, letter_bytes
 
 #: Documented bounds of what the machines are fitted on: texts of a language, and of all.
-PER_LANGUAGE, SAMPLE = 1_000, 6_000
+PER_LANGUAGE, SAMPLE = 600, 4_000
 BITS, GRAMS = 11, (2, 3)
 BATCH = 256
 UNKNOWN = "und"
@@ -45,14 +46,15 @@ def fit_svm(rows: np.ndarray, side: np.ndarray, penalty: float = 1e-3, rounds: i
 
     Both sides weigh the same. Accelerated gradient steps of a fixed length over all rows.
     """
-    x = np.hstack([rows, np.ones((len(rows), 1), rows.dtype)])
-    weight = np.where(side > 0, 0.5 / max(1, (side > 0).sum()), 0.5 / max(1, (side < 0).sum()))
-    w, at = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    length = 1.0 / (4.0 + penalty)  # rows have length at most sqrt(2), the loss curvature 2
+    side = side.astype(np.float32)  # all in the rows' own precision: no copy of them is made
+    weight = np.where(side > 0, 0.5 / max(1, (side > 0).sum()), 0.5 / max(1, (side < 0).sum())).astype(np.float32)
+    w, at = np.zeros(rows.shape[1] + 1, np.float32), np.zeros(rows.shape[1] + 1, np.float32)
+    length = np.float32(1.0 / (4.0 + penalty))  # rows have length at most sqrt(2), the loss curvature 2
     for k in range(rounds):
-        slack = np.maximum(0.0, 1 - side * (x @ at))
-        new = at - length * (penalty * at - 2 * (weight * side * slack) @ x)
-        w, at = new, new + k / (k + 3) * (new - w)
+        slack = np.maximum(np.float32(0), 1 - side * (rows @ at[:-1] + at[-1]))
+        pull = 2 * weight * side * slack
+        new = at - length * (np.float32(penalty) * at - np.append(pull @ rows, pull.sum()))
+        w, at = new, new + np.float32(k / (k + 3)) * (new - w)
     return w
 
 
@@ -130,11 +132,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for x in rows for r in x], pa.binary())], names=["lang", "shares"])
 
     found = map_texts(chosen.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), ["text", "lang"], "lang string, shares binary", lambda: shares).toPandas()
-    order = np.argsort([a + "\0" + b.hex() for a, b in zip(found["lang"], found["shares"])], kind="stable")
-    x = np.frombuffer(b"".join(found["shares"].iloc[order]), "<f2").reshape(len(order), -1).astype(np.float32)
+    order = sorted(range(len(found)), key=lambda i: (found["lang"].iat[i], hashlib.blake2b(found["shares"].iat[i], digest_size=16).digest()))
+    x = np.empty((len(order), len(GRAMS) << BITS), np.float32)
+    for row, i in enumerate(order):
+        x[row] = np.frombuffer(found["shares"].iat[i], "<f2")
     names = found["lang"].to_numpy()[order]
-    on = x.any(1)
-    x, names = x[on], names[on]
+    del found
+    if not (on := x.any(1)).all():
+        x, names = x[on], names[on]
     languages = sorted(set(names))
     if not languages:
         return Model()
