@@ -61,20 +61,23 @@ def best_action(risk: Column) -> Column:
     return F.when(risk > 0.8, "BLOCK").when(risk > 0.5, "CHALLENGE").when(risk > 0.3, "ALERT").otherwise("ALLOW")
 
 
-def layered_response(df: DataFrame, level: str, active: bool = True, coin: Column | None = None) -> DataFrame:
+LEVELS = ("off", "low", "medium", "high", "strict")
+
+
+def layered_response(df: DataFrame, level: str | Column, active: bool = True, coin: Column | None = None) -> DataFrame:
     """Two layers: the server blocks critical traffic; the second layer acts by its
-    protection level (low, medium, high, strict). Undecided threats are challenged or
-    alerted by a repeatable coin."""
-    if level not in ("off", "low", "medium", "high", "strict"):
-        raise ValueError(f"unknown protection level {level}")
+    protection level (low, medium, high, strict), given by name or as a column. Undecided
+    threats are challenged or alerted by a repeatable coin."""
+    if isinstance(level, str):
+        if level not in LEVELS:
+            raise ValueError(f"unknown protection level {level}")
+        level = F.lit(level)
     risk = F.col("risk_level")
     toss = F.pmod(F.xxhash64("id"), F.lit(2)) if coin is None else coin
-    second = {
-        "strict": F.lit(True), "high": risk.isin("high", "medium"), "medium": risk == "high",
-        "low": F.lit(False), "off": F.lit(False)}[level]
-    logs = level in ("low", "off") or not active
-    rest = F.lit("log") if logs else F.when(toss == 0, "challenge").otherwise("alert")
-    by_second = second if active else F.lit(False)
+    second = F.when(level == "strict", True).when(level == "high", risk.isin("high", "medium")).when(level == "medium", risk == "high").otherwise(False)
+    logs = level.isin("low", "off") | F.lit(not active)
+    rest = F.when(logs, "log").when(toss == 0, "challenge").otherwise("alert")
+    by_second = second & F.lit(active)
     benign = F.col("threat_type") == "benign"
     action = F.when(benign, "allow").when(risk == "critical", "block").when(by_second, "block").otherwise(rest)
     blocked_by = (

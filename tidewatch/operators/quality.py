@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators.scans import BLOCK, order_statistics, running_totals, with_value_block
-from tidewatch.runtime import spread
+from tidewatch.runtime import materialize, spread
 from tidewatch.schemas import missing_and_extra
 
 
@@ -167,6 +167,7 @@ def ecdf_gap(base: DataFrame, current: DataFrame, columns: list[str]) -> DataFra
         both.where("value IS NOT NULL").groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .withColumn("_mag", magnitude)
     )
+    counts = materialize(counts, "counts")  # read by the blocks, the running counts and the sizes
     counts = with_value_block(counts, ["feature", "_mag"], F.col("value")).withColumn(BLOCK, F.struct("_mag", BLOCK)).drop("_mag")
     run = running_totals(counts, ["feature"], ["value"], {"ca": F.col("a"), "cb": F.col("b")})
     sizes = counts.groupBy("feature").agg(F.sum("a").alias("n_base"), F.sum("b").alias("n_current"))

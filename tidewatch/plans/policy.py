@@ -48,11 +48,8 @@ _LAYERS = " UNION ALL ".join(f"SELECT '{k}' AS level, * FROM ({_layer_sql(s, _LO
 
 @query("layered_responses", "R11", with_views("traffic", _LAYERS))
 def layered_responses(t):
-    out = None
-    for level in _SECOND:
-        part = P.layered_response(t.traffic, level, coin=F.col("id") % 2).select(F.lit(level).alias("level"), "id", "response", "blocked_by")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = t.traffic.withColumn("level", F.explode(F.array(*map(F.lit, _SECOND))))
+    return P.layered_response(rows, F.col("level"), coin=F.col("id") % 2).select("level", "id", "response", "blocked_by")
 
 
 @query("layer_counters", "R12", with_views("traffic", """SELECT count(*) FILTER (threat_type<>'benign' AND risk_level='critical') AS server_blocked,
