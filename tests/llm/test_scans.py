@@ -118,3 +118,11 @@ def test_tree_decides_its_own_table(n):
     tree = html_text.grow(html_text.LABELLED[:, :-1], html_text.LABELLED[:, -1], 8)
     wrong = sum(html_text.decide(tree, r[:-1]) != bool(r[-1]) for r in html_text.LABELLED[n:])
     assert wrong <= 3
+
+
+def test_many_sensitive_words_stay_linear():
+    import time
+
+    text = "the token of a word and " * 40_000
+    start = time.perf_counter()
+    assert secrets.NoveltyScan().spans(text, []) == [] and time.perf_counter() - start < 5

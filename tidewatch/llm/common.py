@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.runtime import materialize, shared_dir
 
-__all__ = ["fold", "list_matrix", "map_texts", "materialize", "shared_dir", "table", "utf8_bytes"]
+__all__ = ["fold", "list_matrix", "map_texts", "materialize", "shared_dir", "small_batches", "table", "utf8_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,19 @@ def fold(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+#: Rows of a record batch: texts can be long, and a task holds a batch more than once.
+BATCH_ROWS = 1_024
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Keep the record batches of this session at ``BATCH_ROWS`` rows or less."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ROWS_SETTING)) <= BATCH_ROWS:
+        conf.set(ROWS_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """Apply a batch function to ``columns`` of ``df``; ``make`` runs once per task.
 
@@ -36,7 +49,7 @@ def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
             if batch.num_rows:
                 yield step(batch)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return small_batches(df).select(*columns).mapInArrow(run, schema)
 
 
 def utf8_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

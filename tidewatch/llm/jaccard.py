@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import map_texts, materialize, utf8_bytes
+from tidewatch.llm.common import map_texts, materialize, small_batches, utf8_bytes
 from tidewatch.llm.components import components
 
 #: ASCII white space separates words, and A-Z count as a-z.
@@ -164,7 +164,7 @@ def count_shingles(docs: DataFrame, words: int) -> tuple[bytes, bytes, bytes]:
                 for own in shingler(batch.column(0).slice(at, BATCH)):
                     held.append((own >> np.uint64(32)).astype(np.uint32))
                     size += len(own)
-                if size > 8_000_000:
+                if size > 4_000_000:
                     yield out()
                     held, size = [], 0
         yield out()
@@ -180,7 +180,7 @@ def count_shingles(docs: DataFrame, words: int) -> tuple[bytes, bytes, bytes]:
                "frequent": pa.array([keys[often].astype("<u4").tobytes()], pa.binary()), "classes": pa.array([classes.tobytes()], pa.binary())}
         return pa.table(row)
 
-    found = (docs.select("text").mapInArrow(collect, "part int, keys binary").repartition(PARTS, "part")
+    found = (small_batches(docs).select("text").mapInArrow(collect, "part int, keys binary").repartition(PARTS, "part")
              .groupBy("part").applyInArrow(add, "part int, shared binary, frequent binary, classes binary").collect())
     by_part = {r["part"]: r for r in found}  # of fixed size: the bit table and at most FREQUENT entries
     empty = bytes(1 << SHARED_BITS - 11)
@@ -360,7 +360,7 @@ def in_table(docs: DataFrame, sent, wanted: bool, id_col: str = "doc_id") -> Dat
             on = (table[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             yield batch.filter(pa.array(on == wanted))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)
 
 
 def only(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tidewatch.llm.common import small_batches
+
 #: Tails that wait in one window; more tails give fewer cuts and cost memory (4 KB each).
 WINDOW = 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -177,4 +179,4 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str | None]], lis
                 yield out(rows)
         yield out(list(packer.end()))
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)

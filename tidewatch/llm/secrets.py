@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import map_texts
+from tidewatch.llm.common import map_texts, small_batches
 
 #: The base patterns and the least length of what they must find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -30,7 +30,8 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = ("passw", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "credential", "bearer", "private_key", "access_key",
              "auth_key", "signing_key", "client_key", "session_key")
 CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNORECASE)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
+LEAST_LENGTH = 12
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % LEAST_LENGTH)
 #: Characters after a sensitive word in which a candidate must begin.
 REACH = 48
 #: Characters of surroundings on either side.
@@ -82,9 +83,8 @@ class NoveltyScan:
             return []
         found, end = [], 0
         for word in CONTEXT.finditer(text):
-            for m in CANDIDATE.finditer(text, max(end, word.end())):
-                if m.start() > word.end() + REACH:
-                    break
+            while at := CANDIDATE.search(text, max(end, word.end()), word.end() + REACH + LEAST_LENGTH):
+                m = CANDIDATE.match(text, at.start())  # the search ends soon after the word, the candidate may not
                 end = m.end()
                 value = m.group()
                 mixed = any(c.isdigit() for c in value) + any("a" <= c <= "z" for c in value) + any("A" <= c <= "Z" for c in value)
@@ -160,4 +160,4 @@ def masked(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
             own = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
             yield pa.RecordBatch.from_arrays([own.get(c, batch.column(k)) for k, c in enumerate(columns)], names=columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import fold, map_texts
+from tidewatch.llm.common import fold, map_texts, small_batches
 from tidewatch.llm.grams import hashed, letter_bytes
 
 #: Documented bounds of what the classifier is fitted on: texts of either side, and features.
@@ -122,7 +122,7 @@ def choose_features(sample: DataFrame, n_positive: int, n_unlabelled: int, most:
         best = np.argsort(-np.abs(z), kind="stable")[:most]
         return pd.DataFrame({"hash": best + key[0] * part, "z": z[best]})
 
-    counted = sample.select("text", "side").mapInArrow(count, "part int, at binary, counts binary")
+    counted = small_batches(sample).select("text", "side").mapInArrow(count, "part int, at binary, counts binary")
     best = counted.groupBy("part").applyInPandas(differing, "hash long, z double")
     rows = best.where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "hash").limit(most).collect()
     return np.array(sorted(r["hash"] for r in rows), np.int64)
