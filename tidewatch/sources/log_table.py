@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,9 +101,9 @@ class LogTable:
             span = log.agg(F.min("timestamp"), F.max("timestamp")).first()
             start, end = (span[0] - lateness, span[1] + lateness) if span[0] else (None, None)
         fresh = first.join(self.read(start, end).select("id"), "id", "left_anti").select(*log.columns)
-        written = Observation()
-        self.append(fresh.observe(written, F.count(F.lit(1)).alias("n")))
-        return written.get["n"]
+        fresh = materialize(fresh, "fresh")  # counted and appended
+        self.append(fresh)
+        return fresh.count()
 
     def get(self, log_id, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
         """The record with the id. Statistics and the Bloom filter of the id skip row groups, a
