@@ -25,8 +25,14 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: null texts and texts without a letter go. ``lang`` stays as it was."""
-    found = language.identify(docs, language.train(docs), docs.columns, out=("__lang", "__score"))
+    """Documents in a language: null texts, texts without a letter and those like no learned language go.
+
+    Where no language can be learned all texts with a letter stay. ``lang`` stays as it was.
+    """
+    model = language.train(docs)
+    if not model.languages:
+        return docs.where(docs["text"].rlike(r"\p{L}"))
+    found = language.identify(docs, model, docs.columns, out=("__lang", "__score"), reject=True)
     return found.where(found["__lang"] != language.UNKNOWN).select(*docs.columns)
 
 

@@ -138,6 +138,26 @@ def test_pipeline_equals_its_plain_version(spark, tmp_path):
     assert secrets.base_spans(masked[6000]["text"]) == [] and jaccard.first_shingles(1, 80) == 1
 
 
+def test_language_stage_without_languages(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(1, "ein Text", None, "s", 8), (2, "42 !", None, "s", 4), (3, None, None, "s", None), (4, "я", None, "s", 1)], SHAPE)
+    assert {r["doc_id"] for r in pipeline.languages(spark, docs, "").collect()} == {1, 4}
+    unlabelled = spark.createDataFrame([(1, "ein Text", None, "s", 8), (2, "42 !", "aa", "s", 4)], SHAPE)
+    assert {r["doc_id"] for r in pipeline.languages(spark, unlabelled, "").collect()} == {1}
+
+
+@pytest.mark.parametrize("known", [["aa"], ["aa", "ab"], ["aa", "ab", "ba"], ["aa", "ab", "ba", "bb"]])
+def test_language_stage_rejects_by_the_machines(spark, known):
+    import corpus_pipeline as pipeline
+
+    rows = [r for r in made(1, 700)[0] if r[2] in known]
+    odd = ["1234 5678 !!! ### a 99 " * 5, "x = 3; y = 4; z = [1,2,3]; " * 5, "aaaaaaaaaaaa " * 20, "日本語の文章です。これは学習に含まれない言語です。" * 4]
+    mixed = rows[0][1] + " " + next(r[1] for r in rows if r[2] == known[-1])
+    docs = spark.createDataFrame(rows + [(9000 + k, x, None, "s", len(x)) for k, x in enumerate(odd)] + [(9100, mixed, None, "s", 1), (9101, "ion her", None, "s", 7)], SHAPE)
+    assert {r["doc_id"] for r in pipeline.languages(spark, docs, "").collect()} == {r[0] for r in rows} | {9100, 9101}
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline as pipeline
 

@@ -27,6 +27,9 @@ PER_LANGUAGE, SAMPLE = 600, 4_000
 BITS, GRAMS = 11, (2, 3)
 BATCH = 256
 UNKNOWN = "und"
+#: With ``reject``, a text of ``SHORT`` characters or more is in no language when its score is at most this share of the
+#: way from chance to 1 and its likeness to the nearest learned language is below ``LIKENESS``.
+ABOVE_CHANCE, LIKENESS, SHORT = 0.3, 0.25, 16
 LETTER = regex.compile(r"\p{L}").search
 
 
@@ -77,11 +80,25 @@ class Model:
     family_weights: np.ndarray | None = None
     pairs: list[tuple[int, int]] = field(default_factory=list)
     pair_weights: np.ndarray | None = None
+    centres: np.ndarray | None = None
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Language and confidence of each text: the family's share times the language's in it."""
+    def strange(self, rows: np.ndarray, family: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Whether the machines score a text near chance and it is like no learned language.
+
+        A text in two learned languages scores low too, but stays like both. With one language
+        there is no machine, and the likeness decides alone.
+        """
+        chance = np.array([1 / (len(self.families) * min(2, len(f))) for f in self.families])[family]
+        return (score <= chance + ABOVE_CHANCE * (1 - chance)) & ((rows[:, :-1] @ self.centres.T).max(1) < LIKENESS)
+
+    def predict(self, texts: pa.Array, reject: bool = False) -> tuple[list[str], np.ndarray]:
+        """Language and confidence of each text: the family's share times the language's in it.
+
+        ``reject`` turns texts in none of the learned languages into ``und``; their score stays.
+        """
         n = len(texts)
-        plain = np.array([x is not None and LETTER(x) is not None for x in texts.to_pylist()], bool)
+        values = texts.to_pylist()
+        plain = np.array([x is not None and LETTER(x) is not None for x in values], bool)
         if not self.languages or not n:
             return [UNKNOWN] * n, np.zeros(n)
         rows = np.hstack([text_shares(texts), np.ones((n, 1), np.float32)])
@@ -109,7 +126,10 @@ class Model:
                     best = rank.argmax(1)
                     chosen[at] = np.array(own)[best]
                     score[at] *= wins[at, chosen[at]] / (len(own) - 1)
-        return [self.languages[c] if p else UNKNOWN for c, p in zip(chosen, plain)], np.where(plain, score, 0.0)
+        score = np.where(plain, score, 0.0)
+        if reject:
+            plain &= ~(np.array([x is not None and len(x) >= SHORT for x in values], bool) & self.strange(rows, family, score))
+        return [self.languages[c] if p else UNKNOWN for c, p in zip(chosen, plain)], score
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, lang_col: str = "lang", id_col: str = "doc_id",
@@ -145,13 +165,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
         return Model()
     at = np.searchsorted(languages, names)
     centres = np.array([x[at == k].mean(0) for k in range(len(languages))])
+    means = centres / np.linalg.norm(centres, axis=1, keepdims=True)
     centres = centres - centres.mean(0) if len(languages) > 2 else centres
     centres /= np.maximum(1e-12, np.linalg.norm(centres, axis=1, keepdims=True))
     families = group_languages(centres)
     family_of = np.empty(len(languages), int)
     for f, own in enumerate(families):
         family_of[own] = f
-    model = Model([str(v) for v in languages], families)
+    model = Model([str(v) for v in languages], families, centres=means.astype(np.float32))
     if len(families) > 1:
         model.family_weights = np.array([fit_svm(x, np.where(family_of[at] == f, 1, -1)) for f in range(len(families))], np.float32)
     model.pairs = [p for own in families for p in combinations(sorted(own), 2)]
@@ -160,13 +181,15 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     return model
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score"),
+             reject: bool = False) -> DataFrame:
     """Columns ``keep`` of every row and, as ``out``, the predicted language of the whole text and a score from 0 to 1.
 
     A null text and one without a letter is ``und`` with score 0, and so is every text if no
-    language was learned. Repeated rows stay repeated; other columns are not read.
+    language was learned. ``reject`` adds texts that are like no learned language to ``und``.
+    Repeated rows stay repeated; other columns are not read.
     """
-    parts = (model.languages, model.families, model.family_weights, model.pairs, model.pair_weights)
+    parts = (model.languages, model.families, model.family_weights, model.pairs, model.pair_weights, model.centres)
     sent = docs.sparkSession.sparkContext.broadcast(parts)  # bounded: a few weights per language and pair of relatives
 
     def make():
@@ -175,7 +198,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             names, scores = [], []
             for at in range(0, batch.num_rows, BATCH):
-                n, s = own.predict(batch.column(0).slice(at, BATCH))
+                n, s = own.predict(batch.column(0).slice(at, BATCH), reject)
                 names += n
                 scores.append(s)
             return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(np.concatenate(scores).astype(np.float64))],
