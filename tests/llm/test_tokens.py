@@ -107,3 +107,10 @@ def test_packing_holds_every_id_once(spark, reference):
     # only what a task has left at its end is shorter, and then a power of two
     assert all(n == 1024 or n & n - 1 == 0 for n in lengths)
     assert packing.pack(docs.limit(0), packing.rank_encoder(public_tokenizers.path(queries.RANKS))).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 3_000_000 + "a", "x" + "\n" * 1_200_000 + " \t" * 60_000 + "12 b", "a" + " " * 1_200_000, " " * 1_200_000 + "<|endoftext|>" + " " * 100_000 + "<|end",
+                                  "a " + "\u2003" * 100_000 + "é" + " " * 99_999 + "b" + " " * 100_001 + "c"])
+def test_packing_encodes_millions_of_blanks(reference, text):
+    encode = packing.rank_encoder(public_tokenizers.path(queries.RANKS), queries.SPECIALS)()
+    assert list(array("I", encode([text])[0])) == reference.encode(text, add_special_tokens=False).ids

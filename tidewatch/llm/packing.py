@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -25,6 +27,9 @@ from tidewatch.llm.common import small_batches
 
 #: Tails that wait in one window; more tails give fewer cuts and cost memory (4 KB each).
 WINDOW = 4096
+#: Least length of runs of white space that are cut out before the encoder, whose pattern fails on very long ones.
+BLANKS = 100_000
+BLANK_RUN = regex.compile(r"(?<!\s)\s{%d,}+" % BLANKS)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -148,7 +153,23 @@ def rank_encoder(path: str, specials: dict[str, int] | None = None) -> Callable[
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=specials or {})
-        return lambda texts: [bpe.encode_to_numpy(x, allowed_special="all").astype("<u4").tobytes() if x else b"" for x in texts]
+        following = tuple(specials or {})
+
+        def part(text: str) -> bytes:
+            return bpe.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() if text else b""
+
+        def whole(text: str) -> bytes:
+            if len(text) < BLANKS:
+                return part(text)
+            out, at = [], 0
+            for m in BLANK_RUN.finditer(text):
+                # the pattern's rule: all blanks up to the end of a section, all but the last one before other text
+                end = m.end() if m.end() == len(text) or text.startswith(following, m.end()) else m.end() - 1
+                out += [part(text[at:m.start()]), array("I", bpe._encode_single_piece(text[m.start():end])).tobytes()]
+                at = end
+            return b"".join([*out, part(text[at:])])
+
+        return lambda texts: [whole(x) if x else b"" for x in texts]
 
     return make
 
