@@ -48,6 +48,19 @@ def test_novel_strings_need_context_and_novelty():
     assert scan.spans(repeated, []) == []
 
 
+KEY = "hR7tQx2LmZ9vWc4TyK8bNd1sJf6GpA3uXe5MoV0q"
+
+
+@pytest.mark.parametrize("size", [24, 40])
+def test_repeated_secrets_are_all_reported(size):
+    scan, key = secrets.NoveltyScan(), KEY[:size]
+    for text in (f"Bearer {key} then use\ncurl -H {key} and once more {key}", f"auth_key={key}\n" + "x y " * 125 + f"{key} end", f"credential {key} " + "word " * 2_000 + f"/v1/{key}/x"):
+        found = scan.spans(text, [])
+        assert len(found) == text.count(key) and all(key in text[a:b] for a, b, _ in found)
+    head = f"{key} bearer {key}"
+    assert [a for a, _, _ in scan.spans(head, [(0, size, "assign")])] == [size + 8]
+
+
 def test_masking_keeps_the_rest(spark):
     docs = spark.createDataFrame([(1, "a token = \"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae\" b", "en", "s", 5), (2, None, None, None, None), (3, "clean", "en", "s", 5)],
                                  "doc_id long, text string, lang string, source string, n_chars long")

@@ -38,6 +38,8 @@ REACH = 48
 SURROUNDINGS = 512
 #: Least growth in bytes, and per byte of the candidate.
 LEAST_BYTES, LEAST_SHARE = 8, 0.5
+#: Least growth per byte of a candidate that its surroundings hold once more: names are repeated too.
+REPEATED_SHARE = 0.75
 #: Common identifiers that prime the compressor.
 IDENTIFIERS = """
 import from return class function def const let var static public private final string int long double boolean true false null none
@@ -46,6 +48,10 @@ environ getenv os.environ process.env user username password passwd secret token
 authorization bearer basic credential credentials session cookie header headers request response http https url localhost host port example
 example.com your_api_key_here your-password changeme placeholder xxxxxxxx test testing default undefined database connection postgres mysql
 redis mongodb aws azure google github aws_access_key_id aws_secret_access_key private_key public_key BEGIN END RSA KEY certificate
+configuration Configuration manager Manager service Service factory Factory provider Provider handler Handler controller Controller
+repository Repository security Security authentication Authentication authorization Authorization application Application management
+interface Interface component Component exception Exception container Container generator Generator validator Validator
+expires encryption signature algorithm validation environment description information implementation development production
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 00000000000000000000000000000000
 """
 
@@ -70,11 +76,23 @@ class NoveltyScan:
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=prime, write_content_size=False, write_checksum=False)
         self.least_share, self.least_bytes = least_share, least_bytes
 
-    def growth(self, text: str, start: int, end: int) -> int:
-        """Bytes that the candidate adds to its compressed surroundings."""
-        before, after = text[max(0, start - SURROUNDINGS):start], text[end:end + SURROUNDINGS]
+    def growth(self, text: str, start: int, end: int) -> tuple[int, bool]:
+        """Bytes that the candidate adds to its compressed surroundings, and whether they hold it once more.
+
+        Other occurrences of the candidate are taken out of the surroundings first, also those
+        that stand across their edges.
+        """
+        key = core(text[start:end])
+        gap, wide = "\0" * len(key), SURROUNDINGS + len(key)
+        before, after = text[max(0, start - wide):start], text[end:end + wide]
+        repeated = key in before or key in after
+        if repeated:
+            before, after = before.replace(key, gap), after.replace(key, gap)
+        before, after = before[-SURROUNDINGS:], after[:SURROUNDINGS]
+        if repeated:
+            before, after = before.replace("\0", ""), after.replace("\0", "")
         size = lambda x: len(self.compressor.compress(x.encode("utf-8", "replace")))
-        return size(before + after + text[start:end]) - size(before + after)
+        return size(before + after + text[start:end]) - size(before + after), repeated
 
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         """Novel strings that overlap none of ``taken``, in order."""
@@ -90,10 +108,39 @@ class NoveltyScan:
                 mixed = any(c.isdigit() for c in value) + any("a" <= c <= "z" for c in value) + any("A" <= c <= "Z" for c in value)
                 if mixed < 2 or any(a < m.end() and m.start() < b for a, b, _ in taken):
                     continue
-                grown = self.growth(text, m.start(), m.end())
-                if grown >= self.least_bytes and grown >= self.least_share * len(value):
+                grown, repeated = self.growth(text, m.start(), m.end())
+                if grown >= self.least_bytes and grown >= (REPEATED_SHARE if repeated else self.least_share) * len(value):
                     found.append((m.start(), m.end(), "novel"))
-        return found
+        return sorted(found + copies(text, found, taken)) if found else found
+
+
+def core(value: str) -> str:
+    """What stands again where a candidate is repeated: its longest part between equal signs, without marks at the ends."""
+    part = max(value.split("="), key=len).strip("+/_.-")
+    return part if len(part) >= LEAST_LENGTH else value
+
+
+def copies(text: str, found: list[tuple[int, int, str]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Further occurrences, in the whole text, of the strings found novel; none overlaps another span."""
+    heads: dict[str, set[str]] = {}
+    for a, b, _ in found:
+        key = core(text[a:b])
+        heads.setdefault(key[:LEAST_LENGTH], set()).add(key)
+    spans = sorted([*taken, *found])
+    out, k, busy = [], 0, 0
+    for run in CANDIDATE.finditer(text):
+        at = run.start()
+        while at + LEAST_LENGTH <= run.end():
+            keys = heads.get(text[at:at + LEAST_LENGTH])
+            key = max((x for x in keys if text.startswith(x, at)), key=len, default="") if keys else ""
+            if key:
+                while k < len(spans) and spans[k][0] < at + len(key):
+                    busy = max(busy, spans[k][1])
+                    k += 1
+                if busy <= at:
+                    out.append((at, at + len(key), "novel"))
+            at += len(key) or 1
+    return out
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
