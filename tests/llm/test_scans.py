@@ -61,6 +61,21 @@ def test_repeated_secrets_are_all_reported(size):
     assert [a for a, _, _ in scan.spans(head, [(0, size, "assign")])] == [size + 8]
 
 
+@pytest.mark.parametrize("context", ["API key: {}", "access key {}", "Private-Key = {}", "accessKey: {}", "privateKey={}", "authKey {}", "pwd: {}", "Authorization: Basic {}",
+                                     "{} is the signing key", "the auth key of the first of all the services in the list that follows is {}", "token:\n  {}"])
+@pytest.mark.parametrize("key", ["q7Gk2LmP9vXw4TzR8bNc1", "xkqzjvwpbfgmhdyctrnlusqoiaezxkvw", "XKQZJVWPBFGMHDYCTRNLUSQO", "583920174665920183745102"])
+def test_contexts_and_single_classes(context, key):
+    text = "some words of a usual text\n" + context.format(key) + "\nand more of them"
+    assert [key in text[a:b] for a, b, _ in secrets.NoveltyScan().spans(text, [])] == [True]
+
+
+def test_words_in_context_stay():
+    scan = secrets.NoveltyScan()
+    for word in ("internationalization", "authentication", "responsibilities", "thenonethingandthening", "AuthenticationManager", "your-api-key-goes-here"):
+        assert scan.spans(f"The access to this is described for all by {word} and by the private key of the service.", []) == []
+        assert scan.spans(f"{KEY} on a line\nof the private key", []) == []
+
+
 def test_masking_keeps_the_rest(spark):
     docs = spark.createDataFrame([(1, "a token = \"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae\" b", "en", "s", 5), (2, None, None, None, None), (3, "clean", "en", "s", 5)],
                                  "doc_id long, text string, lang string, source string, n_chars long")

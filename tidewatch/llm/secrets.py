@@ -1,7 +1,7 @@
 """Secret scan: base patterns, and strings in a sensitive context that zstandard cannot foresee.
 
 A candidate is a run of key-like characters shortly after a word such as ``secret`` or
-``token``. Its novelty is the number of bytes by which the compressed surroundings grow when
+``access key``, or on its line. Its novelty is the number of bytes by which the compressed surroundings grow when
 the candidate is put back, per byte of the candidate; the compressor is primed with a dictionary
 of common identifiers, and the surroundings hold the code and the identifiers next to it. Names,
 paths and repeated values are nearly free, keys are not.
@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -26,20 +27,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "novel")
-#: Words of which one must come shortly before a candidate.
-SENSITIVE = ("passw", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "credential", "bearer", "private_key", "access_key",
-             "auth_key", "signing_key", "client_key", "session_key")
-CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNORECASE)
+#: Words of which one must stand shortly before a candidate or on its line.
+CONTEXT = re.compile(r"passw|passphrase|pwd|secret|token|credential|bearer|authorization|(?:api|access|private|auth|signing|client|session|encryption)[ \t_-]?key",
+                     re.ASCII | re.IGNORECASE)
 LEAST_LENGTH = 12
+ONE_WORD = re.compile(r"[+/_=.-]*(?:[A-Za-z][a-z]*|[A-Z]+)[+/_=.-]*")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % LEAST_LENGTH)
-#: Characters after a sensitive word in which a candidate must begin.
+#: Characters after a sensitive word in which a candidate may begin on the next lines; on the word's line it may begin anywhere.
 REACH = 48
 #: Characters of surroundings on either side.
 SURROUNDINGS = 512
 #: Least growth in bytes, and per byte of the candidate.
 LEAST_BYTES, LEAST_SHARE = 8, 0.5
-#: Least growth per byte of a candidate that its surroundings hold once more: names are repeated too.
-REPEATED_SHARE = 0.75
+#: Least growth per byte where less speaks for a secret: further than ``REACH`` after a word or before it, and for a
+#: candidate that its surroundings hold once more, as names are.
+WEAK_SHARE = 0.75
+#: Least growth in bytes, and per byte, of a candidate without a second kind of character, which a long word may be as well.
+PLAIN_BYTES, PLAIN_SHARE = 15, 0.65
 #: Common identifiers that prime the compressor.
 IDENTIFIERS = """
 import from return class function def const let var static public private final string int long double boolean true false null none
@@ -96,24 +100,54 @@ class NoveltyScan:
 
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         """Novel strings that overlap none of ``taken``, in order."""
-        low = text.lower()
-        if not any(word in low for word in SENSITIVE):
+        words = [m.span() for m in CONTEXT.finditer(text)]
+        if not words:
             return []
-        found, end = [], 0
-        for word in CONTEXT.finditer(text):
-            while at := CANDIDATE.search(text, max(end, word.end()), word.end() + REACH + LEAST_LENGTH):
-                m = CANDIDATE.match(text, at.start())  # the search ends soon after the word, the candidate may not
-                end = m.end()
-                value = m.group()
-                mixed = any(c.isdigit() for c in value) + any("a" <= c <= "z" for c in value) + any("A" <= c <= "Z" for c in value)
-                if mixed < 2 or any(a < m.end() and m.start() < b for a, b, _ in taken):
-                    continue
-                grown, repeated = self.growth(text, m.start(), m.end())
-                if grown >= self.least_bytes and grown >= (REPEATED_SHARE if repeated else self.least_share) * len(value):
-                    found.append((m.start(), m.end(), "novel"))
+        ends = [b for _, b in words]
+        lines: list[tuple[int, int]] = []
+        for a, b in words:
+            if not lines or a >= lines[-1][1]:
+                stop = text.find("\n", b)
+                lines.append((text.rfind("\n", 0, a) + 1, len(text) if stop < 0 else stop))
+        found, line, k, busy = [], 0, 0, 0
+        taken = sorted(taken)
+        for start, end in _candidates(text, words):
+            while line < len(lines) and lines[line][1] <= start:
+                line += 1
+            last = bisect_right(ends, start) - 1
+            near = last >= 0 and start <= ends[last] + REACH
+            while k < len(taken) and taken[k][0] < end:
+                busy = max(busy, taken[k][1])
+                k += 1
+            if not near and (line == len(lines) or start < lines[line][0]) or busy > start:
+                continue
+            value = text[start:end]
+            grown, repeated = self.growth(text, start, end)
+            least, share = self.least_bytes, self.least_share
+            if plain := value.isdigit() or ONE_WORD.fullmatch(value):
+                least, share = max(least, PLAIN_BYTES), max(share, PLAIN_SHARE)
+            if repeated or not near and not plain:
+                share = max(share, WEAK_SHARE)
+            if grown >= least and grown >= share * len(value):
+                found.append((start, end, "novel"))
         return sorted(found + copies(text, found, taken)) if found else found
 
 
+def _candidates(text: str, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of key-like characters; a sensitive word inside a run cuts it into what stands before and after the word."""
+    k = 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while k < len(words) and words[k][1] <= start:
+            k += 1
+        if k < len(words) and words[k][0] < end:
+            if words[k][0] - start >= LEAST_LENGTH:
+                yield start, words[k][0]
+            start = words[k][1]
+        if end - start >= LEAST_LENGTH:
+            yield start, end
+
+
 def core(value: str) -> str:
     """What stands again where a candidate is repeated: its longest part between equal signs, without marks at the ends."""
     part = max(value.split("="), key=len).strip("+/_.-")
