@@ -30,6 +30,8 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words of which one must stand shortly before a candidate or on its line.
 CONTEXT = re.compile(r"passw|passphrase|pwd|secret|token|credential|bearer|authorization|(?:api|access|private|auth|signing|client|session|encryption)[ \t_-]?key",
                      re.ASCII | re.IGNORECASE)
+#: Parts of which every match of that pattern holds one.
+PARTS = ("passw", "passphrase", "pwd", "secret", "token", "credential", "bearer", "authorization", "key")
 LEAST_LENGTH = 12
 ONE_WORD = re.compile(r"[+/_=.-]*(?:[A-Za-z][a-z]*|[A-Z]+)[+/_=.-]*")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % LEAST_LENGTH)
@@ -100,6 +102,9 @@ class NoveltyScan:
 
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         """Novel strings that overlap none of ``taken``, in order."""
+        low = text.lower()
+        if not any(part in low for part in PARTS):  # much faster than the pattern
+            return []
         words = [m.span() for m in CONTEXT.finditer(text)]
         if not words:
             return []
