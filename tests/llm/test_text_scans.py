@@ -113,6 +113,23 @@ def test_templates_follow_labelled_paths(spark):
     assert judged[1]["template"] == "/fr/*"
 
 
+def test_templates_go_to_any_depth(spark):
+    kinds = ["casino", "news"]
+    rows = [(i, f"http://h.org/blog/{2020 + i % 5}/{i % 12}/{kinds[i % 2]}/a/b/{i}") for i in range(400)]
+    rows += [(1000 + i, f"http://x.net/blog/{2020 + i % 5}/{i % 12}/{kinds[i % 2]}/a/b/{i}") for i in range(400)]
+    rows += [(3000, "http://lone.org/" + "/".join(f"s{k}" for k in range(25))), (3001, "http://two.org/a/b/c/d/e/f"), (3002, "http://two.org/a/b/c/d/e/f"),
+             (3003, "http://star.org/*/~/*/~"), (3004, "http://star.org/~/*/q")]
+    rules = [("block", f"x.net/blog/{y}/{m}/casino/") for y in range(2020, 2025) for m in range(12)] + [("allow", f"x.net/blog/{y}/{m}/news/") for y in range(2020, 2025) for m in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: tuple(r) for r in url_filter.judge_urls(pages, rules).drop("share").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    assert got == {r[0]: r for r in con.execute(url_filter.judge_urls_sql(rules)).fetchall()}
+    assert {got[i][4] for i in range(0, 400, 2)} == {"block"} and {got[i][4] for i in range(1, 400, 2)} == {"allow"}
+    assert got[3000][5].count("/") == 25
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body class="no-sidebar">
 <header><h1>Site</h1><p>Tagline of the site</p></header><nav><ul><li><a href="/">Home</a><li><a href="/b">B</a></ul></nav>
 <div class="cookie-notice">We use cookies on this site, and so on and so forth.</div>

@@ -3,8 +3,8 @@
 Every distinct path is put into the tree of its host and into one tree of all hosts. Level by
 level a segment that only one path, or a small share of its parent's, holds becomes the wildcard ``*``; a common segment
 whose labelled share of blocked paths cannot be told from that of its siblings (a two-proportion
-test) is merged with them into the branch ``~``; the others keep their name. A template is
-judged by the share of blocked paths among its labelled ones, smoothed towards the share of the
+test) is merged with them into the branch ``~``; the others keep their name. That goes on until no
+path has a segment left. A template is judged by the share of blocked paths among its labelled ones, smoothed towards the share of the
 template in the tree of all hosts, which in turn is smoothed towards one half. The labels are the
 verdicts of a short list of rules.
 """
@@ -16,10 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import materialize
+from tidewatch.llm.common import materialize, shared_dir
 
-#: Segments that are told apart; deeper ones share the template of the path above them.
-DEPTH = 3
 #: A segment held by less than one in so many paths of its parent is variable.
 RARE = 50
 #: Weight, in labelled paths, of the share that smooths a template's own.
@@ -52,32 +50,58 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 
 
 def _grown(paths: DataFrame, level: int, rare: int) -> DataFrame:
-    """Add the branch of segment ``level`` to the template of every path that has one."""
-    seg = F.get("segments", F.lit(level))
-    here = paths.withColumn("segment", seg)
+    """Add the branch of segment ``level`` to the template of every path; all paths have that segment.
+
+    A path that is alone in its template has its further branches all alike, so it gets them at once.
+    """
+    here = paths.withColumn("segment", F.get("segments", F.lit(level)))
     sums = [F.sum(c).alias(c) for c in ("n", "blocked", "labelled")]
-    child = here.where("segment IS NOT NULL").groupBy("tree", "template", "segment").agg(*sums)
-    parent = child.groupBy("tree", "template").agg(*(F.sum(c).alias("all_" + c) for c in ("n", "blocked", "labelled")))
+    child = here.groupBy("tree", "template", "segment").agg(*sums, F.count("*").alias("paths"))
+    parent = child.groupBy("tree", "template").agg(*(F.sum(c).alias("all_" + c) for c in ("n", "blocked", "labelled", "paths")))
     d = {c: F.col(c).cast("double") for c in ("blocked", "labelled", "all_blocked", "all_labelled")}
     other_blocked, other_labelled = d["all_blocked"] - d["blocked"], d["all_labelled"] - d["labelled"]
     gap = d["blocked"] * other_labelled - other_blocked * d["labelled"]
     spread = d["labelled"] * other_labelled * d["all_blocked"] * (d["all_labelled"] - d["all_blocked"])
-    branch = (F.when((F.col("n") * rare < F.col("all_n")) | (F.col("n") < 2), "*")
-              .when((spread > 0) & (gap * gap * d["all_labelled"] > Z2 * spread), F.col("segment")).otherwise("~"))
-    named = child.join(parent, ["tree", "template"]).select("tree", "template", "segment", branch.alias("branch"))
-    grown = here.join(named, ["tree", "template", "segment"], "left")
-    return grown.select("host", "path", "segments", "tree", F.concat("template", F.coalesce(F.concat(F.lit("/"), "branch"), F.lit(""))).alias("template"),
-                        "n", "blocked", "labelled")
-
-
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], depth: int = DEPTH, rare: int = RARE, weight: float = WEIGHT,
+    variable = (F.col("n") * rare < F.col("all_n")) | (F.col("n") < 2)
+    apart = ~variable & (spread > 0) & (gap * gap * d["all_labelled"] > Z2 * spread)
+    alone = (F.col("all_paths") == 1) | apart & (F.col("paths") == 1) & ~F.col("segment").isin("*", "~")
+    branch = F.when(variable, "*").when(apart, F.col("segment")).otherwise("~")
+    named = child.join(parent, ["tree", "template"]).select("tree", "template", "segment", branch.alias("branch"), alone.alias("alone"))
+    left = F.size("segments") - level - 1
+    rest = F.when(F.col("alone"), F.repeat(F.when(F.col("n") < 2, "/*").otherwise("/~"), left)).otherwise("")
+    grown = here.join(named, ["tree", "template", "segment"])
+    return grown.select("host", "path", "segments", "tree", F.concat("template", F.lit("/"), "branch", rest).alias("template"), "n", "blocked", "labelled",
+                        (F.col("alone") | (left == 0)).alias("done"))
+
+
+def template_tree(paths: DataFrame, rare: int = RARE) -> DataFrame:
+    """The templates of all paths, level by level until no path has a segment left.
+
+    ``paths`` holds host, path, segments, tree, n, blocked and labelled. Finished paths take no part in the next
+    level; the number of levels is that of the longest path among those that stay together.
+    """
+    spark = paths.sparkSession
+    finished = shared_dir(spark, "url-templates")
+    names = ["host", "path", "tree", "template", "n", "blocked", "labelled"]
+    start = paths.withColumn("template", F.lit(""))
+    start.where(F.size("segments") == 0).select(names).write.parquet(finished)
+    todo, level = start.where(F.size("segments") > 0), 0
+    while True:
+        grown = materialize(_grown(todo, level, rare), "url-tree")
+        grown.where("done").select(names).write.mode("append").parquet(finished)
+        todo, level = grown.where("NOT done").drop("done"), level + 1
+        if todo.isEmpty():
+            return spark.read.parquet(finished)
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], rare: int = RARE, weight: float = WEIGHT,
                id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Verdict of every URL: the longest rule's, else that of its path template.
 
     Returns one row per input row: id, host, path, rule (null if none fits), verdict (``allow``
     or ``block``), template and the template's smoothed share of blocked paths. A null or empty
-    URL, or one without ``://``, has empty host and path and the empty template. A share of
-    exactly one half allows. Further columns are not read; an empty table gives an empty result.
+    URL, or one without ``://``, has empty host and path and the empty template. Paths of any depth
+    are told apart segment by segment. A share of exactly one half allows. Further columns are not read; an empty table gives an empty result.
     """
     host, path = host_and_path(F.coalesce(F.col(url_col), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -85,10 +109,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], depth: int =
     paths = rows.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("fit.verdict") == "block", 1)).alias("blocked"), F.count("fit").alias("labelled"))
     tree = paths.select("host", "path", F.filter(F.split("path", "/"), lambda s: s != "").alias("segments"),
-                        F.explode(F.array(F.concat(F.lit("host:"), "host"), F.lit("all"))).alias("tree"),
-                        F.lit("").alias("template"), "n", "blocked", "labelled")
-    for level in range(depth):
-        tree = materialize(_grown(tree, level, rare), "url-tree")
+                        F.explode(F.array(F.concat(F.lit("host:"), "host"), F.lit("all"))).alias("tree"), "n", "blocked", "labelled")
+    tree = template_tree(tree, rare)
     votes = tree.groupBy("tree", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
     general = votes.where("tree = 'all'").select(F.col("template").alias("wide"), ((F.col("blocked") + 1.0) / (F.col("labelled") + 2.0)).alias("wide_share"))
     own = votes.where("tree <> 'all'").select("tree", "template", "blocked", "labelled")
@@ -101,26 +123,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], depth: int =
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "template", "share")
 
 
-def _level_sql(level: int) -> str:
-    i, o = f"t{level}", f"t{level + 1}"
-    return f"""
-s{level} AS (SELECT *, list_extract(segments, {level + 1}) AS segment FROM {i}),
-c{level} AS (SELECT tree, template, segment, sum(n) AS n, sum(blocked) AS blocked, sum(labelled) AS labelled FROM s{level} WHERE segment IS NOT NULL GROUP BY ALL),
-p{level} AS (SELECT tree, template, sum(n) AS all_n, sum(blocked) AS all_b, sum(labelled) AS all_l FROM c{level} GROUP BY ALL),
-b{level} AS (SELECT tree, template, segment, CASE WHEN n * {RARE} < all_n OR n < 2 THEN '*'
-    WHEN labelled * (all_l - labelled) * all_b * (all_l - all_b) > 0
-     AND pow(blocked * (all_l - labelled) - (all_b - blocked) * labelled, 2) * all_l > {Z2} * (labelled * (all_l - labelled) * all_b * (all_l - all_b))
-    THEN segment ELSE '~' END AS branch FROM c{level} JOIN p{level} USING (tree, template)),
-{o} AS (SELECT host, path, segments, s.tree, s.template || coalesce('/' || branch, '') AS template, n, blocked, labelled
-    FROM s{level} s LEFT JOIN b{level} b ON s.tree = b.tree AND s.template = b.template AND s.segment = b.segment)"""
-
-
 def judge_urls_sql(rules: Sequence[tuple[str, str]], source: str = "pages") -> str:
     """The same judgement for DuckDB."""
     values = ", ".join(f"('{verdict}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for verdict, rule in rules)
-    levels = ",".join(_level_sql(k) for k in range(DEPTH))
     return rf"""
-WITH rules(verdict, rule, rule_host, rule_path) AS (VALUES {values}),
+WITH RECURSIVE rules(verdict, rule, rule_host, rule_path) AS (VALUES {values}),
 u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {source}),
 h AS (SELECT r, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
 q AS (SELECT r, page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
@@ -128,11 +135,20 @@ f AS (SELECT r, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)
     FROM q JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r),
 g AS (SELECT q.*, f.rule, f.fit FROM q LEFT JOIN f USING (r)),
 d AS (SELECT host, path, count(*) AS n, count(*) FILTER (fit = 'block') AS blocked, count(fit) AS labelled FROM g GROUP BY ALL),
-t0 AS (SELECT host, path, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, unnest(['host:' || host, 'all']) AS tree, '' AS template, n, blocked, labelled FROM d),
-{levels},
-v AS (SELECT tree, template, sum(blocked) AS blocked, sum(labelled) AS labelled FROM t{DEPTH} GROUP BY ALL),
+t AS (SELECT 0 AS level, host, path, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, unnest(['host:' || host, 'all']) AS tree, '' AS template,
+    n::HUGEINT AS n, blocked::HUGEINT AS blocked, labelled::HUGEINT AS labelled FROM d
+  UNION ALL
+  SELECT level + 1, host, path, segments, tree, template || '/' || CASE WHEN c_n * {RARE} < all_n OR c_n < 2 THEN '*'
+    WHEN c_l * (all_l - c_l) * all_b * (all_l - all_b) > 0
+     AND pow(c_b::DOUBLE * (all_l - c_l) - (all_b - c_b) * c_l::DOUBLE, 2) * all_l > {Z2} * (c_l::DOUBLE * (all_l - c_l) * all_b * (all_l - all_b))
+    THEN segment ELSE '~' END, n, blocked, labelled
+  FROM (SELECT *, segments[level + 1] AS segment, sum(n) OVER c AS c_n, sum(blocked) OVER c AS c_b, sum(labelled) OVER c AS c_l,
+        sum(n) OVER p AS all_n, sum(blocked) OVER p AS all_b, sum(labelled) OVER p AS all_l
+    FROM t WHERE len(segments) > level WINDOW c AS (PARTITION BY tree, template, segments[level + 1]), p AS (PARTITION BY tree, template))),
+e AS (SELECT * FROM t WHERE level = len(segments)),
+v AS (SELECT tree, template, sum(blocked) AS blocked, sum(labelled) AS labelled FROM e GROUP BY ALL),
 w AS (SELECT o.host, o.path, o.template, (vo.blocked + {WEIGHT} * ((va.blocked + 1.0::DOUBLE) / (va.labelled + 2.0::DOUBLE))) / (vo.labelled + {WEIGHT}::DOUBLE) AS share
-    FROM t{DEPTH} o JOIN t{DEPTH} a ON o.host = a.host AND o.path = a.path AND o.tree <> 'all' AND a.tree = 'all'
+    FROM e o JOIN e a ON o.host = a.host AND o.path = a.path AND o.tree <> 'all' AND a.tree = 'all'
     JOIN v vo ON vo.tree = o.tree AND vo.template = o.template JOIN v va ON va.tree = 'all' AND va.template = a.template)
 SELECT page_id, g.host, g.path, rule, coalesce(fit, CASE WHEN share > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template
 FROM g JOIN w ON g.host = w.host AND g.path = w.path"""
