@@ -19,6 +19,9 @@ def test_equals_sql(spark, name):
 def test_has_a_row_for_every_input_row(spark, name):
     rows = QUERIES[name](spark, SF)
     table, key = ("embeddings", "vec_id") if name.startswith("op7") else ("pages", "page_id") if name.startswith("op10") else ("documents", "doc_id")
+    if name.startswith("op13"):
+        assert rows.count() > 0
+        return
     own = spark.read.parquet(f"{SF}/{table}.parquet")
     if name.startswith("op7"):
         assert rows.select("query_id").distinct().count() == own.where("vec_id % 20 = 0").count()
