@@ -70,9 +70,9 @@ def test_boxes_prune_rows():
 
     scored = tree.search(x[3], lambda under, over, least, most: over >= best.least, take)
     exact = np.lexsort((np.arange(6000), -(x @ x[3])))[:5]
-    assert list(best.ids) == list(exact) and scored < 2500
+    assert list(best.ids) == list(exact) and scored < 2500 and sorted(tree.ids) == list(range(6000))
     low, high, _, _ = tree.levels[0]
     under, over = hn.bounds(low, high, x[3])
     for rows, a, b in zip(tree.leaves, under, over):
-        s = x[rows] @ x[3]
+        s = tree.vectors[rows] @ x[3]
         assert a <= s.min() and s.max() <= b

@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import list_matrix, materialize, small_batches
 from tidewatch.llm.topk import finite
 
-#: Rows of a shard and most shards, whose boxes are broadcast (two rows of numbers each); beyond them shards grow.
-SHARD, SHARDS = 32_768, 8_192
+#: Rows of a shard: ``ROOT`` times the root of the table's rows, between the first two bounds (every anchor may go to
+#: every shard, so more shards mean more copies). Most shards, whose boxes are broadcast; beyond them shards grow.
+LEAST_SHARD, MOST_SHARD, ROOT, SHARDS = 2_048, 131_072, 32, 8_192
 #: Anchors of a block: bounds the memory of a task.
 BLOCK = 4_096
 #: Rows of a leaf and children of a node.
-LEAF, FAN = 32, 16
+LEAF, FAN = 256, 16
 
 
 def bounds(low: np.ndarray, high: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,13 +52,14 @@ class RTree:
     """Packed tree over the rows of a shard; labels are packed first, so that most leaves hold one label."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, leaf: int = LEAF, fan: int = FAN, axes: int = 4):
-        self.ids, self.labels, self.vectors, self.fan = ids, labels, vectors, fan
         spread = np.argsort(-vectors.var(axis=0), kind="stable")[:axes].tolist() if len(ids) else [0]
         leaves = [t for label in np.unique(labels) for t in tiled(vectors, np.flatnonzero(labels == label), spread, leaf)]
-        self.leaves = leaves
-        box = (np.array([vectors[t].min(axis=0) for t in leaves]), np.array([vectors[t].max(axis=0) for t in leaves]),
-               np.array([labels[t].min() for t in leaves]), np.array([labels[t].max() for t in leaves]))
-        self.levels = [box]
+        order = np.concatenate(leaves)  # rows of a leaf lie side by side
+        self.ids, self.labels, self.vectors, self.fan = ids[order], labels[order], vectors[order], fan
+        stop = np.cumsum([len(t) for t in leaves])
+        self.leaves = [slice(a, b) for a, b in zip([0, *stop[:-1].tolist()], stop.tolist())]
+        self.levels = [tuple(f.reduceat(x, [t.start for t in self.leaves]) for f, x in ((np.minimum, self.vectors), (np.maximum, self.vectors),
+                                                                                       (np.minimum, self.labels), (np.maximum, self.labels)))]
         while len(self.levels[-1][0]) > 1:
             cut = np.arange(0, len(self.levels[-1][0]), fan)
             low, high, least, most = self.levels[-1]
@@ -87,7 +89,7 @@ class RTree:
                 enter(level - 1, node * self.fan, (node + 1) * self.fan)
             else:
                 rows = self.leaves[node]
-                scored += len(rows)
+                scored += rows.stop - rows.start
                 take(rows, self.vectors[rows] @ query)
         return scored
 
@@ -112,10 +114,10 @@ class Best:
 def positives_of(tree: RTree, anchor: int, label: int, query: np.ndarray, k: int) -> Best:
     best = Best(k)
 
-    def take(rows: np.ndarray, scores: np.ndarray) -> None:
+    def take(rows: slice, scores: np.ndarray) -> None:
         fits = (tree.labels[rows] == label) & (tree.ids[rows] != anchor) & (scores >= best.least)
         if fits.any():
-            best.add(scores[fits], tree.ids[rows[fits]])
+            best.add(scores[fits], tree.ids[rows][fits])
 
     tree.search(query, lambda under, over, least, most: (least <= label) & (most >= label) & (over >= best.least), take)
     return best
@@ -124,21 +126,31 @@ def positives_of(tree: RTree, anchor: int, label: int, query: np.ndarray, k: int
 def negatives_of(tree: RTree, label: int, query: np.ndarray, scores: np.ndarray, k: int, window: tuple[int, int]) -> list[Best]:
     """For every positive score the best rows of another label in its window."""
     found = [Best(k) for _ in scores]
-    least_of, most_of = window[0] * scores, window[1] * scores  # compared with 100 times a score
-
-    def useful(under, over, least, most):
-        fits = np.zeros(np.shape(over), bool)
-        for best, low, high in zip(found, least_of, most_of):
-            fits |= (100 * over >= low) & (100 * under <= high) & (np.minimum(100 * over, high) >= 100 * best.least)
-        return fits & ((least != label) | (most != label))
-
-    def take(rows: np.ndarray, products: np.ndarray) -> None:
-        other = tree.labels[rows] != label
-        for best, low, high in zip(found, least_of, most_of):
-            fits = other & (low <= 100 * products) & (100 * products <= high) & (products >= best.least)
-            if fits.any():
-                best.add(products[fits], tree.ids[rows[fits]])
-
+    # in hundredths of a score: what a row must reach now, and what it must not exceed, for each positive
+    low, high = window[0] * scores, window[1] * scores
+    alive = high >= low
+    least = np.where(alive, low, np.inf)
+    ends = high
+
+    def useful(under, over, least_label, most_label):
+        other = (least_label != label) | (most_label != label)
+        if np.ndim(over) == 0:
+            return bool(other) and any(100 * over >= a and 100 * under <= b for a, b in zip(least.tolist(), ends.tolist()))
+        return other & ((100 * over >= least[:, None]) & (100 * under <= ends[:, None])).any(axis=0)
+
+    def take(rows: slice, products: np.ndarray) -> None:
+        fits = (100 * products >= least.min()) & (100 * products <= ends.max()) & (tree.labels[rows] != label)
+        if not fits.any():
+            return
+        products, ids = products[fits], tree.ids[rows][fits]
+        for p, best in enumerate(found):
+            own = (100 * products >= least[p]) & (100 * products <= ends[p])
+            if own.any():
+                best.add(products[own], ids[own])
+                least[p] = max(least[p], 100 * best.least)
+
+    if not len(scores):
+        return found
     tree.search(query, useful, take)
     return found
 
@@ -158,7 +170,7 @@ def _widest(rows: DataFrame) -> tuple[int, int]:
 
 
 def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column | None = None, positives: int = 5, negatives: int = 3, window: tuple[int, int] = (50, 95),
-                   scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
+                   scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None, block_rows: int = BLOCK) -> DataFrame:
     """For each anchor and each of its first ``positives`` other rows of its label, the first ``negatives`` rows of another
     label whose score is between ``window`` percent of the positive's.
 
@@ -175,7 +187,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column | None =
     rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "embedding", "asks")).alias("r")).select("vec_id", "r.*")
     n, asks = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
     width, axis = _widest(rows)
-    shards, blocks = min(SHARDS, max(1, math.ceil(n / shard_rows))), max(1, math.ceil(asks / block_rows))
+    shards, blocks = min(SHARDS, max(1, math.ceil(n / (shard_rows or min(MOST_SHARD, max(LEAST_SHARD, int(ROOT * math.sqrt(n)))))))), max(1, math.ceil(asks / block_rows))
     slab = F.coalesce(F.get("embedding", F.lit(axis)), F.lit(0.0))
     placed = materialize(rows.repartitionByRange(shards, "label", slab, "vec_id").withColumn("shard", F.spark_partition_id()), "slabs")
     items = placed.select("vec_id", "label", "embedding", "shard")
