@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, hard_negatives, html_text, jaccard, language, neighbours, packing, secrets, spelling, topk, toxicity, url_filter
+from tidewatch.llm import bpe, context_mixing, hard_negatives, html_text, jaccard, language, neighbours, packing, secrets, spelling, topk, toxicity, url_filter
 from tidewatch.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,6 +62,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
@@ -71,5 +75,5 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_secrets, op3_url_filter, op4_language, op5_packing, op6_bpe, op7_neighbours, op8_jaccard, op9_toxicity, op10_html_text, op12_hard_negatives, op13_spelling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_secrets, op3_url_filter, op4_language, op5_packing, op6_bpe, op7_neighbours, op8_jaccard, op9_toxicity, op10_html_text, op11_context_mixing, op12_hard_negatives, op13_spelling)}
 SQL: dict[str, str] = {"op1_topk": topk.TOP_K_SQL, "op3_url_filter": url_filter.judge_urls_sql(URL_RULES), "op12_hard_negatives": hard_negatives.HARD_NEGATIVES_SQL}
