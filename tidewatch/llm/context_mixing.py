@@ -17,6 +17,7 @@ looked up in a table of fixed size, the others meet their texts in buckets of ha
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ BLANK, END, LONG = 32, b"\n", b"\t"
 #: Bytes of the hashed contexts and bits of their tables.
 ORDERS, TABLE_BITS = (1, 2, 3, 5), (16, 18, 20, 20)
 #: Distinct spellings of a range, and most ranges, whose edges are broadcast; beyond them ranges grow.
-RANGE_ROWS, RANGES = 500_000, 4_096
+RANGE_ROWS, RANGES = 300_000, 4_096
 #: Parts of a table that are summed side by side.
 PARTS = 16
 #: Inputs of the mixer, counts at which the confidence in the spelling so far changes, and gates for a place in the byte.
@@ -348,12 +349,14 @@ def train(texts: DataFrame) -> Model:
     def learn(rows: pa.Table) -> pa.Table:
         m = mixer()
         m.learn(read(rows), sent.value[1][rows.column("part")[0].as_py()])
-        sums = m.sums()
-        return pa.table({"at": np.arange(len(sums)), "x": sums})
+        return pa.table({"at": np.arange(PARTS), "sums": pa.array([x.tobytes() for x in np.array_split(m.sums(), PARTS)], pa.binary())})
 
-    learned = {r["at"]: r["x"] for r in placed.groupBy("part").applyInArrow(learn, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()}  # of fixed size
-    plain = Mixer([]).sums()
-    weights, refined = Mixer.of_sums(np.array([learned.get(k, x) for k, x in enumerate(plain.tolist())]))
+    def summed_up(key: tuple, rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer()) for x in rows.column("sums"))
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    learned = placed.groupBy("part").applyInArrow(learn, "at long, sums binary").groupBy("at").applyInArrow(summed_up, "at long, sums binary").orderBy("at").collect()  # of fixed size
+    weights, refined = Mixer.of_sums(np.concatenate([np.frombuffer(r["sums"]) for r in learned]) if learned else Mixer([]).sums())
 
     def score(rows: pa.Table) -> pa.Table:
         s = read(rows)
@@ -372,8 +375,9 @@ def train(texts: DataFrame) -> Model:
 
 
 
-ASKED = "bucket int, docs binary, hashes binary, words binary, spelled binary, ids array<long>, held array<boolean>, sums binary"
-FOUND = "key long, doc_id long, held_out boolean, texts long, n_tokens double, n_known double, logs double, bits double"
+ASKED = "bucket int, slice long, docs binary, hashes binary, words binary, spelled binary, ids array<long>, held array<boolean>, sums binary"
+FOUND = "slice long, docs binary, ids array<long>, held array<boolean>, sums binary"
+SCORES = "key long, doc_id long, held_out boolean, n_tokens double, n_known double, logs double, bits double, letters double"
 
 
 def score(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, bucket: int = BUCKET) -> DataFrame:
@@ -403,6 +407,8 @@ def score(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "text
             for first, flat, offsets in runs.slices(batch.column(3)):
                 n = len(offsets) - 1
                 own, s = doc_keys[first:first + n], Symbols(flat, offsets)
+                # known by its content, so a repeated task names it alike
+                name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
                 at = np.minimum(np.searchsorted(hashes, s.hash), max(0, len(hashes) - 1))
                 hit = hashes[at] == s.hash if len(hashes) else np.zeros(len(s.hash), bool)
                 row, at, word = s.row[hit], at[hit], s.word[hit]
@@ -410,7 +416,7 @@ def score(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "text
                 sums = np.stack([s.words + 1, np.bincount(row, word * (words[at] > 0), minlength=n) + (end_words > 0),
                                  np.bincount(row, word * np.log10(words[at] + 1), minlength=n) + np.log10(end_words + 1),
                                  np.bincount(row, s.spelled[hit] * bits[at], minlength=n) + end_bits, letters])
-                yield pa.RecordBatch.from_arrays([pa.array([int(own[0]) % buckets], pa.int32()), *(pa.array([x], pa.binary()) for x in (own.tobytes(), b"", b"", b"")),
+                yield pa.RecordBatch.from_arrays([pa.array([name % buckets], pa.int32()), pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in (own.tobytes(), b"", b"", b"")),
                                                   pa.array([batch.column(1).slice(first, n).to_pylist()], pa.list_(pa.int64())),
                                                   pa.array([batch.column(2).slice(first, n).to_pylist()], pa.list_(pa.bool_())), pa.array([sums.tobytes()], pa.binary())], names=names)
                 # the other tokens of a text, each once, go to the buckets of their hashes
@@ -425,7 +431,7 @@ def score(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "text
                 for b in np.unique(to):
                     k = to == b
                     blobs = (doc[k], token[k], word[k].astype("<u4"), spelled[k].astype("<u4"))
-                    yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.array([None], pa.list_(pa.int64())),
+                    yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array([name], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.array([None], pa.list_(pa.int64())),
                                                       pa.array([None], pa.list_(pa.bool_())), pa.array([None], pa.binary())], names=names)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -434,36 +440,43 @@ def score(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "text
         key, words, bits = key[order], left.column("words").to_numpy()[order], left.column("bits").to_numpy()[order]
         out = []
         for r in right.to_pylist():
-            doc = np.frombuffer(r["docs"], np.int64)
-            if r["sums"] is not None:
-                sums = np.frombuffer(r["sums"]).reshape(5, -1)
-                out.append(pa.table([pa.array(doc), pa.array(r["ids"], pa.int64()), pa.array(r["held"], pa.bool_()), pa.array(np.ones(len(doc), np.int64)), *map(pa.array, sums)], names=COLUMNS))
+            if r["sums"] is not None:  # what the slice knows itself
+                out.append((r["slice"], r["docs"], r["ids"], r["held"], r["sums"]))
                 continue
             at = np.searchsorted(key, np.frombuffer(r["hashes"], np.uint64))
-            own, back = np.unique(doc, return_inverse=True)
+            own, back = np.unique(np.frombuffer(r["docs"], np.int64), return_inverse=True)
             word, spelled = np.frombuffer(r["words"], "<u4").astype(np.int64), np.frombuffer(r["spelled"], "<u4")
-            sums = (np.zeros(len(own)), np.bincount(back, word * (words[at] > 0)), np.bincount(back, word * np.log10(words[at] + 1)), np.bincount(back, spelled * bits[at]), np.zeros(len(own)))
-            out.append(pa.table([pa.array(own), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.bool_()), pa.array(np.zeros(len(own), np.int64)), *map(pa.array, sums)], names=COLUMNS))
-        whole = pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), *[pa.float64()] * 5)], names=COLUMNS)
-        sums = whole.group_by("key").aggregate([(c, "max" if c in ("doc_id", "held_out") else "sum") for c in COLUMNS[1:]])
-        return sums.select(["key", *(c + ("_max" if c in ("doc_id", "held_out") else "_sum") for c in COLUMNS[1:])]).rename_columns(COLUMNS)
+            sums = np.stack([np.bincount(back, x, minlength=len(own)) for x in (word * (words[at] > 0), word * np.log10(words[at] + 1), spelled * bits[at])])
+            out.append((r["slice"], own.tobytes(), None, None, sums.tobytes()))
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary())
+        return pa.table({f.split()[0]: pa.array(c, kind) for f, kind, c in zip(FOUND.split(", "), kinds, zip(*out) if out else [()] * 5)})
+
+    def gather(rows: pa.Table) -> pa.Table:
+        """The sums of the texts of a slice, one row each."""
+        rows = rows.to_pylist()
+        whole = [r for r in rows if r["ids"] is not None]
+        doc = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in whole])
+        sums = np.concatenate([np.frombuffer(r["sums"]).reshape(5, -1) for r in whole], axis=1)
+        own, first, times = np.unique(doc, return_index=True, return_counts=True)
+        back = np.searchsorted(own, doc)
+        more = np.zeros((3, len(own)))
+        for r in rows:
+            if r["ids"] is None:
+                more[:, np.searchsorted(own, np.frombuffer(r["docs"], np.int64))] += np.frombuffer(r["sums"]).reshape(3, -1)
+        sums[1:4] += (more / times)[:, back]  # texts of one id and content are alike
+        ids, held = [x for r in whole for x in r["ids"]], [x for r in whole for x in r["held"]]
+        columns = (pa.array(doc), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), *map(pa.array, sums))
+        return pa.table(list(columns), names=[f.split()[0] for f in SCORES.split(", ")])
 
-    # rows of one id and text are alike in all they return, so they share a key and are told apart by their number
     keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", (~F.col("learns")).alias("held_out"), "text")
     asked = keyed.mapInArrow(ask, ASKED)
     held = model.scored.withColumn("bucket", F.pmod(F.conv(F.hex("hash"), 16, 10).cast("decimal(20,0)"), F.lit(buckets).cast("decimal(20,0)")).cast("int"))
-    found = held.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, FOUND + ", letters double")
-    whole = found.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("texts").alias("texts"),
-                                     *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "bits", "letters")))
-    mean = lambda c: F.col(c) / F.col("texts")
-    return whole.select("doc_id", "held_out", F.round(mean("n_tokens")).cast("long").alias("n_tokens"), F.round(mean("n_known")).cast("long").alias("n_known"),
-                        F.lit(model.tokens).cast("long").alias("train_tokens"),
-                        (mean("logs") - mean("n_tokens") * math.log10(model.tokens + model.distinct + 1)).alias("base_score"),
-                        (-mean("bits") * math.log10(2)).alias("score"), mean("bits").alias("bits"), (F.col("bits") / F.col("letters")).alias("bits_per_byte"),
-                        F.explode(F.sequence(F.lit(1), F.col("texts"))).alias("copy")).drop("copy")
-
-
-COLUMNS = ["key", "doc_id", "held_out", "texts", "n_tokens", "n_known", "logs", "bits", "letters"]
+    found = held.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, FOUND)
+    return found.groupBy("slice").applyInArrow(gather, SCORES).select(
+        "doc_id", "held_out", F.col("n_tokens").cast("long").alias("n_tokens"), F.round("n_known").cast("long").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * math.log10(model.tokens + model.distinct + 1)).alias("base_score"),
+        (-F.col("bits") * math.log10(2)).alias("score"), "bits", (F.col("bits") / F.col("letters")).alias("bits_per_byte"))
 
 
 def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
