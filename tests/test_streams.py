@@ -6,12 +6,16 @@ import datetime as dt
 import time
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from tidewatch.operators import anomaly as A
 from tidewatch.operators import behavior as B
 from tidewatch.operators import flows as O
 from tidewatch.operators import incstats as I
+from tidewatch.operators import learn as M
 from tidewatch.operators.scans import with_block
+from tidewatch.runtime import materialize
 from tidewatch.sources.log_table import LogTable
 from tidewatch.sources.streams import drain, file_stream
 from tidewatch.streaming import logs, snapshots, state
@@ -59,6 +63,62 @@ def test_damped_over_batches(pieces, tables):
         assert got[r.pkt_no].weight_0 == pytest.approx(r.weight_0) and got[r.pkt_no].mean_3 == pytest.approx(r.mean_3)
 
 
+def test_packet_scores_over_batches_and_restarts(spark, tables, tmp_path):
+    """Pieces, a stop in the training range and one after it: the batch run's scores."""
+    whole = materialize(I.packet_vectors(tables.packets), "vectors")
+    model = A.EncoderEnsemble.fit(whole, "pkt_no", "vector", 150, 350)
+    want = {r.pkt_no: r for r in model.score(whole, "vector", "pkt_no", 500).collect()}
+    source, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    got = []
+    for low, high in ((0, 120), (120, 400), (400, 730), (730, 1000)):
+        tables.packets.where((F.col("pkt_no") >= low) & (F.col("pkt_no") < high)).coalesce(1).write.mode("append").parquet(source)
+        got = snapshots.stream_ensemble(file_stream(spark, source, tables.packets.schema), 150, 350, folder=folder).collect()
+        assert len(got) == high
+    assert sum(r.is_training for r in got) == 500
+    for r in got:
+        assert (r.is_training, r.label) == (want[r.pkt_no].is_training, want[r.pkt_no].label)
+        assert r.rmse == pytest.approx(want[r.pkt_no].rmse, rel=1e-6) and r.probability == pytest.approx(want[r.pkt_no].probability, rel=1e-6)
+
+
+def test_saved_ensemble_scores_alike(spark, tables, tmp_path):
+    rows = materialize(I.packet_vectors(tables.packets), "vectors")
+    model = A.EncoderEnsemble.fit(rows, "pkt_no", "vector", 100, 200)
+    model.save(spark, str(tmp_path / "model"))
+    again = A.EncoderEnsemble.load(spark, str(tmp_path / "model"))
+    assert model.score(rows, "vector").select("pkt_no", "rmse", "label").exceptAll(again.score(rows, "vector").select("pkt_no", "rmse", "label")).isEmpty()
+
+
+def test_sample_scores_over_batches(pieces, tables):
+    rows = O.sample_matrices(O.assign_samples(tables.packets, 5, 60.0), 5, victims=tables.spark.sql("SELECT '172.16.0.2' AS ip"))
+    rows = rows.select("flow_key", "sample_no", "packets", "start_time", "end_time", array_to_vector(F.flatten("matrix")).alias("features"), F.col("label").cast("double").alias("label"))
+    fitted = M.make_model("logistic_regression").fit(rows)
+    stream = state.stream_samples(pieces(), 5, 60.0, idle_flush=3600.0).select("flow_key", "sample_no", array_to_vector("matrix").alias("features"))
+    got = {(r.flow_key, r.sample_no): r.score for r in drain(M.score(fitted, stream), "sample-scores").collect()}
+    want = {(r.flow_key, r.sample_no): r.score for r in M.score(fitted, rows.where("packets = 5 OR end_time - start_time >= 60")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want) and want
+
+
+def test_security_states_over_batches_and_restarts(spark, tables, tmp_path):
+    """Windows that several batches fill, each value counted once, and packets for ended windows."""
+    rows = [(float(ts), "t" if i % 3 else "u", f"s{i % 7}" if i % 5 else None, i % 4, 100 + i, 2 if i % 2 else 16) for i, ts in enumerate([*range(0, 200, 3), 195, 150, 20, 260, 261, 205])]
+    schema = "ts_s double, dst_ip string, src_ip string, dst_port int, packet_size int, tcp_flags int"
+    source, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    kept, newest, got = {}, float("-inf"), []
+    for part in (rows[:20], rows[20:50], rows[50:69], rows[69:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        got = snapshots.stream_security_states(file_stream(spark, source, spark.createDataFrame(rows, schema).schema), folder=folder).collect()
+        for ts, dst, src, port, size, flags in part:
+            slot = int(ts // 10 * 10)
+            for w in range(slot - 50, slot + 1, 10):
+                if w + 60 > newest - 10:
+                    kept.setdefault((w, dst), []).append((ts, src, port, size, flags))
+        newest = max(newest, *(r[0] for r in part))
+    want = {k: (len(v) / 60, len({x[1] for x in v} - {None}), len({x[2] for x in v}), sum(bool(x[4] & 2) for x in v) / len(v), max(x[0] for x in v) - min(x[0] for x in v)) for k, v in kept.items()}
+    mine = {(r.window_s, r.dst_ip): (r.packet_rate, r.unique_src_ips, r.unique_dst_ports, r.syn_ratio, r.flow_duration) for r in got}
+    assert mine.keys() == want.keys() and len(got) == len(mine)
+    assert all(mine[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_profiles_over_batches(pieces, tables):
     def contacts(packets):
         return B.as_contacts(packets, F.col("ts_s"), "packet_size")

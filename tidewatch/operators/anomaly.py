@@ -109,8 +109,10 @@ class IsolationForest:
 def feature_groups(corr: np.ndarray, largest: int = 10, above: float = 0.3) -> list[list[int]]:
     """Greedy groups: each free feature takes the free features it correlates with most.
 
-    Works on the correlation matrix alone, whose size depends on the features only.
+    Works on the correlation matrix alone, whose size depends on the features only. Correlations count to nine
+    digits, so that equal ones tie however their sums were rounded.
     """
+    corr = np.round(corr, 9)
     free, groups = set(range(len(corr))), []
     for i in range(len(corr)):
         if i not in free:
@@ -173,6 +175,10 @@ class TinyEncoder:
         return self
 
 
+#: A saved ensemble: at most one row per feature and one more.
+ENSEMBLE = "grp int, inputs array<int>, weights array<double>, mean array<double>, std array<double>, threshold double"
+
+
 @dataclass
 class EncoderEnsemble:
     """Small autoencoders over feature groups and one over their errors.
@@ -244,6 +250,19 @@ class EncoderEnsemble:
         output = TinyEncoder(len(groups), ratio, rate, seed - 1)
         return cls(groups, members, output.restore(last["weights"]), last["threshold"])
 
+    def save(self, spark, path: str) -> None:
+        """One row per encoder and one, numbered -1, for the output encoder and the threshold."""
+        rows = [(g, list(map(int, at)), c.state(), c.mean.tolist(), c.std.tolist(), 0.0) for g, (at, c) in enumerate(zip(self.groups, self.members))]
+        rows.append((-1, [], self.output.state(), [], [], float(self.threshold)))
+        spark.createDataFrame(rows, ENSEMBLE).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str, rate: float = 0.1, ratio: float = 0.75) -> EncoderEnsemble:
+        """The ensemble that ``save`` has written; ``ratio`` must be that of the training."""
+        *members, last = [r for r in spark.read.parquet(path).orderBy(F.col("grp") < 0, "grp").collect()]
+        coders = [TinyEncoder(len(r["inputs"]), ratio, rate, 0, np.array(r["mean"]), np.array(r["std"])).restore(r["weights"]) for r in members]
+        return cls([r["inputs"] for r in members], coders, TinyEncoder(len(members), ratio, rate, 0).restore(last["weights"]), last["threshold"])
+
     def score(self, df: DataFrame, column: str, ordinal: str | None = None, trained_until: int = 0) -> DataFrame:
         """Error, label (-1 anomaly) and probability; rows of the training range get 0.5."""
         groups, members, output = self.groups, self.members, self.output

@@ -246,7 +246,11 @@ def channel_block(n: int = len(RATES)) -> Column:
 
 def packet_vectors(packets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The 115-dimensional vector of every packet: the blocks of the five channels."""
-    rows = damped_statistics(channel_rows(packets), RATES, block_rows)
+    return vectors_of(damped_statistics(channel_rows(packets), RATES, block_rows))
+
+
+def vectors_of(rows: DataFrame) -> DataFrame:
+    """The vector of every packet from the statistics of its five channels."""
     blocks = rows.select("pkt_no", "channel", channel_block().alias("b"))
     wide = blocks.groupBy("pkt_no").agg(*[
         F.first(F.when(F.col("channel") == c, F.col("b")), ignorenulls=True).alias(c) for c in CHANNELS])

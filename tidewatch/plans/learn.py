@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tidewatch.operators import anomaly as A
@@ -10,6 +11,7 @@ from tidewatch.operators import flows as O
 from tidewatch.operators import incstats as I
 from tidewatch.operators import labels as L
 from tidewatch.operators import learn as M
+from tidewatch.operators import sampling
 from tidewatch.plans.oracle_views import with_views
 from tidewatch.plans.registry import query
 from tidewatch.plans.vectors import CONNS, connection_rows
@@ -181,19 +183,20 @@ def isolation_forest_scores(t):
 
 @query("reconstruction_errors", "M30")
 def reconstruction_errors(t):
-    rows = connection_training(t)
-    return M.reconstruction(rows, rows, components=8).select("flow_no", "flow_line", "error", "threshold", "label")
+    train, test = M.split_tables(connection_training(t), ["flow_no", "flow_line"])
+    return M.reconstruction(train, test, components=8).select("flow_no", "flow_line", "error", "threshold", "label")
+
+
+#: Packets that the registered queries map and train on, the same at every table size; the operator's own are 5,000 and 50,000.
+MAP_ROWS, TRAIN_ROWS = 100, 400
 
 
 @query("encoder_ensemble_scores", "M31 M32 M33 M34")
 def encoder_ensemble_scores(t):
     vectors = I.packet_vectors(t.packets)
     rows = materialize(vectors, "vectors")
-    # the method's 5,000 and 50,000 packets, or a share of a shorter capture so that some are left to score
-    n = rows.count()
-    mapped, learned = min(5_000, n // 20), min(50_000, n // 2)
-    model = A.EncoderEnsemble.fit(rows, "pkt_no", "vector", map_rows=mapped, train_rows=learned)
-    return model.score(rows, "vector", "pkt_no", mapped + learned).select("pkt_no", "rmse", "label", "probability", "is_training")
+    model = A.EncoderEnsemble.fit(rows, "pkt_no", "vector", MAP_ROWS, TRAIN_ROWS)
+    return model.score(rows, "vector", "pkt_no", MAP_ROWS + TRAIN_ROWS).select("pkt_no", "rmse", "label", "probability", "is_training")
 
 
 @query("error_threshold_labels", "M33 M34", with_views("traffic", ", q AS (SELECT quantile_cont(processing_time_ms, 0.99) AS c FROM traffic) SELECT id, CASE WHEN processing_time_ms > c THEN -1 ELSE 1 END AS label, round(least(1e0, processing_time_ms/(c*2)), 6) AS probability FROM traffic, q"))
@@ -202,19 +205,31 @@ def error_threshold_labels(t):
     return A.threshold_labels(t.traffic, "processing_time_ms", cut).select("id", "label", F.round("probability", 6).alias("probability"))
 
 
-@query("flow_sample_scores", "M35")
-def flow_sample_scores(t):
+def flow_sample_table(t):
+    """Samples of at most 10 packets or 10 seconds, as one vector each, and whether they attack the victim."""
     victims = t.spark.sql("SELECT '172.16.0.2' AS ip")
-    m = O.sample_matrices(O.assign_samples(t.packets, 5, 60.0), 5, victims=victims)
-    from pyspark.ml.functions import array_to_vector
+    m = O.sample_matrices(O.assign_samples(t.packets, 10, 10.0), 10, victims=victims)
+    return m.select("flow_key", "sample_no", "packets", "start_time", "end_time", array_to_vector(F.flatten("matrix")).alias("features"),
+                    F.col("label").cast("double").alias("label"))
 
-    rows = m.select("flow_key", "sample_no", array_to_vector(F.flatten("matrix")).alias("features"), F.col("label").cast("double").alias("label"))
-    fitted = M.make_model("logistic_regression").fit(rows)
-    return M.score(fitted, rows).select("flow_key", "sample_no", "label", "score", "y_pred")
+
+def sample_model(t):
+    """A classifier of flow samples, fitted on the training part of a split by sample."""
+    train, _ = M.split_tables(materialize(flow_sample_table(t), "samples"), ["flow_key", "sample_no"], 0.2)
+    return M.make_model("logistic_regression").fit(train)
+
+
+@query("flow_sample_scores", "M35")
+def flow_sample_scores(t):
+    """Scores of the held-out samples."""
+    _, test = M.split_tables(materialize(flow_sample_table(t), "samples"), ["flow_key", "sample_no"], 0.2)
+    return M.score(sample_model(t), test).select("flow_key", "sample_no", "label", "score", "y_pred")
 
 
 @query("page_text_scores", "M36")
 def page_text_scores(t):
+    """Scores of all texts by a model that has not seen the held-out fifth."""
     texts = t.documents.join(t.labels, "doc_id", "left").select("doc_id", "text", F.col("toxic").cast("double").alias("label"))
-    fitted = M.text_pipeline().fit(texts.where("label IS NOT NULL"))
-    return M.score_texts(fitted, texts).select("doc_id", "label", "score", "y_pred")
+    marked = materialize(sampling.mark_fraction(texts, ["doc_id"], fraction=0.2, seed=42, out="held_out"), "texts")
+    fitted = M.text_pipeline().fit(marked.where("label IS NOT NULL AND NOT held_out"))
+    return M.score_texts(fitted, marked).select("doc_id", "label", "held_out", "score", "y_pred")

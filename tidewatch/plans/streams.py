@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tidewatch.operators import behavior as B
@@ -10,7 +11,7 @@ from tidewatch.operators import learn as M
 from tidewatch.operators.incstats import CHANNELS
 from tidewatch.plans.flows import (
     _FLOW_COLS, _FLOWS, _GREEDY, _MAXS, _REPORTS, _RS, _RUN, _RUN_COLS, _SCOLS, ORDER, flow_contacts, rounded)
-from tidewatch.plans.learn import IDS, training_rows
+from tidewatch.plans.learn import IDS, MAP_ROWS, TRAIN_ROWS, sample_model, training_rows
 from tidewatch.plans.oracle_views import with_views
 from tidewatch.plans.registry import Tables, query
 from tidewatch.plans.traffic import sql_ts, text_ts
@@ -89,6 +90,19 @@ def streamed_scores(t):
     return drain(M.score(fitted, rows).select("row_id", "label", "score", "y_pred"), "scores")
 
 
+@query("streamed_packet_scores", "ST8 M32 M33 M34")
+def streamed_packet_scores(t):
+    return snapshots.stream_ensemble(live(t).packets, MAP_ROWS, TRAIN_ROWS)
+
+
+@query("streamed_sample_scores", "ST8 M35")
+def streamed_sample_scores(t):
+    fitted = sample_model(t)
+    samples = state.stream_samples(live(t).packets, 10, 10.0, idle_flush=3600.0)
+    rows = samples.select("flow_key", "sample_no", array_to_vector("matrix").alias("features"))
+    return drain(M.score(fitted, rows).select("flow_key", "sample_no", "score", "y_pred"), "sample-scores")
+
+
 @query("streamed_unique_log", "ST9", with_views("traffic", "SELECT id, source_ip, threat_type, action FROM traffic"))
 def streamed_unique_log(t):
     twice = live(t).traffic.unionByName(live(t).traffic)
@@ -96,12 +110,12 @@ def streamed_unique_log(t):
 
 
 @query("streamed_security_states", "ST10", with_views("packets", """, sl AS (SELECT p.*, w.w FROM packets p, (SELECT unnest(range(0, 6)) AS o), LATERAL (SELECT CAST(floor(ts_s/10) AS BIGINT)*10 - o*10 AS w) w)
-SELECT w AS window_s, dst_ip, round(count(*)/60e0, 6) AS packet_rate, round(sum(packet_size)/60e0, 6) AS byte_rate, round(count(*) FILTER ((tcp_flags & 2) <> 0)*1e0/count(*), 6) AS syn_ratio,
+SELECT w AS window_s, dst_ip, round(count(*)/60e0, 6) AS packet_rate, round(sum(packet_size)/60e0, 6) AS byte_rate, round(count(*) FILTER ((tcp_flags & 2) <> 0)*1e0/count(*), 6) AS syn_ratio, count(DISTINCT src_ip) AS unique_src_ips, count(DISTINCT dst_port) AS unique_dst_ports,
  round(sum(packet_size)*1e0/count(*), 6) AS avg_packet_size, round(max(ts_s) - min(ts_s), 6) AS flow_duration FROM sl GROUP BY 1, 2"""))
 def streamed_security_states(t):
-    rows = drain_updates(logs.live_traffic_state(live(t).packets), "states", ["window_start", "dst_ip"])
+    rows = snapshots.stream_security_states(live(t).packets)
     names = ["packet_rate", "byte_rate", "syn_ratio", "avg_packet_size", "flow_duration"]
-    return rows.select(F.unix_seconds("window_start").alias("window_s"), "dst_ip", *[F.round(n, 6).alias(n) for n in names])
+    return rows.select("window_s", "dst_ip", "unique_src_ips", "unique_dst_ports", *[F.round(n, 6).alias(n) for n in names])
 
 
 @query("late_event_timeline", "ST11", with_views("traffic", f""", half AS (SELECT max(id) // 2 AS h, max(timestamp) - INTERVAL 1 HOUR AS w FROM traffic)
