@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.runtime import spread
+from tidewatch.runtime import materialize, spread
 
 #: Fewest and most pivots; between them the square root of the number of items.
 PIVOTS = (16, 1_024)
@@ -197,24 +197,101 @@ def _cells(columns: list[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in columns])
 
 
-def pattern_fills(df: DataFrame, columns: list[str], k: int = 5, block: int = 2_000) -> DataFrame:
-    """Fill value per (distinct row pattern, missing column): the mean over the k nearest
-    rows that have the column, by the distance over the columns both rows have.
+#: Patterns of a list, most lists (their bounds are broadcast), and askers of a list that one task handles.
+LIST_ROWS, LISTS, ASKERS = 2_000, 16_384, 4_000
 
-    Copies of a row count as often as they occur but are compared once, so the work grows
-    with the distinct patterns and a heavily repeated row costs nothing extra.
-    """
+
+class ListBounds:
+    """What is known of every list of patterns: which columns some and all of its rows have, between which values, and how many rows have them."""
+
+    def __init__(self, rows: list, width: int):
+        self.lists = np.array([r["list"] for r in rows], np.int64)
+        self.low, self.high = (np.array([[np.nan if x is None else x for x in r[n]] for r in rows], float).reshape(len(rows), width) for n in ("low", "high"))
+        self.have = np.array([r["have"] for r in rows], float).reshape(len(rows), width)
+        size = np.array([r["n"] for r in rows], float)[:, None]
+        self.some, self.all, self.width = self.have > 0, self.have == size, width
+        self.low, self.high = (np.where(self.all, x, y) for x, y in ((self.low, -np.inf), (self.high, np.inf)))
+
+    def least(self, asking: np.ndarray) -> np.ndarray:
+        """For each pattern and list a lower bound of the distance to any row of the list; infinite where they share no column.
+
+        Columns that all rows of the list have add at least the gap to its values; the sum is scaled by the most columns
+        that can be shared, which makes it least.
+        """
+        present = ~np.isnan(asking)
+        x = np.nan_to_num(asking)
+        square = np.zeros((len(asking), len(self.lists)))
+        for c in range(self.width):
+            gap = np.maximum(np.maximum(self.low[None, :, c] - x[:, c, None], x[:, c, None] - self.high[None, :, c]), 0.0)
+            square += np.where(present[:, c, None], gap * gap, 0.0)
+        shared = present.astype(float) @ self.some.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(shared > 0, np.sqrt(square * self.width / shared), np.inf)
+
+    def sure(self, asking: np.ndarray) -> np.ndarray:
+        """Whether every row of the list shares a column with the pattern, so that each has a distance."""
+        return (~np.isnan(asking)).astype(float) @ self.all.T > 0
+
+
+def listed_patterns(df: DataFrame, columns: list[str], list_rows: int = LIST_ROWS) -> tuple[DataFrame, ListBounds]:
+    """Distinct row patterns with their counts, in lists of neighbours by mask and by values, and the bounds of the lists."""
     width = len(columns)
-    patterns = (
+    patterns = materialize(
         df.select(_cells(columns).alias("cells")).groupBy("cells").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("pattern", F.concat_ws(",", F.transform("cells", lambda x: F.coalesce(x.cast("string"), F.lit("_")))))
-    )
-    n_blocks = max(1, -(-patterns.count() // block))
-    blocked = patterns.withColumn("b", F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    asking = blocked.where(F.exists("cells", lambda x: x.isNull())).withColumn("donor_block", others).withColumnRenamed("b", "ask_block")
-    giving = blocked.withColumn("ask_block", others).withColumnRenamed("b", "donor_block")
-    schema = "cells array<double>, pattern string, col int, dist double, donor string, value double, n bigint"
+        .withColumn("mask", F.concat_ws("", F.transform("cells", lambda x: F.when(x.isNull(), "1").otherwise("0")))), "patterns")
+    cell = lambda i: F.get("cells", F.lit(i))
+    spread_of = patterns.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(cell(i)).alias(f"v{i}") for i in range(width)]).first()
+    wide = sorted(range(width), key=lambda i: -(spread_of[f"v{i}"] or 0.0))
+    lists = min(LISTS, max(1, -(-spread_of["n"] // list_rows)))
+    listed = materialize(patterns.repartitionByRange(lists, "mask", *[cell(i) for i in wide], "pattern").withColumn("list", F.spark_partition_id()), "lists")
+    bounds = listed.groupBy("list").agg(
+        F.sum("n").alias("n"), F.array(*[F.min(cell(i)) for i in range(width)]).alias("low"), F.array(*[F.max(cell(i)) for i in range(width)]).alias("high"),
+        F.array(*[F.coalesce(F.sum(F.when(cell(i).isNotNull(), F.col("n"))), F.lit(0)) for i in range(width)]).alias("have")).orderBy("list").collect()  # at most LISTS
+    return listed, ListBounds(bounds, width)
+
+
+def _visits(asking: DataFrame, bounds: ListBounds, k: int) -> DataFrame:
+    """The lists that a pattern must visit, before (``limit`` is null: the nearest ones that surely hold ``k`` givers of each
+    missing column) or after the distances of its ``k``-th givers are known (``limit`` by column: all lists that may hold a nearer one)."""
+    sent = asking.sparkSession.sparkContext.broadcast(bounds)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b = sent.value
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at:at + 256]
+                x = _matrix(part["cells"])
+                least, sure = b.least(x), b.sure(x)
+                out = []
+                for i, (limit, done) in enumerate(zip(part["limit"], part["visited"])):
+                    if limit is None:
+                        order, chosen = np.argsort(least[i], kind="stable"), set()
+                        for c in np.flatnonzero(np.isnan(x[i])):
+                            found = 0
+                            for j in order:
+                                if found >= k or not np.isfinite(least[i, j]):
+                                    break
+                                if b.some[j, c]:
+                                    chosen.add(j)
+                                    found += b.have[j, c] if sure[i, j] else 0
+                        out.append(b.lists[sorted(chosen)])
+                    else:
+                        far = np.array([np.inf if v is None or np.isnan(v) else v for v in limit])
+                        wanted = (b.some & np.isnan(x[i])) & (least[i][:, None] <= far * (1 + 1e-9) + 2 * 10.0 ** -DIGITS) & np.isfinite(least[i])[:, None]
+                        out.append(np.setdiff1d(b.lists[wanted.any(axis=1)], done))
+                yield pd.DataFrame({"cells": part["cells"], "pattern": part["pattern"], "list": [o.tolist() for o in out]})
+
+    return asking.mapInPandas(run, "cells array<double>, pattern string, list array<int>")
+
+
+def _met(visits: DataFrame, listed: DataFrame, width: int, k: int) -> DataFrame:
+    """The ``k`` nearest givers in every visited list, by pattern and missing column. A list goes to the blocks of its askers only."""
+    each = visits.select("cells", "pattern", F.explode("list").alias("list"))
+    sizes = each.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("blocks"))  # at most LISTS rows
+    asking = each.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("pattern"), "blocks").cast("int")).drop("blocks")
+    copies = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    giving = listed.join(F.broadcast(sizes), "list").select("cells", "pattern", "n", "list", copies.alias("block"))
     names = ["cells", "pattern", "col", "dist", "donor", "value", "n"]
 
     def meet(ask: pd.DataFrame, give: pd.DataFrame) -> pd.DataFrame:
@@ -242,10 +319,36 @@ def pattern_fills(df: DataFrame, columns: list[str], k: int = 5, block: int = 2_
                 "value": b[cols[j], c], "n": count[cols[j]]}))
         return pd.concat(parts) if parts else pd.DataFrame({n: [] for n in names})
 
-    pair = ["ask_block", "donor_block"]
-    found = asking.groupBy(*pair).cogroup(giving.groupBy(*pair)).applyInPandas(meet, schema)
-    order = Window.partitionBy("pattern", "col").orderBy("dist", "donor").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.least(F.col("n"), F.lit(k) - F.coalesce(F.sum("n").over(order), F.lit(0)))
+    schema = "cells array<double>, pattern string, col int, dist double, donor string, value double, n bigint"
+    return asking.select("cells", "pattern", F.col("list").alias("of"), F.col("block").alias("part")).groupBy("of", "part").cogroup(giving.groupBy("list", "block")).applyInPandas(meet, schema)
+
+
+def pattern_fills(df: DataFrame, columns: list[str], k: int = 5, list_rows: int = LIST_ROWS, report: dict | None = None) -> DataFrame:
+    """Fill value per (distinct row pattern, missing column): the mean over the k nearest
+    rows that have the column, by the distance over the columns both rows have.
+
+    Copies of a row count as often as they occur but are compared once. Patterns lie in lists of neighbours by mask and value. A
+    pattern first visits the lists of least lower bound that surely hold k givers; their distances limit the
+    lists it visits then, so lists that cannot hold a nearer giver are never copied to it. ``report`` gets the
+    number of visits and of all pairs of a pattern and a list.
+    """
+    width = len(columns)
+    listed, bounds = listed_patterns(df, columns, list_rows)
+    asking = listed.where(F.exists("cells", lambda x: x.isNull())).select("cells", "pattern")
+    none = asking.withColumn("limit", F.lit(None).cast("array<double>")).withColumn("visited", F.array().cast("array<int>"))
+    first = materialize(_visits(none, bounds, k), "first-visits")
+    order = Window.partitionBy("pattern", "col").orderBy("dist", "donor").rowsBetween(Window.unboundedPreceding, 0)
+    near = materialize(_met(first, listed, width, k), "first-givers")
+    enough = near.withColumn("so_far", F.sum("n").over(order)).where(F.col("so_far") >= k).groupBy("pattern", "col").agg(F.min("dist").alias("dist"))
+    limits = enough.groupBy("pattern").agg(F.map_from_entries(F.collect_list(F.struct("col", "dist"))).alias("m"))  # at most one entry a column
+    limit = F.array(*[F.try_element_at("m", F.lit(i)) for i in range(width)])
+    second = materialize(_visits(first.join(limits, "pattern", "left").select("cells", "pattern", limit.alias("limit"), F.col("list").alias("visited")), bounds, k), "more-visits")
+    if report is not None:
+        report["visits"] = first.union(second).agg(F.sum(F.size("list"))).first()[0] or 0
+        report["pairs"] = asking.count() * len(bounds.lists)
+    found = near.unionByName(_met(second, listed, width, k))
+    before = Window.partitionBy("pattern", "col").orderBy("dist", "donor").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.least(F.col("n"), F.lit(k) - F.coalesce(F.sum("n").over(before), F.lit(0)))
     weighted = found.withColumn("w", taken).where("w > 0")
     return weighted.groupBy("cells", "col").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("fill"))
 
