@@ -171,3 +171,27 @@ def test_many_sensitive_words_stay_linear():
     text = "the token of a word and " * 40_000
     start = time.perf_counter()
     assert secrets.NoveltyScan().spans(text, []) == [] and time.perf_counter() - start < 5
+
+
+@pytest.mark.parametrize("body, kept", [
+    ('<article><h1>T</h1><p>one two three four five six</p><section id="discussion"><p>inner words stand here as well</p></section></article>', "inner words"),
+    ('<article><h2 id="search-algorithms">Search algorithms</h2><p>one two three four five six</p></article>', "Search algorithms"),
+    ('<article><p>one two three four five six</p><h2 id="related-work">Related work</h2><p>more words follow the heading here</p></article>', "Related work"),
+    ('<article><div class="social-policy"><p>one two three four five six</p></div></article>', "one two"),
+    ('<article><p>one two three four five six</p><blockquote class="reply">a quoted answer of some words</blockquote></article>', "quoted answer"),
+    ('<form action="/x"><article><p>one two three four five six</p></article></form>', "one two"),
+    ('<article><p title="x>one two three</p><p>four five six seven eight</p></article>', "four five")])
+def test_names_do_not_overrule_the_article(body, kept):
+    tree = html_text.grow(html_text.LABELLED[:, :-1], html_text.LABELLED[:, -1])
+    text = html_text.main_text("<html><body><nav><a href='/'>Home</a></nav>" + body + "<footer>all rights reserved here</footer></body></html>", tree)
+    assert kept in text and "Home" not in text and "rights" not in text and "title=" not in text and "<p" not in text
+
+
+@pytest.mark.parametrize("beside", [
+    '<div class="comments"><p>first comment of a reader here</p></div>', '<section class="comment-list"><p>first comment of a reader here</p></section>',
+    '<section id="comments"><p>first comment of a reader here</p></section>', '<div class="related-posts"><p>first comment of a reader here</p></div>',
+    '<div class="ad-slot"><p>first comment of a reader here</p></div>', '<form><p>first comment of a reader here</p></form>', '<div class="notice"><p>first comment of a reader here</p></div>'])
+def test_what_stands_beside_the_text_is_left_out(beside):
+    tree = html_text.grow(html_text.LABELLED[:, :-1], html_text.LABELLED[:, -1])
+    text = html_text.main_text(f"<body><article><p>one two three four five six</p>{beside}<p>seven eight nine ten eleven</p></article></body>", tree)
+    assert text == "one two three four five six\n\nseven eight nine ten eleven"

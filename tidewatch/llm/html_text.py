@@ -72,13 +72,22 @@ consent gdpr notice notices notification alert popup modal overlay newsletter su
 navigation breadcrumb breadcrumbs footer masthead topbar toolbar share sharing social related recommended recommendations trending popular
 comment comments commentlist disqus reply replies respond discussion feedback widget pagination pager legal copyright disclaimer login search
 skip complementary contentinfo search dialog hidden paywall""".split())
+#: Of these, names that running text has as well: on elements of text they tell nothing, and an id of a section or heading names its topic.
+WEAK_NAMES = frozenset("""discussion related recommended social search share sharing legal popular trending feedback side notice notices notification alert
+reply replies respond overlay skip copyright disclaimer banner promo rail widget hidden""".split())
+OF_TEXT = frozenset(("section", "blockquote", "p", "figure", "li", "pre", "table", *HEADINGS))
+#: Words that may stand beside such a name in one class token; with any other word the token names something else.
+PLAIN_PARTS = frozenset("""site main page top bottom left right list lists box block section container wrapper wrap area bar item items link links button
+buttons text content post posts article articles header form panel inner outer global primary secondary module col column row group user
+reader story stories news follow us sticky fixed mobile desktop inline slot unit label title wide small large""".split())
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(" + "|".join(HIDDEN) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+    r"|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?=[\s/>])[^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
+NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 INVISIBLE = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|\bhidden\b(?!\s*[=-])|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 
 
@@ -109,14 +118,33 @@ def decide(tree, row) -> bool:
     return tree
 
 
-def _is_chrome(name: str, attributes: str) -> bool:
+def _names_chrome(token: str) -> bool:
+    """Whether a whole class token names an element beside the text: one of the names, or one among words that say nothing else."""
+    parts = [x for x in re.split(r"[^a-z]+", token.lower()) if x]
+    names = CHROME_NAMES.intersection(parts)
+    more = ("privacy", "policy") if names - WEAK_NAMES else ()
+    return bool(names) and all(x in CHROME_NAMES or x in PLAIN_PARTS or x in more for x in parts)
+
+
+def _is_chrome(name: str, attributes: str, in_main: bool = False) -> bool:
+    """Whether an element's attributes hide it or name it one for menus, adverts, notices and the like.
+
+    In the main element the ids of sections and headings are names of topics, unless they name the reader comments.
+    """
     if not attributes:
         return False
     if INVISIBLE.search(re.sub(r"""(?:class|id|href|title|alt)\s*=\s*(?:"[^"]*"|'[^']*')""", "", attributes)):
         return True
     if name in ("html", "body", "main"):
         return False
-    return any(not CHROME_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", "".join(m.groups("")).lower())) for m in NAMES.finditer(attributes))
+    for m in NAMES.finditer(attributes):
+        kind, *values = m.groups("")
+        tokens = [x for x in "".join(values).split() if _names_chrome(x)]
+        if in_main and name in OF_TEXT:
+            tokens = [x for x in tokens if x.lower() not in WEAK_NAMES and not (kind.lower() == "id" and name in HEADINGS)]
+        if tokens:
+            return True
+    return False
 
 
 class Block:
@@ -149,7 +177,8 @@ def flat_blocks(page: str) -> list[Block]:
         if words:
             main = [i for i, x in enumerate(stack) if x[0] in MAIN and not x[2]]
             inner = stack[main[-1]:] if main else stack
-            chrome = any(x[1] for x in stack) or any(x[2] for x in (inner if main else stack))
+            # a form around the main element is the page's, not one inside the text
+            chrome = any(x[1] and not (main and x[0] in ("form", "fieldset") and i < main[0]) for i, x in enumerate(stack)) or any(x[2] for x in (inner if main else stack))
             heading = any(x[0] in HEADINGS for x in stack)
             if any(x[0] == "header" for x in stack) and not (main and heading):
                 chrome = True
@@ -160,11 +189,11 @@ def flat_blocks(page: str) -> list[Block]:
     for m in TAG.finditer(page):
         shown(page[at:m.start()])
         at = m.end()
-        name = m.group(3)
+        name = m.group(3) or m.group(6)
         if name is None:
             continue
         name = name.lower()
-        if m.group(2):
+        if m.group(2) or m.group(5):
             if name == "a":
                 in_link = False
             elif name in BLOCKS:
@@ -178,7 +207,8 @@ def flat_blocks(page: str) -> list[Block]:
                     end_block()
                     del stack[k:]
             continue
-        attributes = m.group(4)
+        attributes = m.group(4) or ""  # none of a tag with an unclosed quote
+        in_main = any(x[0] in MAIN and not x[2] for x in stack)
         if name == "br":
             pieces.append(" ")
         elif name == "a":
@@ -192,8 +222,8 @@ def flat_blocks(page: str) -> list[Block]:
                 stack.pop()
             if name in CLOSED_BY_NEXT and stack and (stack[-1][0] == name or name in ("dt", "dd") and stack[-1][0] in ("dt", "dd")):
                 stack.pop()
-            stack.append((name, name in CHROME, _is_chrome(name, attributes)))
-        elif attributes and not attributes.endswith("/") and _is_chrome(name, attributes) and name not in ("img", "input", "link", "meta", "source", "wbr"):
+            stack.append((name, name in CHROME, _is_chrome(name, attributes, in_main)))
+        elif attributes and not attributes.endswith("/") and _is_chrome(name, attributes, in_main) and name not in ("img", "input", "link", "meta", "source", "wbr"):
             end_block()
             stack.append((name, False, True))
     shown(page[at:])
