@@ -114,3 +114,17 @@ def test_packing_holds_every_id_once(spark, reference):
 def test_packing_encodes_millions_of_blanks(reference, text):
     encode = packing.rank_encoder(public_tokenizers.path(queries.RANKS), queries.SPECIALS)()
     assert list(array("I", encode([text])[0])) == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_stores_are_bounded_by_bytes(monkeypatch):
+    from tidewatch.llm import bpe as module
+
+    import public_tokenizers
+
+    monkeypatch.setattr(module, "KEPT", 20_000)
+    own = module.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["漢字仮名" * 1_500 + str(i) for i in range(20)] + [" ".join(f"w{i}x{k}" for k in range(50)) for i in range(60)]
+    plain = [own.encode(x) for x in texts]
+    assert [own.decode(x) for x in plain] == texts and own.encode_batch(texts) == plain
+    held = sum(len(k) + len(v or b"") for s in (own._chunk, own._word) for k, v in s.items())
+    assert held < 20_000 and max(map(len, [*own._chunk, *own._word]), default=0) <= module.RARE

@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 
 from tidewatch.llm.common import map_texts
 
-#: Chunks, and words, kept per task; a full store is emptied, which bounds memory.
-KEPT = 400_000
+#: Bytes of chunks, and of words, kept per task (text and ids; an entry counts for ``ENTRY`` bytes besides); a full store is emptied.
+KEPT, ENTRY = 60_000_000, 120
+#: Characters from which a chunk or word is not kept beyond its batch.
+RARE = 200
 #: Texts encoded at once.
 BATCH = 512
 #: Bytes from which a fragment is joined with a heap.
@@ -78,6 +80,7 @@ class ByteBpe:
         self.special = regex.compile("|".join(sorted(map(regex.escape, self.specials), key=len, reverse=True))) if self.specials else None
         self._chunk: dict[str, bytes] = {}
         self._word: dict[str, bytes] = {}
+        self._bytes = {"chunk": 0, "word": 0}
 
     def _index_merges(self) -> None:
         """An open-addressing table from pairs of ids to ranks."""
@@ -183,11 +186,22 @@ class ByteBpe:
     def _of_words(self, words: list[str]) -> list[bytes]:
         """Ids of words of the pattern, each distinct word joined once per task."""
         store = self._word
-        if len(store) > KEPT:
-            store.clear()
         if new := list({w for w in words if w not in store}):
             store.update(zip(new, self._merged_all([w.encode() for w in new])))
-        return [store[w] for w in words]
+        out = [store[w] for w in words]
+        self._trim(store, "word", new)
+        return out
+
+    def _trim(self, store: dict[str, bytes], kind: str, new: Iterable[str]) -> None:
+        """Forget the long ones of the new entries, and all of a store that holds too many bytes."""
+        for x in new:
+            if len(x) > RARE:
+                del store[x]
+            else:
+                self._bytes[kind] += ENTRY + 2 * len(x) + len(store[x] or b"")
+        if self._bytes[kind] > KEPT:
+            store.clear()
+            self._bytes[kind] = 0
 
     def _of_chunks(self, parts: set[str]) -> None:
         """Store the ids of parts that follow a blank.
@@ -214,11 +228,10 @@ class ByteBpe:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers; null counts as empty."""
-        if len(self._chunk) > KEPT:
-            self._chunk.clear()
         sections = [self._sections(x) if x and self.special and "<" in x else [x] if x else [] for x in texts]
         parts = [[x.split(" ") if isinstance(x, str) else x for x in own] for own in sections]
-        self._of_chunks(set().union(*(x[1:] for own in parts for x in own if isinstance(x, list))).difference(self._chunk))
+        new = set().union(*(x[1:] for own in parts for x in own if isinstance(x, list))).difference(self._chunk)
+        self._of_chunks(new)
         chunk, rest, heads = self._chunk.__getitem__, [], []
         for own, cut in zip(sections, parts):
             for x, p in zip(own, cut):
@@ -231,6 +244,7 @@ class ByteBpe:
                 rest.append([] if odd else ids)
                 heads.append(self.words(x) if odd else self.words(p[0]))
         ids_of = iter(self._of_words([w for words in heads for w in words]))
+        self._trim(self._chunk, "chunk", new)
         done = iter([b"".join([*islice(ids_of, len(words)), *ids]) for words, ids in zip(heads, rest)])
         return [b"".join(islice(done, len(own))) for own in sections]
 
