@@ -21,7 +21,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import evals, sampling
+from tidewatch.operators import boosting, evals, sampling  # noqa: F401  (boosting registers a family)
 from tidewatch.operators.scans import order_statistics
 from tidewatch.operators.scorers import make_model, model
 from tidewatch.runtime import BLOCK_ROWS, materialize, spread
@@ -134,6 +134,7 @@ def test_report(fitted: Model, test: DataFrame, ids: list[str]) -> DataFrame:
 GRIDS: dict[str, dict[str, list]] = {
     "random_forest": {"numTrees": [50, 100], "maxDepth": [10, 20]},
     "gradient_boosting": {"maxIter": [50, 100], "stepSize": [0.05, 0.1]},
+    "ada_boost": {"maxIter": [50, 100], "stepSize": [0.1, 1.0]},
     "decision_tree": {"maxDepth": [5, 10, 20]},
     "logistic_regression": {"C": [0.1, 1.0]},
     "naive_bayes": {"smoothing": [1e-9]},
