@@ -155,3 +155,28 @@ def test_log_table(spark, tmp_path):
     assert table.delete_before(now - dt.timedelta(days=30)) == 5 and table.read().count() == 3
     assert table.delete_before(now) == 0  # strictly older only
     assert table.clear() == 3 and table.read().isEmpty()
+
+
+def test_lookups_open_only_files_that_may_hold_the_id(spark, tmp_path):
+    day = dt.datetime(2024, 3, 1, 12)
+    schema = "id string, timestamp timestamp, risk_score double"
+    table = LogTable(spark, str(tmp_path / "log"), spark.createDataFrame([], schema).schema)
+    part = lambda d: spark.createDataFrame([(f"{d}-{i}", day + dt.timedelta(days=d), 0.5) for i in range(200)], schema).coalesce(1)
+    assert table.files() == [] and table.get("0-1").isEmpty()
+    for d in range(12):
+        assert table.append_new(part(d)) == 200
+    assert len(table.files()) == 12
+    opened = [len(table.files_of(f"{d}-{i}")) for d in range(12) for i in (0, 77)]
+    assert min(opened) >= 1 and sum(opened) <= 28  # one each, and few false hits
+    assert sum(len(table.files_of(f"none-{i}")) for i in range(20)) <= 3
+    assert [r.id for r in table.get("5-77").collect()] == ["5-77"]
+    assert table.files_of("5-77", day, day + dt.timedelta(days=2)) == [] or table.get("5-77", day, day + dt.timedelta(days=2)).isEmpty()
+    again = part(3).union(spark.createDataFrame([("new", day, 0.1)], schema))
+    assert table.append_new(again) == 1 and table.append_new(again) == 0
+    # a rewritten day, files without a filter and entries of files that are gone
+    table.delete_before(day + dt.timedelta(days=2))
+    assert table.get("0-1").isEmpty() and table.get("2-5").count() == 1
+    part(20).withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").parquet(table.path)
+    assert table.get("20-9").count() == 1 and table.append_new(part(20)) == 0
+    table.append(part(21))
+    assert len(table.files_of("20-9")) <= 2 and table.clear() == 200 * 12 and table.read().isEmpty()

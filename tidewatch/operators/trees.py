@@ -108,6 +108,25 @@ def tree_of_nodes(rows: list, regression: bool) -> Tree:
         np.array([s[0] if regression else s.sum() for s in stats]))
 
 
+#: Nodes up to which a single tree is read node by node instead of from a saved model.
+FEW_NODES = 63
+
+
+def _nodes(node, out: list) -> int:
+    """Saved form of a small tree's nodes, read from the model itself."""
+    at = len(out)
+    row = {"id": at, "prediction": node.prediction(), "impurityStats": list(node.impurityStats().stats()), "leftChild": -1, "rightChild": -1,
+           "split": {"featureIndex": -1, "leftCategoriesOrThreshold": [], "numCategories": -1}}
+    out.append(row)
+    if "InternalNode" in node.getClass().getName():
+        split = node.split()
+        categorical = "Categorical" in split.getClass().getName()
+        row["split"] = {"featureIndex": split.featureIndex(), "numCategories": split.numCategories() if categorical else -1,
+                        "leftCategoriesOrThreshold": list(split.leftCategories()) if categorical else [split.threshold()]}
+        row["leftChild"], row["rightChild"] = _nodes(node.leftChild(), out), _nodes(node.rightChild(), out)
+    return at
+
+
 def trees_of(fitted: Model, spark) -> tuple[list[Tree], list[float]]:
     """The trees of a decision tree, random forest, gradient-boosted or boosted-stump model, and their weights.
 
@@ -116,6 +135,10 @@ def trees_of(fitted: Model, spark) -> tuple[list[Tree], list[float]]:
     """
     if hasattr(fitted, "trees_and_weights"):
         return fitted.trees_and_weights
+    if not hasattr(fitted, "trees") and fitted.numNodes <= FEW_NODES:
+        rows: list = []
+        _nodes(fitted._java_obj.rootNode(), rows)
+        return [tree_of_nodes(rows, False)], [1.0]
     path = shared_dir(spark, "trees")
     fitted.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
