@@ -125,6 +125,13 @@ def feature_drift(t):
     return _rounded(Q.drift_report(t.phishing.where(~held_out), t.phishing.where(held_out), [*FEATURES, "Result"]))
 
 
+@query("exact_feature_drift", "W15 M11")
+def exact_feature_drift(t):
+    """Exact p-values where the samples are small enough."""
+    held_out = F.col("row_id") % 5 == 0
+    return _rounded(Q.drift_report(t.phishing.where(~held_out), t.phishing.where(held_out), [*FEATURES, "Result"], exact_rows=Q.EXACT_ROWS))
+
+
 _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
