@@ -12,6 +12,7 @@ from tidewatch.operators import incstats as I
 from tidewatch.operators import labels as L
 from tidewatch.operators import learn as M
 from tidewatch.operators import sampling
+from tidewatch.operators.search import Range, model_search
 from tidewatch.operators.trees import tree_contributions
 from tidewatch.plans.oracle_views import with_views
 from tidewatch.plans.registry import query
@@ -102,6 +103,14 @@ def random_search_score(t):
     return t.phishing.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(float(best["regParam"])).alias("setting"), F.lit(float(found)).alias("f1"), "rows")
 
 
+@query("model_search_score", "M25")
+def model_search_score(t):
+    best, found, _ = model_search(materialize(training_rows(t), "rows"), "logistic_regression", {"regParam": Range(1e-3, 1.0, log=True), "elasticNetParam": Range(0.0, 1.0)},
+                                  trials=8, batch=4)
+    settings = [F.lit(float(best[n])).alias(n) for n in sorted(best)]
+    return t.phishing.agg(F.count(F.lit(1)).alias("rows")).select(*settings, F.lit(float(found)).alias("f1"), "rows")
+
+
 @query("voting_scores", "M20 M23")
 def voting_scores(t):
     train, test = M.split_tables(training_rows(t), IDS)
