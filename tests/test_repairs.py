@@ -117,3 +117,14 @@ def test_a_stopped_stream_goes_on(spark, tables, tmp_path):
     assert rows.count() == packets.count()
     expected = {r.pkt_no: r.weight_0 for r in incstats.damped_statistics(incstats.channel_rows(packets, ["ip"])).collect()}
     assert {r.pkt_no: r.weight_0 for r in got.collect()} == pytest.approx(expected)
+
+
+def test_whole_records_survive_a_json_round_trip(tables):
+    from tidewatch.plans.streams import log_records
+    from tidewatch.schemas import TRAFFIC_LOG
+    from tidewatch.sources.log_table import from_json, to_json
+
+    records = log_records(tables.traffic.where("id % 40 < 12"))
+    back = from_json(to_json(records))
+    assert back.schema.simpleString() == TRAFFIC_LOG.simpleString() and len(back.columns) == 22
+    assert {r.id: r.asDict(True) for r in back.collect()} == {r.id: r.asDict(True) for r in records.collect()}

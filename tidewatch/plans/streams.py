@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.operators import behavior as B
 from tidewatch.operators import labels as L
@@ -18,6 +19,7 @@ from tidewatch.plans.traffic import sql_ts, text_ts
 from tidewatch.plans.vectors import _ST, _damped, _statistics_columns
 from tidewatch.runtime import materialize, shared_dir
 from tidewatch.schemas import PHISHING_FEATURES as FEATURES
+from tidewatch.schemas import PREDICTION, TRAFFIC_LOG
 from tidewatch.sources.log_table import LogTable, decode, from_json, to_json
 from tidewatch.sources.streams import drain, drain_updates, file_stream, sink_to_log
 from tidewatch.streaming import logs, snapshots, state
@@ -192,6 +194,41 @@ def log_json_round_trip(t):
     return back.select(*_JLOG.split(", "), text_ts("timestamp").alias("ts"))
 
 
+_RECORD = {  # flat column of the round trip: how SQL says it
+    "id": "CAST(id AS VARCHAR)", "source_ip": "source_ip", "dest_port": "dest_port", "threat_type": "threat_type", "risk_level": "risk_level", "action": "action", "risk_score": "risk_score",
+    "url": "'/a?q=\"' || id || '\"'", "user_agent": "CASE WHEN id % 4 = 0 THEN NULL ELSE 'é' || chr(10) || 'x' END", "n_predictions": "CASE WHEN id % 3 = 0 THEN 0 ELSE 2 END",
+    "model_1": "CASE WHEN id % 3 <> 0 THEN 'm1' END", "score_1": "CASE WHEN id % 3 <> 0 THEN risk_score END", "prediction_2": "CASE WHEN id % 3 <> 0 THEN 1 END", "confidence_2": "CAST(NULL AS DOUBLE)",
+    "country": "geo_country", "latitude": "CASE WHEN geo_country IS NOT NULL THEN 1.5e0 END", "feature_a": "CAST(id % 7 AS VARCHAR)", "feature_b": "CAST(NULL AS VARCHAR)",
+    "n_metadata": "CASE WHEN id % 5 = 0 THEN 0 ELSE 1 END", "captcha_required": "id % 2 = 0", "captcha_passed": "CASE WHEN id % 6 = 0 THEN true END", "processing_time_ms": "processing_time_ms"}
+
+
+def log_records(rows):
+    """Whole records of 22 fields, nested parts and nulls included, from the flat log."""
+    n, none = F.col("id"), lambda kind: F.lit(None).cast(kind)
+    made = {
+        "id": n.cast("string"), "url": F.concat(F.lit('/a?q="'), n.cast("string"), F.lit('"')), "user_agent": F.when(n % 4 != 0, F.lit("é\nx")),
+        "predictions": F.when(n % 3 == 0, F.array().cast(T.ArrayType(PREDICTION))).otherwise(F.array(
+            F.struct(F.lit("m1").alias("model_name"), F.lit("tree").alias("model_type"), F.col("risk_score").alias("score"), F.lit(0).alias("prediction"), F.lit(0.25).alias("confidence"), F.lit(0.5).alias("inference_time_ms")),
+            F.struct(F.lit("m2").alias("model_name"), none("string").alias("model_type"), F.lit(0.5).alias("score"), F.lit(1).alias("prediction"), none("double").alias("confidence"), F.lit(1.0).alias("inference_time_ms")))
+            .cast(T.ArrayType(PREDICTION))),
+        "geo_location": F.when(F.col("geo_country").isNotNull(), F.struct(F.col("geo_country").alias("country"), F.lit("XX").alias("country_code"), none("string").alias("city"),
+                                                                          F.lit(1.5).alias("latitude"), F.lit(-2.25).alias("longitude"))),
+        "features": F.create_map(F.lit("a"), (n % 7).cast("string"), F.lit("c"), F.lit('{"x": [1]}')),
+        "metadata": F.when(n % 5 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("k"), F.lit("v"))),
+        "captcha_required": n % 2 == 0, "captcha_passed": F.when(n % 6 == 0, F.lit(True))}
+    return rows.select(*[made.get(f.name, F.col(f.name) if f.name in rows.columns else none(f.dataType)).cast(f.dataType).alias(f.name) for f in TRAFFIC_LOG.fields])
+
+
+@query("log_record_round_trip", "S10 D1 D3 D4", with_views("traffic", "SELECT " + ", ".join(f"{e} AS {c}" for c, e in _RECORD.items()) + f", {sql_ts('timestamp')} AS ts FROM traffic"))
+def log_record_round_trip(t):
+    back = from_json(to_json(log_records(t.traffic)))
+    first, second = (F.get("predictions", F.lit(i)) for i in (0, 1))
+    nested = {"n_predictions": F.size("predictions"), "model_1": first["model_name"], "score_1": first["score"], "prediction_2": second["prediction"], "confidence_2": second["confidence"],
+              "country": F.col("geo_location.country"), "latitude": F.col("geo_location.latitude"), "feature_a": F.try_element_at("features", F.lit("a")),
+              "feature_b": F.try_element_at("features", F.lit("b")), "n_metadata": F.size("metadata")}
+    return back.select(*[nested.get(c, F.col(c)).alias(c) for c in _RECORD], text_ts("timestamp").alias("ts"))
+
+
 @query("decoded_log_rows", "S11 D2 D5 D6", with_views("traffic", """SELECT id, coalesce(CASE WHEN id % 3 <> 0 THEN source_ip END, '') AS source_ip, coalesce(CASE WHEN id % 4 <> 0 THEN risk_score END, 0) AS risk_score,
  coalesce(CASE WHEN id % 5 <> 0 THEN threat_type END, 'benign') AS threat_type, 'HTTP' AS protocol, geo_country AS country, CASE WHEN geo_country IS NOT NULL THEN 'Unknown' END AS city,
  CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS n_predictions, CASE WHEN id % 2 = 0 THEN risk_score END AS first_score FROM traffic"""))
@@ -208,8 +245,6 @@ def decoded_log_rows(t):
 
 @query("feature_file_round_trip", "S1 S2", with_views("phishing", "SELECT row_id, " + ", ".join(f'"{c}"' for c in [*FEATURES, "Result"]) + " FROM phishing"))
 def feature_file_round_trip(t):
-    from pyspark.sql import types as T
-
     from tidewatch.schemas import PHISHING
     from tidewatch.sources.readers import read_features, read_first_available
 
