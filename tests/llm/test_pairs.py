@@ -135,6 +135,53 @@ def test_components_equal_all_pairs(spark, monkeypatch, words, percent, near, bl
     assert got == plain_components(rows, words, percent)
 
 
+def passages(seed):
+    """Texts of own words and of passages that many of them share; every tenth has a near copy."""
+    rng = random.Random(seed)
+    common = [[f"p{k}x{j}" for j in range(40)] for k in range(6)]
+    rows = []
+    for k in range(150):
+        parts = [[f"o{rng.randrange(10 ** 6)}" for _ in range(50 + k % 3)], *rng.sample(common, 2)]
+        rng.shuffle(parts)
+        own = [w for part in parts for w in part]
+        rows.append((len(rows), " ".join(own)))
+        if k % 10 == 0:
+            own[rng.randrange(len(own))] = "changed"
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("words, percent", [(3, 90), (5, 80)])
+def test_full_tables_do_not_tie_what_only_shares_passages(spark, monkeypatch, words, percent):
+    rows = passages(words)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    full = b"\xff" * (1 << jaccard.SHARED_BITS - 3)  # every shingle may occur again, the frequency of none is known
+    monkeypatch.setattr(jaccard, "count_shingles", lambda docs, words: (full, b"", b""))
+    block, sizes = 1_000, []
+    verified = jaccard.verified_links
+
+    def counted(docs, clusters, *rest):
+        sizes.append([r["n"] for r in clusters.groupBy("cluster").agg(F.count("*").alias("n")).collect()])
+        return verified(docs, clusters, *rest, block)
+
+    monkeypatch.setattr(jaccard, "verified_links", counted)
+    monkeypatch.setattr(jaccard.cut_clusters, "__defaults__", (10 ** 9,))
+    whole = sorted(tuple(r) for r in jaccard.shingle_components(docs, words, percent).collect())
+    monkeypatch.setattr(jaccard.cut_clusters, "__defaults__", (block,))
+    got = sorted(tuple(r) for r in jaccard.shingle_components(docs, words, percent).collect())
+    assert got == whole == plain_components(rows, words, percent)
+    assert max(sizes[0]) > 100  # tied by the passages
+    assert max(sizes[1]) <= 4 and sum(sizes[1]) <= 3 * sum(i != c for i, _, c in got)
+
+
+def test_rows_of_one_id_with_texts_of_one_size(spark):
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")[:-1] + "z"), (3, text("a") + " more"), (4, text("c"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.shingle_components(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_jaccard_edge_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.shingle_components(empty).count() == 0

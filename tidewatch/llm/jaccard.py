@@ -8,10 +8,16 @@ Index lists. In that order two sets that may link share a shingle among their fi
 first shingles, with their position, make the index lists; shingles that occur once are left
 out. Lists are read sorted by set size, a sliding block of neighbours at a time. From the number of
 shared first shingles and the position of the last, a lower bound of the symmetric difference
-follows, and pairs beyond what a link allows are skipped without looking at the sets. All sets of a
-list longer than the block are kept together instead, so no pair is lost.
+follows, and pairs beyond what a link allows are skipped without looking at the sets. The sets of a
+list longer than the block are kept together instead, as far as their sizes allow a link, so no
+pair is lost.
 
-Answers. What is left falls into small clusters. A cluster is checked in blocks of sets: the
+Clusters. What is left falls into clusters. The tables above are of fixed size: in a large corpus
+they order the shingles badly, lists get long and clusters large. A cluster beyond one block of
+work is therefore indexed once more by itself, with the exact frequencies of the shingles inside
+it as a joined table, as long as that makes it smaller.
+
+Answers. A cluster is checked in blocks of sets: the
 overlaps of one set with all others come from the lists of its shingles, and those of a similar set
 are derived from them by the few shingles in which the two differ. Only a spanning forest of the
 links leaves a task. Equal sets are one set from the start.
@@ -25,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import map_texts, materialize, small_batches, utf8_bytes
@@ -36,8 +42,10 @@ SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: Bits of the table of shared shingles, and most entries of the list of frequent ones: bounds of what is broadcast.
 SHARED_BITS, FREQUENT = 26, 1 << 19
-#: Parts of the hash range in which shingles are counted.
-PARTS = 256
+#: Parts of the hash range in which shingles are counted: 2 ** PART_BITS. A part holds at most 2 ** 22 different keys.
+PART_BITS = 10
+#: Keys that a counting task holds before it adds them up.
+HELD = 4_000_000
 #: Lists up to this length are joined in full; sets of longer ones are kept together.
 NEAR = 8
 #: Shingles of a verification block: bounds the memory of a task.
@@ -146,16 +154,20 @@ class Order:
 def count_shingles(docs: DataFrame, words: int) -> tuple[bytes, bytes, bytes]:
     """The tables of ``Order``, from the counts of the shingles of all texts.
 
-    Tasks send the sorted upper halves of their hashes by part of the hash range; a part
-    returns its piece of the bit table and its frequent entries, of which at most ``FREQUENT`` stay.
+    Tasks send the sorted upper halves of their hashes by part of the hash range; a part is read in
+    pieces and returns its piece of the bit table and its frequent entries, of which at most
+    ``FREQUENT`` stay. A task holds the different keys of one part, of which there are at most
+    2 ** 22, and ``HELD`` keys more, whatever the input size.
     """
+    parts, width = 1 << PART_BITS, 32 - PART_BITS
+
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
-            cut = np.searchsorted(keys, np.arange(PARTS, dtype=np.uint64) << np.uint64(24)).tolist() + [len(keys)]
+            cut = np.searchsorted(keys, (np.arange(parts, dtype=np.uint64) << np.uint64(width)).astype(np.uint32)).tolist() + [len(keys)]
             rows = [(k, keys[a:b].astype("<u4").tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "keys"])
 
@@ -164,29 +176,50 @@ def count_shingles(docs: DataFrame, words: int) -> tuple[bytes, bytes, bytes]:
                 for own in shingler(batch.column(0).slice(at, BATCH)):
                     held.append((own >> np.uint64(32)).astype(np.uint32))
                     size += len(own)
-                if size > 4_000_000:
+                if size > HELD:
                     yield out()
                     held, size = [], 0
         yield out()
 
-    def add(key: tuple, rows: pa.Table) -> pa.Table:
-        keys, counts = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("keys")]), return_counts=True)
-        bits = np.zeros(1 << SHARED_BITS - 8, np.uint8)
-        bits[(keys[counts > 1] >> np.uint32(32 - SHARED_BITS)) & np.uint32((1 << SHARED_BITS - 8) - 1)] = 1
-        often = np.argsort(-counts, kind="stable")[:FREQUENT // PARTS]
+    def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+    def piece(part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        bits = np.zeros(1 << SHARED_BITS - PART_BITS, np.uint8)
+        bits[(keys[counts > 1] >> np.uint32(32 - SHARED_BITS)) & np.uint32(len(bits) - 1)] = 1
+        often = np.argsort(-counts, kind="stable")[:FREQUENT >> PART_BITS]
         often = np.sort(often[counts[often] > NEAR // 2])
         classes = np.minimum(60, np.log2(np.maximum(1, counts[often]))).astype(np.uint8)
-        row = {"part": pa.array([key[0].as_py()], pa.int32()), "shared": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
-               "frequent": pa.array([keys[often].astype("<u4").tobytes()], pa.binary()), "classes": pa.array([classes.tobytes()], pa.binary())}
-        return pa.table(row)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
+                                           pa.array([keys[often].astype("<u4").tobytes()], pa.binary()), pa.array([classes.tobytes()], pa.binary())],
+                                          names=["part", "shared", "frequent", "classes"])
 
-    found = (small_batches(docs).select("text").mapInArrow(collect, "part int, keys binary").repartition(PARTS, "part")
-             .groupBy("part").applyInArrow(add, "part int, shared binary, frequent binary, classes binary").collect())
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, keys, counts, fresh = -1, [], [], 0
+        for batch in batches:
+            for own, sent in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if own != part:
+                    if keys:
+                        yield piece(part, *summed(keys, counts))
+                    part, keys, counts, fresh = own, [], [], 0
+                keys.append(np.frombuffer(sent.as_buffer(), "<u4"))
+                counts.append(np.ones(len(keys[-1])))
+                fresh += len(keys[-1])
+                if fresh > HELD:
+                    one = summed(keys, counts)
+                    keys, counts, fresh = [one[0]], [one[1]], 0
+        if keys:
+            yield piece(part, *summed(keys, counts))
+
+    sent = small_batches(docs).select("text").mapInArrow(collect, "part int, keys binary")
+    found = (sent.repartition("part").sortWithinPartitions("part")
+             .mapInArrow(add, "part int, shared binary, frequent binary, classes binary").collect())
     by_part = {r["part"]: r for r in found}  # of fixed size: the bit table and at most FREQUENT entries
-    empty = bytes(1 << SHARED_BITS - 11)
-    parts = [by_part.get(k) for k in range(PARTS)]
-    return (b"".join(bytes(p["shared"]) if p else empty for p in parts), b"".join(bytes(p["frequent"]) for p in parts if p),
-            b"".join(bytes(p["classes"]) for p in parts if p))
+    empty = bytes(1 << SHARED_BITS - PART_BITS - 3)
+    pieces = [by_part.get(k) for k in range(parts)]
+    return (b"".join(bytes(p["shared"]) if p else empty for p in pieces), b"".join(bytes(p["frequent"]) for p in pieces if p),
+            b"".join(bytes(p["classes"]) for p in pieces if p))
 
 
 def set_rows(docs: DataFrame, order: tuple[bytes, bytes, bytes], words: int, percent: int) -> DataFrame:
@@ -217,12 +250,13 @@ def set_rows(docs: DataFrame, order: tuple[bytes, bytes, bytes], words: int, per
     return map_texts(docs, ["doc_id", "text"], "doc_id long, n int, digest binary, keys array<long>, places array<int>", make)
 
 
-def near_pairs(postings: DataFrame, near: int = NEAR) -> DataFrame:
+def near_pairs(postings: DataFrame, percent: int, near: int = NEAR) -> DataFrame:
     """Pairs of sets that meet in an index list, once per list.
 
     ``postings`` holds key, doc_id, n and place. Sets of a list are read by size; each is paired
-    with the ``near`` before it. ``long`` marks pairs from the part of a list beyond its first
-    ``near`` sets: they tie the whole list together.
+    with the ``near`` before it whose size allows a link. ``tied`` marks pairs from the part of a
+    list beyond its first ``near`` sets: they tie a list together, up to a gap in its sizes that no
+    link can cross.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None  # the last postings seen, and the rank of the first of them in its list
@@ -243,7 +277,8 @@ def near_pairs(postings: DataFrame, near: int = NEAR) -> DataFrame:
                 i = np.flatnonzero(key[lag:] == key[:-lag]) + lag
                 i = i[i >= skip]
                 tied = rank[i] >= near
-                i, tied = (x[tied | (doc[i] != doc[i - lag])] for x in (i, tied))
+                able = (tied | (doc[i] != doc[i - lag])) & (100 * n[i - lag].astype(np.int64) >= percent * n[i].astype(np.int64))
+                i, tied = i[able], tied[able]
                 parts.append((doc[i - lag], doc[i], n[i - lag], n[i], place[i - lag], place[i], tied))
             if parts and any(len(p[0]) for p in parts):
                 a, b, na, nb, ia, ib, tied = (np.concatenate(c) for c in zip(*parts))
@@ -259,16 +294,19 @@ def near_pairs(postings: DataFrame, near: int = NEAR) -> DataFrame:
     return dealt.mapInArrow(scan, "a long, b long, na int, nb int, ia int, ib int, tied boolean")
 
 
+def first_length(n, percent: int):
+    """``first_shingles`` of a column."""
+    return F.least(n, F.floor(n * ((100 - percent) * 13) / 1000) + 2)
+
+
 def candidate_edges(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs that may link: from long lists, or by the bound of their symmetric difference.
 
     Up to the last shared first shingle, at places ia and ib, the sets hold ia + ib + 2 shingles
     of which c are shared; of what follows, the shorter rest is met by none of the other's.
     """
-    met = pairs.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("c"), F.max(F.struct("ia", "ib")).alias("last"), F.max("na").alias("na"), F.max("nb").alias("nb"),
-                                                      F.max("tied").alias("tied"))
-    length = lambda n: F.least(n, F.floor(n * ((100 - percent) * 13) / 1000) + 2)  # noqa: E731  first_shingles
-    rest = F.least(length(F.col("na")) - 1 - F.col("last.ia"), length(F.col("nb")) - 1 - F.col("last.ib"))
+    met = pairs.where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max(F.struct("ia", "ib")).alias("last"), F.max("tied").alias("tied"))
+    rest = F.least(first_length(F.col("na"), percent) - 1 - F.col("last.ia"), first_length(F.col("nb"), percent) - 1 - F.col("last.ib"))
     apart = F.col("last.ia") + F.col("last.ib") + 2 - 2 * F.col("c") + rest
     return met.where(F.col("tied") | (apart <= F.floor(most_apart(F.col("na"), F.col("nb"), percent)))).select("a", "b")
 
@@ -375,6 +413,62 @@ def without(docs: DataFrame, unwanted: DataFrame) -> DataFrame:
     return in_table(docs, sent, False).union(in_table(docs, sent, True).join(unwanted.select("doc_id"), "doc_id", "left_anti"))
 
 
+def indexed_inside(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
+    """Index lists of the sets of clusters, each cluster with the exact frequencies of its own shingles.
+
+    ``clusters`` holds doc_id and cluster. Shingles that occur once in a cluster are left out; the
+    others are ordered by their number of sets, equals by hash. Returns postings as ``near_pairs``
+    reads them; lists of different clusters have different keys.
+    """
+    def make():
+        shingler = Shingler(words)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [s for at in range(0, batch.num_rows, BATCH) for s in shingler(batch.column(1).slice(at, BATCH))]
+            sizes = [len(s) for s in sets]
+            marks = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+            keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(marks, pa.int64()), keys],
+                                              names=["doc_id", "cluster", "n", "mark", "keys"])
+        return step
+
+    texts = only(docs.select("doc_id", "text"), clusters.select("doc_id", "cluster")).dropDuplicates(["doc_id", "text"])
+    sets = map_texts(texts, ["doc_id", "text", "cluster"], "doc_id long, cluster long, n int, mark long, keys array<long>", make)
+    held = materialize(sets, "inside")
+    rows = held.select("doc_id", "cluster", "n", "mark", F.explode("keys").alias("key"))
+    often = rows.groupBy("cluster", "key").agg(F.count("*").alias("c")).where("c > 1")
+    own = Window.partitionBy("doc_id", "mark")
+    placed = rows.join(often, ["cluster", "key"]).withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "key")) - 1)
+    first = placed.where(F.col("place") < first_length(F.col("n"), percent))
+    return first.select(F.xxhash64("cluster", "key").alias("key"), "doc_id", "n", F.col("place").cast("int").alias("place"))
+
+
+def copied(clusters: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Members of clusters beyond one block, and how many shingles their check would send out."""
+    weights = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / block).alias("blocks")).where("blocks > 1")
+    large = materialize(clusters.join(weights, "cluster"), "large")
+    return large.drop("blocks"), large.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+
+
+def cut_clusters(docs: DataFrame, clusters: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """``clusters`` (doc_id, n, cluster), those beyond one block cut by an index of their own.
+
+    Linked sets stay together; a set without a possible partner is in no cluster any more. Ends
+    when the work left for the check falls by less than a tenth.
+    """
+    large, work = copied(clusters, block)
+    while work:
+        edges = materialize(candidate_edges(near_pairs(indexed_inside(docs, large, words, percent), percent), percent), "pairs")
+        parts = components(edges).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
+        kept = clusters.join(large.select("cluster").distinct(), "cluster", "left_anti").select("doc_id", "n", "cluster")
+        clusters = materialize(kept.unionByName(large.select("doc_id", "n").join(parts, "doc_id")), "clusters")
+        before = work
+        large, work = copied(clusters, block)
+        if 10 * work > 9 * before:
+            break
+    return clusters
+
+
 def verified_links(docs: DataFrame, clusters: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) inside clusters that make the same components as all links.
 
@@ -420,12 +514,12 @@ def shingle_components(docs: DataFrame, words: int = 3, percent: int = 90, id_co
     rows = materialize(set_rows(texts, count_shingles(texts, words), words, percent), "sets")
     keyed = rows.where("n > 0 AND size(keys) > 0")
     first = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    heads = keyed.join(first, "digest").where("doc_id = first").select("doc_id", "n", "keys", "places").dropDuplicates(["doc_id", "n"])
+    heads = keyed.join(first, "digest").where("doc_id = first").select("doc_id", "n", "digest", "keys", "places").dropDuplicates(["doc_id", "digest"])
     postings = heads.select("doc_id", "n", F.explode(F.arrays_zip("keys", "places")).alias("p")).select(F.col("p.keys").alias("key"), "doc_id", "n", F.col("p.places").alias("place"))
-    edges = materialize(candidate_edges(near_pairs(postings), percent), "pairs")
+    edges = materialize(candidate_edges(near_pairs(postings, percent), percent), "pairs")
     together = materialize(components(edges).withColumnsRenamed({"node": "doc_id", "component": "cluster"}), "clusters")
-    sized = together.join(heads.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
-    found = materialize(verified_links(texts, sized, words, percent), "links")
+    sized = materialize(together.join(heads.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "sized")
+    found = materialize(verified_links(texts, cut_clusters(texts, sized, words, percent), words, percent), "links")
     parts = components(found).withColumnsRenamed({"node": "first", "component": "part"})
     whole = first.join(parts, "first", "left").select("digest", F.coalesce("part", "first").alias("component"))
     return rows.join(whole, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"),
