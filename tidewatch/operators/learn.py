@@ -21,7 +21,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import boosting, evals, sampling  # noqa: F401  (boosting registers a family)
+from tidewatch.operators import boosting, evals, kernels, sampling  # noqa: F401  (boosting and kernels register families)
 from tidewatch.operators.scans import order_statistics
 from tidewatch.operators.scorers import make_model, model
 from tidewatch.runtime import BLOCK_ROWS, materialize, spread

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 20
 
 
 def mark_fraction(
-    df: DataFrame, ids: list[str], fraction: float | None = None, rows: int | None = None,
+    df: DataFrame, ids: list[str], fraction: float | None = None, rows: int | Column | None = None,
     seed: int = 42, by: str | None = None, out: str = "picked",
 ) -> DataFrame:
     """Add a flag that is true for exactly ``rows`` or ``round(fraction * n)`` rows.
 
+    ``rows`` may be a column of ``n``, the number of rows of the class.
     Rows are ranked by a hash of their ids. A histogram over the leading hash bits names the
     bucket of the cut (one of 2**20), only that bucket is ranked, and the result is a
     comparison per row. Without ``by`` the one row of the cut reaches the driver and the table
@@ -27,7 +28,7 @@ def mark_fraction(
     keyed = keyed.withColumn("_hb", F.pmod(F.col("_hb") + (1 << (BITS - 1)), F.lit(1 << BITS)))
     per_class = Window.partitionBy("_g")
     running = per_class.orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)
-    want = F.lit(rows).cast("bigint") if rows is not None else F.round(F.col("n") * F.lit(fraction)).cast("bigint")
+    want = (rows if isinstance(rows, Column) else F.lit(rows)).cast("bigint") if rows is not None else F.round(F.col("n") * F.lit(fraction)).cast("bigint")
     edges = (
         keyed.groupBy("_g", "_hb").agg(F.count(F.lit(1)).alias("c"))
         .withColumn("upto", F.sum("c").over(running)).withColumn("n", F.sum("c").over(per_class))
@@ -76,37 +77,30 @@ def balance(df: DataFrame, label: str, ids: list[str], strategy: str = "none", s
             features: list[str] | None = None, neighbours: int = 5) -> DataFrame:
     """Bring every class to the size of the smallest or of the largest class.
 
-    Class sizes are read on the driver: one number per class.
+    There may be any number of classes: their sizes stay a frame, only the goal reaches the driver.
+    ``smote`` alone searches neighbours class by class, and so reads the sizes on the driver.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy}")
     if strategy == "none":
         return df
-    sizes = {r[label]: r["c"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).collect()}
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    goal = sizes.agg(F.min("_n") if strategy == "undersample" else F.max("_n")).first()[0]
+    if goal is None:
+        return df
     if strategy == "undersample":
-        goal = min(sizes.values())
-        parts = [sample(df.where(F.col(label).eqNullSafe(F.lit(v))), ids, goal, seed) if n > goal
-                 else df.where(F.col(label).eqNullSafe(F.lit(v))) for v, n in sizes.items()]
-    else:
-        goal = max(sizes.values())
-        parts = []
-        for value, n in sizes.items():
-            rows = df.where(F.col(label).eqNullSafe(F.lit(value)))
-            lacking = goal - n
-            if lacking == 0:
-                parts.append(rows)
-                continue
-            copies, rest = divmod(lacking, n)
-            marked = mark_fraction(rows, ids, rows=rest, seed=seed, out="_more") if rest else rows.withColumn("_more", F.lit(False))
-            times = F.lit(copies) + F.col("_more").cast("int")
-            if strategy == "oversample":
-                parts.append(marked.withColumn("_copy", F.explode(F.sequence(F.lit(0), times))).drop("_copy", "_more"))
-            else:
-                parts.append(rows)
-                parts.append(_interpolated(marked.withColumn("_times", times).drop("_more"), ids, features, neighbours, seed))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+        return mark_fraction(df, ids, rows=goal, seed=seed, by=label).where("picked").drop("picked")
+    marked = mark_fraction(df, ids, rows=F.pmod(F.lit(goal) - F.col("n"), F.col("n")), seed=seed, by=label, out="_more")
+    named = sizes.withColumnRenamed(label, "_class")
+    counted = marked.join(named, F.col(label).eqNullSafe(F.col("_class")), "left").drop("_class")
+    times = F.floor((F.lit(goal) - F.col("_n")) / F.col("_n")).cast("int") + F.col("_more").cast("int")
+    if strategy == "oversample":
+        return counted.withColumn("_copy", F.explode(F.sequence(F.lit(0), times))).select(*df.columns)
+    lacking = counted.withColumn("_times", times).drop("_more", "_n")
+    out = df
+    for (value,) in sizes.where(F.col("_n") < goal).select(label).collect():
+        made = _interpolated(lacking.where(F.col(label).eqNullSafe(F.lit(value))), ids, features, neighbours, seed)
+        out = out.unionByName(made, allowMissingColumns=True)
     return out
 
 

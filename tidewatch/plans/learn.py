@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidewatch.operators import anomaly as A
 from tidewatch.operators import evals as E
 from tidewatch.operators import flows as O
+from tidewatch.operators import gradients as G
 from tidewatch.operators import incstats as I
+from tidewatch.operators import kernels as K
 from tidewatch.operators import labels as L
 from tidewatch.operators import learn as M
 from tidewatch.operators import sampling
@@ -214,6 +216,27 @@ def reconstruction_errors(t):
     return M.reconstruction(train, test, components=8).select("flow_no", "flow_line", "error", "threshold", "label")
 
 
+@query("encoder_reconstruction_errors", "M30")
+def encoder_reconstruction_errors(t):
+    """Held-out errors of a non-linear encoder of the training part."""
+    train, test = M.split_tables(connection_training(t), ["flow_no", "flow_line"])
+    return G.encoder_errors(train, test, hidden=(32, 16, 8)).select("flow_no", "flow_line", "error", "threshold", F.col("label").alias("anomaly"))
+
+
+@query("one_class_scores", "M28")
+def one_class_scores(t):
+    """Held-out scores of a one-class machine of the training part."""
+    train, test = M.split_tables(training_rows(t), IDS)
+    return K.one_class(train, test).select("row_id", "label", "score", "anomaly")
+
+
+@query("kernel_machine_scores", "M15 M16")
+def kernel_machine_scores(t):
+    """Held-out predictions of the kernel family."""
+    fitted, _, test = trained(t, "kernel_svc")
+    return M.score(fitted, test).select("row_id", "label", "score", "y_pred")
+
+
 #: Packets that the registered queries map and train on, the same at every table size; the operator's own are 5,000 and 50,000.
 MAP_ROWS, TRAIN_ROWS = 100, 400
 
@@ -253,6 +276,15 @@ def flow_sample_scores(t):
     return M.score(sample_model(t), test).select("flow_key", "sample_no", "label", "score", "y_pred")
 
 
+@query("sample_network_scores", "M35")
+def sample_network_scores(t):
+    """Scores of the held-out samples by a convolution over their packets."""
+    train, test = M.split_tables(materialize(flow_sample_table(t), "samples"), ["flow_key", "sample_no"], 0.2)
+    net = G.SampleNet(10, 11)
+    flat, _ = G.train(train, net, label="label", steps=60, rate=0.02)
+    return G.outputs(test, net, flat).withColumn("y_pred", (F.col("score") > 0.5).cast("int")).select("flow_key", "sample_no", "label", "score", "y_pred")
+
+
 @query("page_text_scores", "M36")
 def page_text_scores(t):
     """Scores of all texts by a model that has not seen the held-out fifth."""
