@@ -3,11 +3,12 @@
 Items are put into the cell of their nearest pivot (sampled vectors, their number growing with
 the root of the table up to a bound). With the radius of every cell known, the triangle
 inequality tells which cells can hold one of the k nearest items of a query; the others are
-never visited. Cells are cut into chunks and the queries of a cell into blocks of bounded
-size, so a cell with a third of all items is many tasks, and the queries of a block, which lie
-close together, visit much the same cells. An item is copied only to the blocks that visit its
-chunk. A (chunk, block) pair meets inside one task as a matrix product and only the k best
-per query leave it. The result is exact; pruning only saves work.
+never compared. Neighbouring cells are packed into chunks of items, and the queries of
+neighbouring cells into blocks, both of bounded size; a cell larger than that is several. A
+query is copied to the chunks it visits and an item to the blocks that visit its chunk, so a
+row has as many copies as there are chunks or blocks, not cells. A (chunk, block) pair meets
+inside one task tile by tile, each a matrix product of bounded size with the cells its queries
+visit, and only the k best per query leave it. The result is exact; pruning only saves work.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ from tidewatch.runtime import materialize, spread
 
 #: Fewest and most pivots; between them the square root of the number of items.
 PIVOTS = (16, 1_024)
-CHUNK_ROWS = 20_000
-BLOCK_QUERIES = 4_000
+CHUNK_ROWS = 32_000
+BLOCK_QUERIES = 32_000
+#: Chunks and blocks that a table is cut into where they stay above the fewest rows of one.
+SIDES, SIDE_ROWS = 8, 256
+#: Numbers in the product of one tile.
+TILE = 2_000_000
 SLACK = 1e-3
 DIGITS = 9
 
@@ -55,6 +60,42 @@ def _smallest(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[keep], cols[keep]
 
 
+def _smallest_rounded(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded value of the k smallest entries per row, ties of the rounded values to the smaller column."""
+    near = np.isfinite(values)
+    if values.shape[1] > k:
+        # rounding moves two values by half a last digit each
+        near &= values <= np.partition(values, k - 1, axis=1)[:, k - 1 : k] + 2 * 10.0 ** -DIGITS
+    rows, cols = np.nonzero(near)
+    value = np.round(values[rows, cols], DIGITS)
+    order = np.lexsort((cols, value, rows))
+    rows, cols, value = rows[order], cols[order], value[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], cols[keep], value[keep]
+
+
+def _chain(centers: np.ndarray) -> list[int]:
+    """The pivots, each followed by the nearest one that is left."""
+    left, chain = np.ones(len(centers), dtype=bool), [0]
+    while len(chain) < len(centers):
+        left[chain[-1]] = False
+        far = ((centers - centers[chain[-1]]) ** 2).sum(1)
+        chain.append(int(np.where(left, far, np.inf).argmin()) if np.isfinite(far[left]).any() else int(left.argmax()))
+    return chain
+
+
+def _packs(sizes: np.ndarray, chain: list[int], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First pack and number of packs of every cell: cells that follow each other share a pack of up to ``rows`` rows, a larger one has its own."""
+    first, count = np.zeros(len(sizes), dtype=int), np.maximum(1, -(-sizes // rows))
+    pack = held = 0
+    for c in chain:
+        if held and held + sizes[c] > rows:
+            pack, held = pack + 1, 0
+        first[c] = pack
+        pack, held = (pack + count[c], 0) if count[c] > 1 else (pack, held + sizes[c])
+    return first, count
+
+
 def _pivots(items: DataFrame, count: int) -> np.ndarray:
     """A repeatable sample of ``count`` vectors."""
     rows = items.orderBy(F.xxhash64("id"), "id").limit(count).select("vec").collect()
@@ -94,43 +135,56 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, id_col: str = "id", ve
         F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.min("far").alias("close"))
     cells = shares.groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"),
                                        F.get(F.sort_array(F.collect_list("close")), F.lit(need - 1)).alias("close")).collect()
-    radius, close, chunks = np.full(len(centers), -np.inf), np.full(len(centers), np.inf), np.ones(len(centers), dtype=int)
+    radius, close, held = np.full(len(centers), -np.inf), np.full(len(centers), np.inf), np.zeros(len(centers), dtype=int)
     for c in cells:
         radius[c["cell"]] = c["radius"]
         close[c["cell"]] = c["close"] if c["close"] is not None else np.inf
-        chunks[c["cell"]] = -(-c["n"] // chunk_rows)
+        held[c["cell"]] = c["n"]
     filled = np.flatnonzero(np.isfinite(radius))
     asking = _into_cells(q, centers).withColumnRenamed("cell", "home")
     asks = np.zeros(len(centers), dtype=int)  # one number per pivot
     for r in asking.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect():
         asks[r["home"]] = r["n"]
-    blocks = np.maximum(1, -(-asks // block_queries))
+    chain = _chain(centers)
+
+    def side(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        return _packs(sizes, chain, min(most, max(SIDE_ROWS, -(-int(sizes.sum()) // SIDES))))
+
+    (chunk_of, chunks), (block_of, blocks) = side(held, chunk_rows), side(asks, block_queries)
+    all_chunks = int((chunk_of + chunks).max())
 
-    def of(numbers: np.ndarray, cell: str) -> Column:
-        return F.element_at(F.array(*[F.lit(int(n)) for n in numbers]), F.col(cell) + 1)
+    def pack(first: np.ndarray, count: np.ndarray, cell: str) -> Column:
+        def of(numbers: np.ndarray) -> Column:
+            return F.element_at(F.array(*[F.lit(int(n)) for n in numbers]), F.col(cell) + 1)
 
-    chunked = celled.select("id", "vec", "cell", F.pmod(F.xxhash64("id"), of(chunks, "cell")).cast("int").alias("chunk"))
-    block = of(np.cumsum(blocks) - blocks, "home") + F.pmod(F.xxhash64("id"), of(blocks, "home"))
+        return (of(first) + F.pmod(F.xxhash64("id"), of(count))).cast("int")
+
+    chunked = celled.select("id", "vec", "cell", pack(chunk_of, chunks, "cell").alias("chunk"))
+
+    def visited_cells(x: np.ndarray) -> np.ndarray:
+        """Which of the filled cells can hold one of the nearest items of each vector."""
+        d = _distances(x, centers)
+        bound = (d + close[None, :]).min(1)
+        return d[:, filled] - radius[filled][None, :] <= bound[:, None] + SLACK
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(_matrix(pdf["vec"]), centers)
-            bound = (d + close[None, :]).min(1)
-            rows, cols = np.nonzero(d[:, filled] - radius[filled][None, :] <= bound[:, None] + SLACK)
-            cell = filled[cols]
-            times = chunks[cell]
-            rows, cell = np.repeat(rows, times), np.repeat(cell, times)
-            chunk = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
-            yield pdf.iloc[rows].assign(cell=cell.astype("int32"), chunk=chunk.astype("int32"))
-
-    visit_schema = T.StructType([*q.schema.fields, T.StructField("block", T.IntegerType()),
-                                 T.StructField("cell", T.IntegerType()), T.StructField("chunk", T.IntegerType())])
-    visits = asking.select(*q.columns, block.cast("int").alias("block")).mapInPandas(visit, visit_schema)
-    visited = visits.select(*[F.col(c).alias(f"_{c}") for c in ("cell", "chunk", "block")]).distinct()
-    copied = chunked.join(visited, (F.col("cell") == F.col("_cell")) & (F.col("chunk") == F.col("_chunk")))
-    copied = copied.select("id", "vec", "cell", "chunk", F.col("_block").alias("block"))
+            for at in range(0, len(pdf), 1_000):
+                part = pdf.iloc[at:at + 1_000]
+                seen = visited_cells(_matrix(part["vec"]))
+                goes = np.zeros((len(part), all_chunks), dtype=bool)
+                for place, c in enumerate(filled):
+                    goes[:, chunk_of[c]:chunk_of[c] + chunks[c]] |= seen[:, place, None]
+                rows, chunk = np.nonzero(goes)
+                for cut in range(0, len(rows), 10_000):
+                    yield part.iloc[rows[cut:cut + 10_000]].assign(chunk=chunk[cut:cut + 10_000].astype("int32"))
+
+    visit_schema = T.StructType([*q.schema.fields, T.StructField("block", T.IntegerType()), T.StructField("chunk", T.IntegerType())])
+    visits = asking.select(*q.columns, pack(block_of, blocks, "home").alias("block")).mapInPandas(visit, visit_schema)
+    visited = visits.select(F.col("chunk").alias("_chunk"), F.col("block").alias("_block")).distinct()
+    copied = chunked.join(visited, F.col("chunk") == F.col("_chunk")).select("id", "vec", "cell", "chunk", F.col("_block").alias("block"))
+    place_of = np.zeros(len(centers), dtype=int)
+    place_of[filled] = np.arange(len(filled))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "item_id": [], "measure": []})
@@ -138,16 +192,27 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, id_col: str = "id", ve
             return empty
         right = right.sort_values("id")
         a, b = _matrix(left["vec"]), _matrix(right["vec"])
-        score = -(a @ b.T) if metric == "inner" else _distances(a, b)
-        score = np.round(score, DIGITS)
-        qid, iid = left["id"].to_numpy(), right["id"].to_numpy()
-        if skip_self:
-            score[qid[:, None] == iid[None, :]] = np.inf
-        rows, cols = _smallest(score, k)
-        value = score[rows, cols]
-        return pd.DataFrame({"query_id": qid[rows], "item_id": iid[cols], "measure": -value if metric == "inner" else value})
-
-    group = ["cell", "chunk", "block"]
+        # queries that visit the same cells share a tile
+        home = np.concatenate([_distances(a[at:at + 1_000], centers).argmin(1) for at in range(0, len(a), 1_000)])
+        order = np.argsort(home, kind="stable")
+        a, qid, iid = a[order], left["id"].to_numpy()[order], right["id"].to_numpy()
+        place = place_of[right["cell"].to_numpy()]
+        names = pd.factorize(np.concatenate([qid, iid]))[0] if skip_self else None
+        step, parts = max(1, TILE // len(b)), []
+        for at in range(0, len(a), step):
+            x = a[at:at + step]
+            cols = np.flatnonzero(visited_cells(x).any(0)[place])
+            if not len(cols):
+                continue
+            y = b if len(cols) == len(b) else b[cols]
+            score = -(x @ y.T) if metric == "inner" else _distances(x, y)
+            if skip_self:
+                score[names[at:at + len(x), None] == names[len(qid):][cols][None, :]] = np.inf
+            r, c, value = _smallest_rounded(score, k)
+            parts.append(pd.DataFrame({"query_id": qid[at + r], "item_id": iid[cols[c]], "measure": -value if metric == "inner" else value}))
+        return pd.concat(parts) if parts else empty
+
+    group = ["chunk", "block"]
     found = visits.groupBy(*group).cogroup(copied.groupBy(*group)).applyInPandas(meet, out_schema)
     best = F.desc("measure") if metric == "inner" else F.asc("measure")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "item_id")))
