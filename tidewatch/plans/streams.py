@@ -17,7 +17,7 @@ from tidewatch.plans.oracle_views import with_views
 from tidewatch.plans.registry import Tables, query
 from tidewatch.plans.traffic import sql_ts, text_ts
 from tidewatch.plans.vectors import _ST, _damped, _statistics_columns
-from tidewatch.runtime import materialize, shared_dir
+from tidewatch.runtime import dealt, materialize, shared_dir
 from tidewatch.schemas import PHISHING_FEATURES as FEATURES
 from tidewatch.schemas import PREDICTION, TRAFFIC_LOG
 from tidewatch.sources.log_table import LogTable, decode, from_json, to_json
@@ -87,7 +87,7 @@ def streamed_reputation(t):
 
 @query("streamed_scores", "ST8")
 def streamed_scores(t):
-    fitted = M.make_model("logistic_regression").fit(materialize(training_rows(t), "rows"))
+    fitted = M.make_model("logistic_regression").fit(dealt(training_rows(t), "rows", *IDS))
     rows = M.assembled(live(t).phishing, FEATURES, L.zero_one("Result")).select(*IDS, "features", "label")
     return drain(M.score(fitted, rows).select("row_id", "label", "score", "y_pred"), "scores")
 
