@@ -105,22 +105,31 @@ def balance(df: DataFrame, label: str, ids: list[str], strategy: str = "none", s
 
 
 def _interpolated(rows: DataFrame, ids: list[str], features: list[str], k: int, seed: int) -> DataFrame:
-    """Synthetic rows between a row and one of its k nearest rows of the same class."""
-    from tidewatch.operators.similarity import nearest
+    """Synthetic rows between a row and one of its k nearest rows of the same class.
 
-    keyed = rows.withColumn("_id", F.col(ids[0]) if len(ids) == 1 else F.to_json(F.struct(*ids)))
-    points = keyed.select("_id", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("_vec"))
-    near = nearest(points, points, k, "_id", "_vec", metric="euclidean", skip_self=True)
-    wanted = keyed.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    Only rows that get copies ask, and equal ones ask once. Of equal rows the k + 1 of smallest id give: the k nearest of any
+    row, nearer ones first and ties by id, hold no others.
+    """
+    from tidewatch.operators.similarity import nearest
+    from tidewatch.runtime import dealt
+
+    keyed = dealt(rows.withColumn("_id", F.col(ids[0]) if len(ids) == 1 else F.to_json(F.struct(*ids)))
+                  .withColumn("_vec", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])), "smote", "_id")
+    of_equals = Window.partitionBy("_vec").orderBy("_id")
+    givers = dealt(keyed.select("_id", "_vec").withColumn("_r", F.row_number().over(of_equals)).where(F.col("_r") <= k + 1).drop("_r"), "givers")
+    wanted = keyed.where("_times > 0")
+    asking = dealt(wanted.groupBy("_vec").agg(F.min("_id").alias("_asks")), "askers")
+    near = nearest(asking.select(F.col("_asks").alias("_id"), "_vec"), givers, k + 1, "_id", "_vec", metric="euclidean")
+    lists = near.groupBy(F.col("query_id").alias("_asks")).agg(F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("_near"))  # at most k + 1
+    wanted = wanted.join(asking.join(lists, "_asks").select("_vec", F.col("_near.item_id").alias("_near")), "_vec", "left")
+    wanted = wanted.withColumn("_near", F.slice(F.filter("_near", lambda x: x != F.col("_id")), 1, k))
+    chosen = wanted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     # a class of up to k rows has fewer neighbours; a lone row is its own
-    have = near.groupBy(F.col("query_id").alias("_id")).agg(F.max("rank").cast("bigint").alias("_have"))
-    wanted = wanted.join(have, "_id", "left")
-    pick = F.pmod(F.xxhash64("_id", "_copy", F.lit(seed)), F.col("_have")) + 1
+    have = F.nullif(F.size("_near"), F.lit(0)).cast("bigint")
+    pick = F.pmod(F.xxhash64("_id", "_copy", F.lit(seed)), have).cast("int")
     gap = F.pmod(F.xxhash64("_copy", "_id", F.lit(seed + 1)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    chosen = wanted.withColumn("_pick", pick).withColumn("_gap", gap)
-    other = near.select(F.col("query_id").alias("_id"), F.col("rank").cast("bigint").alias("_pick"), F.col("item_id").alias("_other"))
-    joined = chosen.join(other, ["_id", "_pick"], "left").withColumn("_other", F.coalesce("_other", "_id")).join(
-        points.select(F.col("_id").alias("_other"), F.col("_vec").alias("_to")), "_other")
+    chosen = chosen.withColumn("_gap", gap).withColumn("_other", F.coalesce(F.get("_near", pick), "_id")).drop("_vec", "_near")
+    joined = chosen.join(keyed.select(F.col("_id").alias("_other"), F.col("_vec").alias("_to")), "_other")
     made = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) + F.col("_gap") * (F.get("_to", F.lit(i)) - F.coalesce(F.col(c).cast("double"), F.lit(0.0)))).alias(c)
             for i, c in enumerate(features)]
     rest = [c for c in rows.columns if c not in features and c != "_times"]

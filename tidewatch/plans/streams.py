@@ -17,7 +17,7 @@ from tidewatch.plans.oracle_views import with_views
 from tidewatch.plans.registry import Tables, query
 from tidewatch.plans.traffic import sql_ts, text_ts
 from tidewatch.plans.vectors import _ST, _damped, _statistics_columns
-from tidewatch.runtime import dealt, materialize, shared_dir
+from tidewatch.runtime import dealt, shared_dir
 from tidewatch.schemas import PHISHING_FEATURES as FEATURES
 from tidewatch.schemas import PREDICTION, TRAFFIC_LOG
 from tidewatch.sources.log_table import LogTable, decode, from_json, to_json
