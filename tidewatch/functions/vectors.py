@@ -22,6 +22,18 @@ def fit_length(vector: Column, length: int = WIDE) -> Column:
     return F.slice(F.concat(vector, F.array_repeat(F.lit(0.0), length)), 1, length)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``F.round`` of a number, the same to the last bit.
+
+    A whole number divided by a power of ten is the nearest double, as it is of the decimal that ``F.round`` goes by. Only near
+    ties, where the product may err, and beyond the range of exact products that slower way is taken.
+    """
+    scale = F.lit(10.0 ** digits)
+    at = x * scale
+    clear = (F.abs(at) < 1e9) & (F.abs(at - F.floor(at) - 0.5) > 1e-4)
+    return F.when(clear, F.floor(at + 0.5) / scale).otherwise(F.round(x, digits))
+
+
 def _numbers(*values) -> list[Column]:
     return [(v if isinstance(v, Column) else F.col(v)).cast("double") for v in values]
 

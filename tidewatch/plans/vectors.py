@@ -19,7 +19,7 @@ _RATES = [repr(r) for r in I.RATES]
 
 
 def cells(vector: str, n: int, digits: int = 6, name: str = "v"):
-    return [F.round(F.get(vector, F.lit(i)), digits).alias(f"{name}{i:03d}") for i in range(n)]
+    return [V.rounded(F.get(vector, F.lit(i)), digits).alias(f"{name}{i:03d}") for i in range(n)]
 
 
 _CHAN = """,
