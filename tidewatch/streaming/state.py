@@ -8,6 +8,7 @@ distinct counts, which live in RocksDB map state.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -201,6 +202,8 @@ def stream_samples(packets: DataFrame, size: int = 10, span: float = 10.0, idle_
 
 COUNTS = ["total_flows", "bytes_sent", "bytes_recv", "packets_sent", "packets_recv", "tcp_flows", "udp_flows", "icmp_flows"]
 DISTINCT = ["unique_dst_ports", "unique_dst_ips", "unique_src_ports", "active_hours"]
+#: Buckets of the values that a source has shown, by kind: a batch asks once per bucket, and holds one at a time.
+BUCKETS = 32
 _PROFILE = T.StructType([T.StructField(n, T.LongType()) for n in COUNTS + DISTINCT] + [T.StructField("first_seen", T.DoubleType())])
 
 
@@ -210,8 +213,23 @@ class _Profiles(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.profile = handle.getValueState("profile", _PROFILE)
-        pair = T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
-        self.seen = handle.getMapState("seen", pair, T.StructType([T.StructField("x", T.BooleanType())]))
+        place = T.StructType([T.StructField("kind", T.StringType()), T.StructField("bucket", T.IntegerType())])
+        self.seen = handle.getMapState("seen", place, T.StructType([T.StructField("x", T.ArrayType(T.StringType()))]))
+
+    def _new(self, kind: str, values: list[str], known: bool) -> set[str]:
+        """Which of some different values the source has not shown before; they are kept. Every call to the
+        state is a trip to another process, so values travel by bucket."""
+        buckets: dict[int, list[str]] = {}
+        for v in values:
+            buckets.setdefault(zlib.crc32(v.encode()) % BUCKETS, []).append(v)
+        out: set[str] = set()
+        for b, own in buckets.items():
+            held = list(self.seen.getValue((kind, b))[0]) if known and self.seen.containsKey((kind, b)) else []
+            fresh = set(own).difference(held)
+            if fresh:
+                self.seen.updateValue((kind, b), ([*held, *sorted(fresh)],))
+                out |= fresh
+        return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = self.profile.get() if self.profile.exists() else None
@@ -228,11 +246,7 @@ class _Profiles(StatefulProcessor):
         for kind, column in values.items():
             text = column.map(lambda v: None if pd.isna(v) else (str(int(v)) if not isinstance(v, str) else v))
             first = ~text.duplicated() & text.notna()
-            for i in first[first].index:
-                if state and self.seen.containsKey((kind, text[i])):
-                    first[i] = False
-                else:
-                    self.seen.updateValue((kind, text[i]), (True,))
+            first &= text.isin(self._new(kind, text[first].tolist(), state is not None))
             out[kind] = first.astype("int64").cumsum() + int(old[kind])
         start = float(old["first_seen"]) if state else float(pdf["seen_s"].iloc[0])
         out["first_seen"], out["last_seen"] = start, pdf["seen_s"]
