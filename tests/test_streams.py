@@ -63,6 +63,25 @@ def test_damped_over_batches(pieces, tables):
         assert got[r.pkt_no].weight_0 == pytest.approx(r.weight_0) and got[r.pkt_no].mean_3 == pytest.approx(r.mean_3)
 
 
+def test_damped_batches_scan_their_rows_once(pieces, spark, monkeypatch):
+    """The next state comes from the written sums and not from a second scan; every key keeps its newest state."""
+    scans, scanner = [], I._scanner
+    monkeypatch.setattr(I, "_scanner", lambda groups, *rest: scans.append(len(groups)) or scanner(groups, *rest))
+    rows = I.channel_rows(spark.createDataFrame([(0, 0.0, 5, "a"), (1, 1.0, 7, "b"), (2, 2.0, 9, "a")], "pkt_no long, ts_s double, packet_size int, src_ip string")
+                          .selectExpr("*", "src_ip AS dst_ip", "1 AS src_port", "2 AS dst_port"), ["ip"])
+    stepped = materialize(I.damped_step(rows.where("pkt_no < 2"), I.statistic_sums()), "stepped")
+    first = materialize(I.state_after(stepped, I.statistic_sums()), "state")
+    later = materialize(I.damped_step(rows.where("pkt_no = 2"), I.statistic_sums(), before=first), "stepped")
+    second = {r.key: r for r in I.state_after(later, I.statistic_sums(), before=first).collect()}
+    assert (second["b"].tau, second["b"].s0) == (1.0, 1.0) and second["a"].tau == 2.0
+    whole = {r.key: r for r in I.state_after(I.damped_step(rows, I.statistic_sums()), I.statistic_sums()).collect()}
+    assert all(second[k][i] == pytest.approx(whole[k][i]) for k in whole for i in range(2, len(whole[k])))
+    scans.clear()
+    assert snapshots.stream_damped(pieces(), ["ip"]).count() > 0
+    # a batch makes the scan of its rows, that of hot keys and the chain of their blocks, and no others
+    assert len(scans) <= 3 * 3
+
+
 def test_packet_scores_over_batches_and_restarts(spark, tables, tmp_path):
     """Pieces, a stop in the training range and one after it: the batch run's scores."""
     whole = materialize(I.packet_vectors(tables.packets), "vectors")

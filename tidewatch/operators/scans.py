@@ -36,7 +36,8 @@ def with_value_block(df: DataFrame, keys: list[str], value: Column, rows: int =
     quantiles of their own rows from mergeable sketches. Their blocks are made of whole
     quantile steps and aim at three quarters of ``rows``; rows of equal value stay together. A
     key of more than ``QUANTILES`` blocks gets larger ones. The count is a job of its own: without a hot key, as in most tables,
-    the rows are not joined with any cuts and stay where they lie.
+    the rows are not joined with any cuts and stay where they lie. Hot keys and their cuts are broadcast: 4 KB at most for
+    every ``rows`` rows of the input.
     """
     timed = df.withColumn("_t", value.cast("double"))
     own = [c.eqNullSafe(d) for c, d in ((F.col(k), F.col(f"_k_{k}")) for k in keys)]
@@ -47,13 +48,13 @@ def with_value_block(df: DataFrame, keys: list[str], value: Column, rows: int =
     steps = [i / QUANTILES for i in range(1, QUANTILES)]
     if hot.isEmpty():
         return df.withColumn(BLOCK, F.lit(0).cast("bigint").alias(BLOCK, metadata={ONE: True}))
-    cuts = (timed.join(hot, match).groupBy(*[f"_k_{k}" for k in keys], "_n")
+    cuts = (timed.join(F.broadcast(hot), match).groupBy(*[f"_k_{k}" for k in keys], "_n")
             .agg(F.percentile_approx("_t", steps, 20 * QUANTILES).alias("_q")))
     blocks = F.least(F.ceil(F.col("_n") / F.lit(0.75 * rows)), F.lit(QUANTILES)).cast("int")
     chosen = F.transform(F.sequence(F.lit(1), blocks - 1), lambda i: F.get("_q", F.floor(i * F.lit(QUANTILES) / blocks).cast("int") - 1))
     cuts = cuts.select(*[f"_k_{k}" for k in keys], F.when(blocks > 1, F.array_distinct(chosen)).alias("_cuts"))
     block = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_t"))).cast("bigint"), F.lit(0).cast("bigint"))
-    return timed.join(cuts, match, "left").select(*df.columns, block.alias(BLOCK))
+    return timed.join(F.broadcast(cuts), match, "left").select(*df.columns, block.alias(BLOCK))
 
 
 def one_block(df: DataFrame) -> bool:

@@ -54,7 +54,7 @@ _ST = [f"round({e}, {d}) AS {n}_{i}" for i in range(5) for e, n, d in zip(_stats
 
 
 def _statistics_columns():
-    return [F.round(f"{n}_{i}", d).alias(f"{n}_{i}") for i in range(5) for n, d in (("weight", 6), ("mean", 6), ("std", 3))]
+    return [V.rounded(F.col(f"{n}_{i}"), d).alias(f"{n}_{i}") for i in range(5) for n, d in (("weight", 6), ("mean", 6), ("std", 3))]
 
 
 @query("damped_source_statistics", "W9 D14", with_views("packets", _damped(["ip"]) + f" SELECT pkt_no, {', '.join(_ST)} FROM ds"))

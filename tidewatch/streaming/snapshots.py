@@ -54,7 +54,8 @@ class Versions:
 
 
 def stream_damped(packets: DataFrame, channels: list[str] = I.CHANNELS, keep_seconds: float | None = None, folder: str | None = None) -> DataFrame:
-    """Damped statistics of every packet over the micro-batches of a stream. Keys not seen
+    """Damped statistics of every packet over the micro-batches of a stream. The faded sums are
+    written, once per packet and channel; the next state and the statistics are read from them. Keys not seen
     for ``keep_seconds`` of event time leave the state. With a ``folder`` of the caller's a
     later call goes on from the state that this one left."""
     spark = packets.sparkSession
@@ -64,8 +65,8 @@ def stream_damped(packets: DataFrame, channels: list[str] = I.CHANNELS, keep_sec
     def step(batch: DataFrame, number: int) -> None:
         rows = I.channel_rows(batch, channels)
         before = versions.read(spark, number - 1) if number > 0 else None
-        sums, after = I.damped_step(rows, I.statistic_sums(), before=before)
-        I.statistics_of(sums, rows.columns, len(I.RATES)).write.mode("overwrite").parquet(f"{results}/batch={number}")
+        I.damped_step(rows, I.statistic_sums(), before=before).write.mode("overwrite").parquet(path := f"{results}/batch={number}")
+        after = I.state_after(spark.read.parquet(path), I.statistic_sums(), before=before)
         if keep_seconds is not None:
             after = after.where(F.col("tau") >= after.agg(F.max("tau")).scalar() - F.lit(keep_seconds))
         versions.write(after, number)
@@ -73,7 +74,8 @@ def stream_damped(packets: DataFrame, channels: list[str] = I.CHANNELS, keep_sec
             versions.forget(spark, number - 2)
 
     for_each_batch(packets, "damped", step, folder)
-    return spark.read.parquet(results).drop("batch")
+    sums = spark.read.parquet(results)
+    return I.statistics_of(sums, ["pkt_no", "ts_s", "value", "channel", "key"], len(I.RATES))
 
 
 def stream_ensemble(packets: DataFrame, map_rows: int = 5_000, train_rows: int = 50_000, folder: str | None = None, **settings) -> DataFrame:
@@ -94,11 +96,14 @@ def stream_ensemble(packets: DataFrame, map_rows: int = 5_000, train_rows: int =
 
     def step(batch: DataFrame, number: int) -> None:
         rows = I.channel_rows(batch)
-        faded, after = I.damped_step(rows, I.statistic_sums(), before=sums.read(spark, number - 1) if number else None)
-        vectors = I.vectors_of(I.statistics_of(faded, rows.columns, len(I.RATES)))
-        vectors.write.mode("overwrite").parquet(path := f"{folder}/vectors/batch={number}")
+        before = sums.read(spark, number - 1) if number else None
+        # written once: the vectors and the next state are both made of these rows
+        I.damped_step(rows, I.statistic_sums(), before=before).write.mode("overwrite").parquet(path := f"{folder}/faded/batch={number}")
+        faded = spark.read.parquet(path)
+        I.vectors_of(I.statistics_of(faded, rows.columns, len(I.RATES))).write.mode("overwrite").parquet(path := f"{folder}/vectors/batch={number}")
         vectors = spark.read.parquet(path)
-        sums.write(after, number)
+        sums.write(I.state_after(faded, I.statistic_sums(), before=before), number)
+        Versions(f"{folder}/faded", "batch").forget(spark, number)
         seen, model_at = phases.read(spark, number - 1).first() if number else (0, -1)
         if model_at < 0:
             vectors.where(F.col("pkt_no") < trained_until).write.mode("overwrite").parquet(f"{range_of}/batch={number}")
