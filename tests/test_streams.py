@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import time
 
+import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -57,6 +58,55 @@ def test_samples_over_batches(pieces, tables):
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def test_samples_of_many_keys_share_their_trips_to_the_state():
+    """A bucket's keys are loaded and saved at once, an open sample goes on in the next batch and is flushed when it is due."""
+    class Held:
+        calls, value = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers = Held(), set()
+
+        def getValueState(self, *_):
+            return self.held
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 30_000
+
+        def getExpiryTimeInMs(self):
+            return 11_001
+
+    def packets(first, *stamps):
+        return pd.DataFrame([(k, first + i * 10 + j, t, [float(j + 1)] * 10) for i, k in enumerate(("a", "b", None)) for j, t in enumerate(stamps)],
+                            columns=["flow_key", "pkt_no", "ts_s", "f"])
+
+    handle, cut = Handle(), state._Samples(3, 5.0, 10.0)
+    cut.init(handle)
+    (one,) = cut.handleInputRows((7,), iter([packets(0, 0.0, 0.5, 0.75, 1.0)]), Clock())
+    assert handle.held.calls == 2 and len(one) == 3 and set(one["packets"]) == {3} and handle.timers == {11_001}
+    assert one["matrix"].iloc[0].tolist()[11:14] == [2.0, 0.5, 2.0]
+    (two,) = cut.handleInputRows((7,), iter([packets(100, 9.0).iloc[:1]]), Clock())  # a's open packet and the one that is late
+    assert two[["flow_key", "sample_no", "packets", "first_packet", "last_packet"]].values.tolist() == [["a", 1, 2, 3, 100]]
+    (three,) = cut.handleExpiredTimer((7,), Clock(), Clock())
+    assert sorted(three["first_packet"]) == [13, 23] and set(three["sample_no"]) == {1} and handle.timers == set()
+    (four,) = cut.handleInputRows((7,), iter([packets(200, 40.0)]), Clock())
+    assert len(four) == 0 and list(handle.held.value[1]) == [2, 2, 2] and handle.timers == {50_001}
+
+
 def test_damped_over_batches(pieces, tables):
     got = {r.pkt_no: r for r in snapshots.stream_damped(pieces(), ["ip"]).collect()}
     for r in I.damped_statistics(I.channel_rows(tables.packets, ["ip"])).collect():

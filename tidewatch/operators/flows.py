@@ -104,7 +104,7 @@ def finish(flows: DataFrame) -> DataFrame:
 # --- fixed-size samples -----------------------------------------------------------------
 
 
-def _walk(ts: np.ndarray, size: int, span: float, held: int, start: float) -> tuple[np.ndarray, int, float]:
+def walk(ts: np.ndarray, size: int, span: float, held: int, start: float) -> tuple[np.ndarray, int, float]:
     """Sample ordinal of every packet, given ``held`` packets of an open sample from ``start``."""
     n, i, sample = len(ts), 0, 0
     out = np.empty(n, dtype=np.int64)
@@ -147,7 +147,7 @@ def _entry_states(rows: DataFrame, size: int, span: float) -> DataFrame:
         ts = pdf["ts_s"].to_numpy()
         held, closed = [], []
         for k in range(len(lead) + 1):
-            numbers, left, _ = _walk(ts, size, span, k, lead[-k] if k else 0.0)
+            numbers, left, _ = walk(ts, size, span, k, lead[-k] if k else 0.0)
             done = int(numbers[-1]) + (0 if left else 1)
             held.append(left)
             closed.append(done)
@@ -193,7 +193,7 @@ def assign_samples(packets: DataFrame, size: int = 10, span: float = 10.0, block
                 if (keys[a], blocks[a]) != group:
                     group = (keys[a], blocks[a])
                     held, start, sample = int(pdf["held"].iat[a]), float(pdf["start"].iat[a]), int(pdf["first_sample"].iat[a])
-                numbers, held, start = _walk(ts[a:b], size, span, held, start)
+                numbers, held, start = walk(ts[a:b], size, span, held, start)
                 out[a:b] = numbers + sample
                 sample += int(numbers[-1]) + (0 if held else 1)
             pdf["sample_no"] = out

@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.functions.flow import FLAG_BITS, flow_key, profile_score, score_columns
+from tidewatch.operators.flows import walk
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FLAGS = ["syn", "ack", "fin", "rst", "psh"]
@@ -124,57 +126,91 @@ SAMPLE = T.StructType([
     T.StructField("flow_key", T.StringType()), T.StructField("sample_no", T.LongType()), T.StructField("packets", T.IntegerType()),
     T.StructField("first_packet", T.LongType()), T.StructField("last_packet", T.LongType()),
     T.StructField("matrix", T.ArrayType(T.DoubleType()))])
-_HELD = T.StructType([T.StructField("pkt_no", T.LongType()), T.StructField("ts_s", T.DoubleType()), T.StructField("f", T.ArrayType(T.DoubleType()))])
+_HELD = T.StructType(
+    [T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("next", T.ArrayType(T.LongType())), T.StructField("due", T.ArrayType(T.LongType())),
+     T.StructField("held", T.ArrayType(T.LongType())), T.StructField("pkt_no", T.ArrayType(T.LongType())), T.StructField("ts_s", T.ArrayType(T.DoubleType())),
+     T.StructField("f", T.ArrayType(T.DoubleType())), T.StructField("timer", T.LongType())])
+#: Buckets of flow keys: their samples are cut together, since every call to the state is a trip to another process.
+KEY_BUCKETS = 4096
+CELLS = 11
 
 
 class _Samples(StatefulProcessor):
+    """Samples of the flow keys of a bucket. The state holds, for every key, the number of its next sample, when an open one is
+    flushed and how many packets that holds; their numbers, times and features lie in a row."""
+
     def __init__(self, size: int, span: float, idle_flush: float) -> None:
         self.size, self.span, self.idle_flush = size, span, idle_flush
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", _HELD)
-        self.next = handle.getValueState("next", T.StructType([T.StructField("n", T.LongType()), T.StructField("timer", T.LongType())]))
-
-    def _row(self, key: str, number: int, held: list) -> tuple:
-        cells, before = [], None
-        for _, ts, f in held:
-            cells += [f[0], 0.0 if before is None else min(ts - before, 1.0), *f[1:]]
-            before = ts
-        cells += [0.0] * (self.size * 11 - len(cells))
-        return key, number, len(held), held[0][0], held[-1][0], cells
+        self.handle, self.state = handle, handle.getValueState("held", _HELD)
+
+    def _load(self) -> tuple:
+        keys, number, due, held, pkt, ts, f, timer = self.state.get() or ([], [], [], [], [], [], [], -1)
+        features = np.array(f, float).reshape(len(pkt), CELLS - 1)
+        return (np.array(keys, object), *(np.array(x, np.int64) for x in (number, due, held, pkt)), np.array(ts, float), features, timer)
+
+    def _save(self, keys, number, due, held, pkt, ts, f, old_timer: int) -> None:
+        open_ = due[due >= 0]
+        timer = int(open_.min()) if len(open_) else -1
+        if timer != old_timer:
+            if old_timer >= 0:
+                self.handle.deleteTimer(old_timer)
+            if timer >= 0:
+                self.handle.registerTimer(timer)
+        self.state.update((keys.tolist(), number.tolist(), due.tolist(), held.tolist(), pkt.tolist(), ts.tolist(), f.ravel().tolist(), timer))
+
+    def _rows(self, keys, owner, number, pkt, ts, f) -> pd.DataFrame:
+        """One row per sample; the packets of a sample follow each other."""
+        fresh = np.ones(len(owner), bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (number[1:] != number[:-1])
+        starts = np.flatnonzero(fresh)
+        sizes, sample = np.diff(np.append(starts, len(owner))), np.cumsum(fresh) - 1
+        place = np.arange(len(owner)) - starts[sample]
+        cells = np.zeros((len(starts), self.size, CELLS))
+        cells[sample, place, 0] = f[:, 0]
+        cells[sample, place, 1] = np.where(fresh, 0.0, np.minimum(np.diff(ts, prepend=ts[:1]), 1.0))
+        cells[sample, place, 2:] = f[:, 1:]
+        return pd.DataFrame({"flow_key": keys[owner[starts]], "sample_no": number[starts], "packets": sizes.astype(np.int32), "first_packet": pkt[starts],
+                             "last_packet": pkt[starts + sizes - 1], "matrix": pd.Series(list(cells.reshape(len(starts), self.size * CELLS)), dtype=object)}, columns=SAMPLE.names)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        number, timer = self.next.get() if self.next.exists() else (0, -1)
-        held = [(int(h[0]), float(h[1]), list(h[2])) for h in self.held.get()] if self.held.exists() else []
-        done = []
-        for p in _sorted(rows, ["pkt_no"]).itertuples(index=False):
-            held.append((int(p.pkt_no), float(p.ts_s), [float(x) for x in p.f]))
-            if len(held) >= self.size or held[-1][1] - held[0][1] >= self.span:
-                done.append(self._row(key[0], number, held))
-                number, held = number + 1, []
-        if timer >= 0:
-            self.handle.deleteTimer(timer)
-        timer = -1
-        if held:
-            self.held.put(held)
-            timer = int((held[-1][1] + self.idle_flush) * 1000) + 1
-            self.handle.registerTimer(timer)
-        else:
-            self.held.clear()
-        self.next.update((number, timer))
-        yield pd.DataFrame(done, columns=SAMPLE.names)
+        keys, number, _, held, pkt, ts, f, timer = self._load()
+        new = pd.concat(rows)
+        known, before = len(keys), len(pkt)
+        codes, names = pd.factorize(np.concatenate([keys, new["flow_key"].to_numpy(object)]), use_na_sentinel=False)
+        owner = np.concatenate([np.repeat(np.arange(known), held), codes[known:]])
+        pkt = np.concatenate([pkt, new["pkt_no"].to_numpy(np.int64)])
+        ts = np.concatenate([ts, new["ts_s"].to_numpy(float)])
+        f = np.concatenate([f, np.stack(new["f"].to_numpy()).astype(float)])
+        # packets of an open sample come first, in their order
+        late = np.arange(len(pkt)) >= before
+        order = np.lexsort((np.where(late, pkt, np.arange(len(pkt))), late, owner))
+        owner, pkt, ts, f = owner[order], pkt[order], ts[order], f[order]
+        number = np.concatenate([number, np.zeros(len(names) - known, np.int64)])
+        due, held = np.full(len(names), -1, np.int64), np.zeros(len(names), np.int64)
+        sample, open_ = np.empty(len(pkt), np.int64), np.zeros(len(pkt), bool)
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pkt)]):
+            k = owner[a]
+            numbers, left, _ = walk(ts[a:b], self.size, self.span, 0, 0.0)
+            sample[a:b] = numbers + number[k]
+            number[k] = sample[b - 1] + (0 if left else 1)
+            if left:
+                open_[b - left:b], held[k] = True, left
+                due[k] = int((ts[b - 1] + self.idle_flush) * 1000) + 1
+        done = self._rows(names, owner[~open_], sample[~open_], pkt[~open_], ts[~open_], f[~open_])
+        self._save(names, number, due, held, pkt[open_], ts[open_], f[open_], timer)
+        yield done
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done = []
-        number, timer = self.next.get()
-        if self.held.exists() and timer <= expiredTimerInfo.getExpiryTimeInMs():
-            held = [(int(h[0]), float(h[1]), list(h[2])) for h in self.held.get()]
-            if held:
-                done.append(self._row(key[0], number, held))
-            self.held.clear()
-            self.next.update((number + 1, -1))
-        yield pd.DataFrame(done, columns=SAMPLE.names)
+        keys, number, due, held, pkt, ts, f, timer = self._load()
+        late = (due >= 0) & ((due <= expiredTimerInfo.getExpiryTimeInMs()) | (due < timerValues.getCurrentWatermarkInMs()))
+        owner = np.repeat(np.arange(len(keys)), held)
+        gone = late[owner]
+        done = self._rows(keys, owner[gone], number[owner[gone]], pkt[gone], ts[gone], f[gone])
+        self._save(keys, number + late, np.where(late, -1, due), np.where(late, 0, held), pkt[~gone], ts[~gone], f[~gone], timer)
+        yield done
 
     def close(self) -> None:
         pass
@@ -182,7 +218,7 @@ class _Samples(StatefulProcessor):
 
 def stream_samples(packets: DataFrame, size: int = 10, span: float = 10.0, idle_flush: float = 600.0, delay: str = "0 seconds") -> DataFrame:
     """Closed flow samples with their matrix. Leftovers are flushed after ``idle_flush``
-    seconds without a packet, which bounds the state."""
+    seconds without a packet, which bounds the state. State lies in buckets of keys."""
     use_rocksdb(packets.sparkSession)
 
     def optional(name: str, default: int):
@@ -194,8 +230,9 @@ def stream_samples(packets: DataFrame, size: int = 10, span: float = 10.0, idle_
         F.col("tcp_flags") / 255.0, F.col("src_port") / 65535.0, F.col("dst_port") / 65535.0, optional("direction", 0).cast("double"),
         F.least(optional("payload_size", 0) / 1500.0, one), F.least(optional("header_size", 20) / 60.0, one),
         F.least(optional("window_size", 0) / 65535.0, one), optional("ttl", 64) / 255.0)
-    rows = _event_time(packets, delay).select("flow_key", "at", "pkt_no", "ts_s", features.alias("f"))
-    return rows.groupBy("flow_key").transformWithStateInPandas(_Samples(size, span, idle_flush), SAMPLE, "append", "EventTime")
+    bucket = F.pmod(F.xxhash64("flow_key"), F.lit(KEY_BUCKETS)).cast("int")
+    rows = _event_time(packets, delay).select("flow_key", "at", "pkt_no", "ts_s", features.alias("f"), bucket.alias("bucket"))
+    return rows.groupBy("bucket").transformWithStateInPandas(_Samples(size, span, idle_flush), SAMPLE, "append", "EventTime")
 
 
 # --- behaviour --------------------------------------------------------------------------------
