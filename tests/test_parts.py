@@ -13,3 +13,22 @@ def test_training_rows_lie_in_even_parts(spark):
     sizes = [r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 2 * 3_200 / len(sizes)
     assert test.count() == 800
+
+
+def test_blend_reads_even_parts_of_a_class(spark, monkeypatch):
+    """The rows that a blend trains on lie in even parts, and marking a hold-out by class sends no class to one task."""
+    from pyspark.ml.functions import array_to_vector
+
+    from tidewatch.operators import sampling
+
+    rows = spark.range(4000).select("id", array_to_vector(F.array(F.col("id") % 7.0, F.col("id") % 5.0)).alias("features"), (F.col("id") % 10 == 0).cast("double").alias("label"))
+    read = []
+    fit = learn.DecisionTreeClassifier.fit
+    monkeypatch.setattr(learn.DecisionTreeClassifier, "fit", lambda self, df, *rest: read.append(df) or fit(self, df, *rest))
+    learn.blend(rows, {"decision_tree": learn.decision_tree(depth=2)}, ["id"])
+    sizes = [r["n"] for r in read[-1].groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 4000 and len(sizes) == 2 * spark.sparkContext.defaultParallelism and max(sizes) < 4 * 4000 / len(sizes)
+    marked = [sampling.mark_fraction(rows, ["id"], fraction=0.2, by="label", few_classes=few) for few in (True, False)]
+    assert "hashpartitioning(label" not in marked[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in marked[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert marked[0].exceptAll(marked[1]).isEmpty() and marked[0].where("picked").count() == 800

@@ -257,7 +257,7 @@ class Ensemble:
 def stack(train: DataFrame, estimators: dict[str, Estimator], ids: list[str], folds: int = 5, seed: int = 42,
           meta: Estimator | None = None) -> Ensemble:
     """Meta model over out-of-fold base scores, base models refitted on all rows."""
-    numbered = materialize(sampling.folds(train, ids, folds, seed), "folds")
+    numbered = dealt(sampling.folds(train, ids, folds, seed), "folds", *ids)
     parts = []
     for f in range(folds):
         fitted = {n: e.fit(numbered.where(F.col("fold") != f)) for n, e in estimators.items()}
@@ -272,7 +272,7 @@ def stack(train: DataFrame, estimators: dict[str, Estimator], ids: list[str], fo
 def blend(train: DataFrame, estimators: dict[str, Estimator], ids: list[str], holdout: float = 0.2, seed: int = 42,
           meta: Estimator | None = None) -> Ensemble:
     """Meta model over the scores of a stratified hold-out, base models refitted on all rows."""
-    marked = materialize(sampling.mark_fraction(train, ids, fraction=holdout, seed=seed, by=LABEL, out="_held"), "holdout")
+    marked = dealt(sampling.mark_fraction(train, ids, fraction=holdout, seed=seed, by=LABEL, out="_held", few_classes=True), "holdout", *ids)
     rest, held = marked.where(~F.col("_held")).drop("_held"), marked.where("_held").drop("_held")
     train = marked.drop("_held")
     fitted = {n: e.fit(rest) for n, e in estimators.items()}

@@ -10,7 +10,7 @@ BITS = 20
 
 def mark_fraction(
     df: DataFrame, ids: list[str], fraction: float | None = None, rows: int | Column | None = None,
-    seed: int = 42, by: str | None = None, out: str = "picked",
+    seed: int = 42, by: str | None = None, out: str = "picked", few_classes: bool = False,
 ) -> DataFrame:
     """Add a flag that is true for exactly ``rows`` or ``round(fraction * n)`` rows.
 
@@ -20,6 +20,7 @@ def mark_fraction(
     comparison per row. Without ``by`` the one row of the cut reaches the driver and the table
     is neither sorted nor shuffled. With ``by`` the share is taken inside every class and the
     cuts, one row per class, stay a frame that is joined; there may be any number of classes.
+    ``few_classes`` says that they are the classes of a model: their cuts are broadcast, and no task gets all rows of a class.
     """
     g = F.col(by) if by else F.lit(0)
     h = F.xxhash64(*[F.col(c) for c in ids], F.lit(seed))
@@ -49,7 +50,7 @@ def mark_fraction(
         limit = F.struct(*[F.lit(edge[c]).cast(last.schema[c].dataType).alias(c) for c in ("_h", *ids)])
         return df.withColumn(out, mine <= limit)
     cuts = last.select(F.col("_g").alias("_cg"), F.struct("_h", *ids).alias("_cut"))
-    joined = df.join(cuts, F.col(by).eqNullSafe(F.col("_cg")), "left")
+    joined = df.join(F.broadcast(cuts) if few_classes else cuts, F.col(by).eqNullSafe(F.col("_cg")), "left")
     return joined.select(*df.columns, F.coalesce(mine <= F.col("_cut"), F.lit(False)).alias(out))
 
 
