@@ -117,3 +117,8 @@ def test_probabilities_of_both_bits_add_up():
     whole = spellings(sorted({bytes([a, b]) for a in range(256) for b in range(256)}), [0] * 65_536)  # all spellings of two bytes
     assert np.isclose((2.0 ** -cm.Mixer(cm.context_counts(s), *cm.Mixer.of_sums(m.sums())).costs(whole, None)).sum(), 1)
     assert (2.0 ** -cost).sum() < 1 and (cost[s.counts > 10] < cost[s.counts == 0].min()).all()
+
+
+def test_a_bucket_of_tokens_is_small():
+    """A task holds the tokens of a bucket: 24 bytes each at most, hash, text and both counts."""
+    assert cm.BUCKET * 24 <= 100_000_000

@@ -52,7 +52,7 @@ LEAP = 0.1
 #: Branches of a step of learning, buckets of the adaptive map and their number a unit of log odds.
 STEP, STEPS, STEEP = 32_768, 33, 2.0
 #: Tokens whose scores every task holds, and tokens of a bucket.
-FREQUENT, BUCKET = 65_536, 16_000_000
+FREQUENT, BUCKET = 65_536, 4_000_000
 #: What sets kinds of hashed strings apart: a closed spelling, a piece of a long word, a whole long word.
 SALT = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 FIRST_BIT = np.array([8] + [8 - b.bit_length() for b in range(1, 256)], np.int32)
@@ -439,15 +439,16 @@ def score(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "text
         order = np.argsort(key)
         key, words, bits = key[order], left.column("words").to_numpy()[order], left.column("bits").to_numpy()[order]
         out = []
-        for r in right.to_pylist():
-            if r["sums"] is not None:  # what the slice knows itself
-                out.append((r["slice"], r["docs"], r["ids"], r["held"], r["sums"]))
+        for at in range(right.num_rows):  # row by row and without copies: a bucket's tokens lie in memory once
+            r = {name: right.column(name)[at] for name in right.column_names}
+            if r["sums"].is_valid:  # what the slice knows itself
+                out.append(tuple(r[name].as_py() for name in ("slice", "docs", "ids", "held", "sums")))
                 continue
-            at = np.searchsorted(key, np.frombuffer(r["hashes"], np.uint64))
-            own, back = np.unique(np.frombuffer(r["docs"], np.int64), return_inverse=True)
-            word, spelled = np.frombuffer(r["words"], "<u4").astype(np.int64), np.frombuffer(r["spelled"], "<u4")
-            sums = np.stack([np.bincount(back, x, minlength=len(own)) for x in (word * (words[at] > 0), word * np.log10(words[at] + 1), spelled * bits[at])])
-            out.append((r["slice"], own.tobytes(), None, None, sums.tobytes()))
+            place = np.searchsorted(key, np.frombuffer(r["hashes"].as_buffer(), np.uint64))
+            own, back = np.unique(np.frombuffer(r["docs"].as_buffer(), np.int64), return_inverse=True)
+            word, spelled = np.frombuffer(r["words"].as_buffer(), "<u4").astype(np.int64), np.frombuffer(r["spelled"].as_buffer(), "<u4")
+            sums = np.stack([np.bincount(back, x, minlength=len(own)) for x in (word * (words[place] > 0), word * np.log10(words[place] + 1), spelled * bits[place])])
+            out.append((r["slice"].as_py(), own.tobytes(), None, None, sums.tobytes()))
         kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary())
         return pa.table({f.split()[0]: pa.array(c, kind) for f, kind, c in zip(FOUND.split(", "), kinds, zip(*out) if out else [()] * 5)})
 
