@@ -87,3 +87,24 @@ def test_boosting_ends_early(spark):
     assert fitted.alphas == [1.0] and M.score(fitted, clean).where("y_pred <> label").isEmpty()
     chance = spark.createDataFrame([(1.0, 0.0), (1.0, 1.0)], "a double, label double").withColumn("features", array_to_vector(F.array("a")))
     assert AdaBoost(maxIter=3).fit(chance).alphas == [] and M.score(AdaBoost(maxIter=3).fit(chance), chance).count() == 2
+
+
+def test_short_paths_are_looked_up_and_long_ones_agree(monkeypatch):
+    """Rows are not sorted by what they meet of a short path: its patterns are listed once."""
+    rng = np.random.default_rng(3)
+    inner = np.arange(63)
+    cover = np.r_[np.zeros(63), rng.integers(1, 9, 64)]
+    for i in inner[::-1]:
+        cover[i] = cover[2 * i + 1] + cover[2 * i + 2]
+    feature, left = np.r_[rng.integers(0, 9, 63), np.full(64, -1)], np.r_[2 * inner + 1, np.full(64, -1)]
+    tree = T.Tree(feature, np.zeros(127), [None] * 127, left, left + 1, rng.normal(size=127), cover)
+    x = rng.normal(size=(500, 9))
+    monkeypatch.setattr(T, "SHORT", 1)
+    long = tree.contributions(x)
+    assert np.allclose(long.sum(1), tree.values(x) - tree.mean())
+    assert np.allclose(long[0], by_subsets([tree], [1.0], x[0], 9), atol=1e-9)
+    monkeypatch.setattr(T, "SHORT", 8)
+    monkeypatch.setattr(np, "unique", None)
+    kept = {}
+    assert np.allclose(tree.contributions(x[:200], kept), long[:200]) and len(kept) == 64
+    assert np.allclose(tree.contributions(x, kept), long)

@@ -2,14 +2,13 @@
 
 The contribution of a feature is its Shapley value when features that are left out are averaged over the
 training rows that reach each split. A leaf is reached along a path of a few features; for a row, each of them is met by
-the row or not, and each has a share of the training rows that meet it. The weights of all subsets of the other
-path features are the coefficients of a polynomial, so no subset is listed. Rows that meet the same features
+the row or not, and each has a share of the training rows that meet it. The sum over all subsets of the other
+path features is the integral of a polynomial, so no subset is listed. Rows that meet the same features
 of a path share the sum, and it is computed once.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,40 +57,63 @@ class Tree:
         leaf = self.feature < 0
         return float((self.value[leaf] * self.cover[leaf]).sum() / max(self.cover[0], 1e-300))
 
-    def contributions(self, x: np.ndarray) -> np.ndarray:
-        """Rows by features; a row's add up to its value less the mean."""
-        out = np.zeros(x.shape)
+    def contributions(self, x: np.ndarray, kept: dict | None = None) -> np.ndarray:
+        """Rows by features; a row's add up to its value less the mean.
+
+        ``kept`` holds what leaves with short paths give for all patterns of met features, for further calls.
+        """
+        x, out = np.asfortranarray(x), np.zeros(x.shape[::-1])
         todo = [(0, {})]  # path: by feature, which rows meet its splits and the share of training rows that do
         while todo:
             node, path = todo.pop()
             if self.feature[node] < 0:
                 if path:
-                    self._add_leaf(out, self.value[node], path)
+                    self._add_leaf(out, node, path, {} if kept is None else kept)
                 continue
             f, here = int(self.feature[node]), self.goes_left(node, x)
             for child, met in ((self.left[node], here), (self.right[node], ~here)):
                 share = self.cover[child] / self.cover[node] if self.cover[node] else 0.0
                 known, part = path.get(f, (True, 1.0))
                 todo.append((child, {**path, f: (met & known, share * part)}))
-        return out
+        return out.T
 
-    @staticmethod
-    def _add_leaf(out: np.ndarray, value: float, path: dict) -> None:
+    def _add_leaf(self, out: np.ndarray, node: int, path: dict, kept: dict) -> None:
         features, m = list(path), len(path)
-        met = np.stack([path[f][0] for f in features], axis=1)
         shares = np.array([path[f][1] for f in features])
-        patterns, back = np.unique(met, axis=0, return_inverse=True)
-        weight = np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)])
-        sums = np.zeros((len(patterns), m))
-        for i in range(m):
-            poly = np.zeros((len(patterns), m))  # by the number of features taken from the row
-            poly[:, 0] = 1.0
-            for j in range(m):
-                if j != i:
-                    poly[:, 1:] = poly[:, 1:] * shares[j] + poly[:, :-1] * patterns[:, j, None]
-                    poly[:, 0] *= shares[j]
-            sums[:, i] = (patterns[:, i] - shares[i]) * (poly @ weight)
-        out[:, features] += value * sums[back.ravel()]
+        code = np.zeros(out.shape[1], np.uint16 if m <= SHORT else np.int64)  # the features that a row meets, one bit each
+        for i, f in enumerate(features):
+            code |= path[f][0].astype(code.dtype) << code.dtype.type(i)
+        if m <= SHORT:
+            if (sums := kept.get(node)) is None:
+                sums = self.value[node] * pattern_sums(np.arange(1 << m), shares).T
+                if len(kept) < KEPT:
+                    kept[node] = sums
+        else:
+            seen, code = np.unique(code, return_inverse=True)
+            sums = self.value[node] * pattern_sums(seen, shares).T
+        for f, own in zip(features, sums):
+            out[f] += own[code]
+
+
+#: Features of a path up to which all their patterns are listed, and leaves of a tree whose lists stay in memory (16 KB each at most).
+SHORT, KEPT = 8, 1_024
+
+
+def pattern_sums(codes: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Patterns of met features (one bit each) by features: what each adds to the value of a leaf of value 1.
+
+    A subset of k of the m - 1 other features weighs k! (m - 1 - k)! / m!, the integral of t^k (1 - t)^(m - 1 - k). So the sum over
+    all subsets is the integral of a product with one factor a feature, a polynomial for which Gauss' rule is exact.
+    """
+    m = len(shares)
+    at, weight = np.polynomial.legendre.leggauss((m + 1) // 2)
+    t = (at + 1) / 2
+    patterns = (codes[:, None] >> np.arange(m) & 1).astype(float)
+    factors = shares[:, None, None] * (1 - t) + patterns.T[:, :, None] * t
+    before, after = np.ones_like(factors), np.ones_like(factors)
+    before[1:] = np.cumprod(factors[:-1], axis=0)
+    after[:-1] = np.cumprod(factors[:0:-1], axis=0)[::-1]
+    return (patterns - shares) * ((before * after) @ (weight / 2)).T
 
 
 def tree_of_nodes(rows: list, regression: bool) -> Tree:
@@ -161,11 +183,12 @@ def tree_contributions(fitted: Model, df: DataFrame, names: list[str], limit: in
 
     @F.pandas_udf("array<double>")
     def explained(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept: list[dict] = [{} for _ in sent.value[0]]
         for x in batches:
             m = np.array(x.tolist(), float).reshape(len(x), -1)
             total = np.zeros(m.shape)
-            for tree, weight in zip(*sent.value):
-                total += weight * tree.contributions(m)
+            for tree, weight, held in zip(*sent.value, kept):
+                total += weight * tree.contributions(m, held)
             yield pd.Series(total.tolist())
 
     rows = df.withColumn("contributions", explained(vector_to_array(column))).withColumn("base_value", F.lit(base))
