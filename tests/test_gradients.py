@@ -75,3 +75,20 @@ def test_kernel_machines(spark):
     assert got == {0: -1, 1: -1, 2: 1}
     inside = K.one_class(df, df, nu=0.1, gamma=0.5, steps=5).where("anomaly = -1").count()
     assert 36 <= inside <= 40
+
+
+def test_steps_read_blocks_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(3_000, 12)), rng.integers(0, 2, 3_000).astype(float)
+    written = []
+    keep = G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, name: written.append(keep(df, name)) or written[-1])
+    flat, losses = G.train(table(spark, x, y), NETS[1], label="label", steps=2, rate=0.05, seed=1)
+    assert losses[0] == pytest.approx(NETS[1].loss(NETS[1].start(1), x, y)[0] / 3_000)
+    sizes = [r["n"] for r in written[0].collect()]
+    assert sum(sizes) == 3_000 and len(sizes) <= 2 * spark.sparkContext.defaultParallelism and max(sizes) <= G.BLOCK
+
+
+def test_cosines_are_exact():
+    z = np.r_[np.random.default_rng(1).normal(0, 30, 100_000), np.arange(-8, 9) * np.pi / 4]
+    assert np.abs(K.cosines(z / (2 * np.pi)) - np.cos(z)).max() < 1e-13
