@@ -32,3 +32,17 @@ def test_blend_reads_even_parts_of_a_class(spark, monkeypatch):
     assert "hashpartitioning(label" not in marked[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in marked[0]._jdf.queryExecution().optimizedPlan().toString()
     assert marked[0].exceptAll(marked[1]).isEmpty() and marked[0].where("picked").count() == 800
+
+
+def test_connection_rows_are_written_once(tables, monkeypatch):
+    """Whole rows are made and written by the split alone; the errors of a reconstruction are written without them."""
+    from tidewatch import runtime
+    from tidewatch.plans import learn as plans
+
+    names, keep = [], runtime.materialize
+    monkeypatch.setattr(runtime, "materialize", lambda df, name: names.append((name, df.columns)) or keep(df, name))
+    monkeypatch.setattr(learn, "materialize", runtime.materialize)
+    train, test = learn.split_tables(plans.connection_training(tables), ["flow_no", "flow_line"])
+    assert [n for n, _ in names] == ["split"] and train.count() + test.count() == tables.lineitem.count()
+    found = learn.reconstruction(train, test, components=8)
+    assert names[1:] == [("errors", ["error"])] and found.count() == test.count()
