@@ -46,3 +46,15 @@ def test_connection_rows_are_written_once(tables, monkeypatch):
     assert [n for n, _ in names] == ["split"] and train.count() + test.count() == tables.lineitem.count()
     found = learn.reconstruction(train, test, components=8)
     assert names[1:] == [("errors", ["error"])] and found.count() == test.count()
+
+
+def test_permuted_rows_of_a_linear_model_are_not_copied(tables, monkeypatch):
+    from tidewatch.plans import learn as plans
+
+    fitted, _, test = plans.trained(tables)
+    fast = learn.permutation_importance(fitted, test, plans.FEATURES, ["row_id"])
+    assert "explode" not in fast._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(learn, "LogisticRegressionModel", learn.RandomForestClassifier)  # any other model
+    plain = {r["feature"]: r["importance"] for r in learn.permutation_importance(fitted, test, plans.FEATURES, ["row_id"]).collect()}
+    got = {r["feature"]: r["importance"] for r in fast.collect()}
+    assert got.keys() == plain.keys() and all(abs(got[k] - plain[k]) < 1e-12 for k in got)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
+    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, LogisticRegressionModel,
     MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
@@ -21,7 +22,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import boosting, evals, kernels, sampling  # noqa: F401  (boosting and kernels register families)
+from tidewatch.operators import boosting, evals, gradients, kernels, sampling  # noqa: F401  (boosting and kernels register families)
 from tidewatch.operators.scans import order_statistics
 from tidewatch.operators.scorers import make_model, model
 from tidewatch.runtime import BLOCK_ROWS, dealt, materialize, spread
@@ -317,15 +318,38 @@ def permutation_importance(fitted: Model, df: DataFrame, names: list[str], ids:
     ranked = df.withColumn("_b", bucket).withColumn("_x", x).withColumn("_other", F.lead("_x").over(order))
     first = F.first("_x").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     shuffled = materialize(ranked.withColumn("_other", F.coalesce("_other", first)).drop(FEATURES, "_b"), "permuted")
-    variants = F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1)))
-    swapped = F.transform("_x", lambda v, i: F.when(i == F.col("variant"), F.get("_other", i)).otherwise(v))
-    long = shuffled.withColumn("variant", variants).withColumn(FEATURES, array_to_vector(swapped))
-    hits = score(fitted, long).groupBy("variant").agg(F.avg((F.col("y_pred") == F.col(LABEL)).cast("double")).alias("accuracy"))
+    if isinstance(fitted, LogisticRegressionModel) and fitted.numClasses == 2:
+        hits = _linear_hits(fitted, shuffled, len(names))
+    else:
+        variants = F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1)))
+        swapped = F.transform("_x", lambda v, i: F.when(i == F.col("variant"), F.get("_other", i)).otherwise(v))
+        long = shuffled.withColumn("variant", variants).withColumn(FEATURES, array_to_vector(swapped))
+        hits = score(fitted, long).groupBy("variant").agg(F.avg((F.col("y_pred") == F.col(LABEL)).cast("double")).alias("accuracy"))
     base = hits.where("variant = -1").select("accuracy").scalar()
     name = F.get(F.array(*[F.lit(n) for n in names]), F.col("variant"))
     return hits.where("variant >= 0").select(name.alias("feature"), (base - F.col("accuracy")).alias("importance"))
 
 
+def _linear_hits(fitted: LogisticRegressionModel, shuffled: DataFrame, width: int) -> DataFrame:
+    """Accuracy by variant: a value from another row moves the margin by its weight times the difference, so no row is copied."""
+    weights, intercept = fitted.coefficients.toArray(), fitted.intercept
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, right = 0, np.zeros(width + 1, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x, other = gradients.matrix(batch.column(0)), gradients.matrix(batch.column(1))
+                margin = x @ weights + intercept
+                moved = np.c_[margin, margin[:, None] + (other - x) * weights]
+                n, right = n + len(x), right + ((moved > 0) == (batch.column(2).to_numpy(zero_copy_only=False) == 1)[:, None]).sum(0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, width), pa.int32()), pa.array(right, pa.int64()), pa.array([n] * (width + 1), pa.int64())], names=["variant", "hits", "n"])
+
+    known = shuffled.where(F.col(LABEL).isNotNull()).select("_x", "_other", LABEL)
+    found = known.mapInArrow(count, "variant int, hits long, n long")
+    return found.groupBy("variant").agg((F.sum("hits") / F.sum("n")).alias("accuracy"))
+
+
 # --- text and reconstruction -------------------------------------------------------------------------
 
 
