@@ -9,7 +9,6 @@ from tidewatch.operators import anomaly as A
 from tidewatch.operators import evals as E
 from tidewatch.operators import flows as O
 from tidewatch.operators import gradients as G
-from tidewatch.operators import incstats as I
 from tidewatch.operators import kernels as K
 from tidewatch.operators import labels as L
 from tidewatch.operators import learn as M
@@ -238,16 +237,9 @@ def kernel_machine_scores(t):
     return M.score(fitted, test).select("row_id", "label", "score", "y_pred")
 
 
-#: Packets that the registered queries map and train on, the same at every table size; the operator's own are 5,000 and 50,000.
-MAP_ROWS, TRAIN_ROWS = 100, 400
-
-
 @query("encoder_ensemble_scores", "M31 M32 M33 M34")
 def encoder_ensemble_scores(t):
-    vectors = I.packet_vectors(t.packets)
-    rows = materialize(vectors, "vectors")
-    model = A.EncoderEnsemble.fit(rows, "pkt_no", "vector", MAP_ROWS, TRAIN_ROWS)
-    return model.score(rows, "vector", "pkt_no", MAP_ROWS + TRAIN_ROWS).select("pkt_no", "rmse", "label", "probability", "is_training")
+    return A.ensemble_scores(t.packets).select("pkt_no", "rmse", "label", "probability", "is_training")
 
 
 @query("error_threshold_labels", "M33 M34", with_views("traffic", ", q AS (SELECT quantile_cont(processing_time_ms, 0.99) AS c FROM traffic) SELECT id, CASE WHEN processing_time_ms > c THEN -1 ELSE 1 END AS label, round(least(1e0, processing_time_ms/(c*2)), 6) AS probability FROM traffic, q"))

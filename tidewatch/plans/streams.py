@@ -12,7 +12,7 @@ from tidewatch.operators import learn as M
 from tidewatch.operators.incstats import CHANNELS
 from tidewatch.plans.flows import (
     _FLOW_COLS, _FLOWS, _GREEDY, _MAXS, _REPORTS, _RS, _RUN, _RUN_COLS, _SCOLS, ORDER, flow_contacts, rounded)
-from tidewatch.plans.learn import IDS, MAP_ROWS, TRAIN_ROWS, sample_model, training_rows
+from tidewatch.plans.learn import IDS, sample_model, training_rows
 from tidewatch.plans.oracle_views import with_views
 from tidewatch.plans.registry import Tables, query
 from tidewatch.plans.traffic import sql_ts, text_ts
@@ -94,7 +94,7 @@ def streamed_scores(t):
 
 @query("streamed_packet_scores", "ST8 M32 M33 M34")
 def streamed_packet_scores(t):
-    return snapshots.stream_ensemble(live(t).packets, MAP_ROWS, TRAIN_ROWS)
+    return snapshots.stream_ensemble(live(t).packets)
 
 
 @query("streamed_sample_scores", "ST8 M35")
