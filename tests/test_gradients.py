@@ -92,3 +92,26 @@ def test_steps_read_blocks_of_rows(spark, monkeypatch):
 def test_cosines_are_exact():
     z = np.r_[np.random.default_rng(1).normal(0, 30, 100_000), np.arange(-8, 9) * np.pi / 4]
     assert np.abs(K.cosines(z / (2 * np.pi)) - np.cos(z)).max() < 1e-13
+
+
+def test_written_blocks_lie_in_small_parts(spark, monkeypatch):
+    """A reader takes thousands of blocks at once, so no part may hold more than fits into memory."""
+    from pyspark.sql import functions as F
+
+    written, keep = [], G.materialize
+    monkeypatch.setattr(G, "PART", 20_000, raising=False)
+    monkeypatch.setattr(G, "materialize", lambda df, name: written.append(keep(df, name)) or written[-1])
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(3_000, 12)), rng.integers(0, 2, 3_000).astype(float)
+    losses = G.train(table(spark, x, y), NETS[1], label="label", steps=2, rate=0.05, seed=1)[1]
+    assert losses[0] == pytest.approx(NETS[1].loss(NETS[1].start(1), x, y)[0] / 3_000)
+    held = [r["b"] for r in written[0].groupBy(F.input_file_name()).agg(F.sum(F.length("x") + F.length("y")).alias("b")).collect()]
+    assert sum(held) == 3_000 * 13 * 8 and max(held) < 2 * 20_000
+
+
+def test_errors_of_an_encoder_are_written_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df, names, keep = table(spark, rng.normal(size=(200, 3)), np.zeros(200)), [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, name: names.append((name, df.columns)) or keep(df, name))
+    G.encoder_errors(df, df, hidden=(2,), steps=2)
+    assert names[1:] == [("errors", ["error"])]
