@@ -29,3 +29,15 @@ def test_scores_write_only_the_training_range(tables, monkeypatch):
     for r in want:
         assert (got[r.pkt_no].is_training, got[r.pkt_no].label) == (r.is_training, r.label)
         assert got[r.pkt_no].rmse == pytest.approx(r.rmse, rel=1e-6, abs=1e-12)
+
+
+def test_a_scored_stream_writes_no_vectors_beyond_the_range(spark, tables, tmp_path):
+    """The vectors of later packets are scored as they come."""
+    from tidewatch.sources.streams import file_stream
+    from tidewatch.streaming import snapshots
+
+    source, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    tables.packets.coalesce(1).write.parquet(source)
+    assert snapshots.stream_ensemble(file_stream(spark, source, tables.packets.schema), 100, 200, folder=folder).count() == 1_000
+    held = [f.parent for f in (tmp_path / "state").rglob("*.parquet") if "vector" in spark.read.parquet(str(f)).columns]
+    assert sum(spark.read.parquet(str(f)).count() for f in set(held)) == 300

@@ -95,31 +95,28 @@ def stream_ensemble(packets: DataFrame, map_rows: int = 5_000, train_rows: int =
     trained_until = map_rows + train_rows
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = I.channel_rows(batch)
         before = sums.read(spark, number - 1) if number else None
-        # written once: the vectors and the next state are both made of these rows
-        I.damped_step(rows, I.statistic_sums(), before=before).write.mode("overwrite").parquet(path := f"{folder}/faded/batch={number}")
-        faded = spark.read.parquet(path)
-        I.vectors_of(I.statistics_of(faded, rows.columns, len(I.RATES))).write.mode("overwrite").parquet(path := f"{folder}/vectors/batch={number}")
-        vectors = spark.read.parquet(path)
-        sums.write(I.state_after(faded, I.statistic_sums(), before=before), number)
-        Versions(f"{folder}/faded", "batch").forget(spark, number)
+        vectors, after = I.vector_step(batch, before=before)
+        sums.write(after, number)
         seen, model_at = phases.read(spark, number - 1).first() if number else (0, -1)
         if model_at < 0:
-            vectors.where(F.col("pkt_no") < trained_until).write.mode("overwrite").parquet(f"{range_of}/batch={number}")
-        seen += vectors.count()
+            # vectors of the range depend on no later packet
+            early = I.vector_step(batch.where(F.col("pkt_no") < trained_until), before=before)[0]
+            early.write.mode("overwrite").parquet(f"{range_of}/batch={number}")
+        seen += batch.count()
         if model_at < 0 and seen >= trained_until:
             # versions of later batches cannot be there: a batch is repeated only while it is the newest
             known = spark.read.parquet(range_of).drop("batch")
             A.EncoderEnsemble.fit(known, "pkt_no", "vector", map_rows, train_rows, **settings).save(spark, models.path(number))
             model_at = number
         if model_at >= 0:
+            # vectors are scored as they come and never written
             scored = A.EncoderEnsemble.load(spark, models.path(model_at)).score(vectors, "vector", "pkt_no", trained_until).drop("vector")
         else:
-            scored = vectors.select("pkt_no", F.lit(0.0).alias("rmse"), F.lit(True).alias("is_training"), F.lit(1).alias("label"), F.lit(0.5).alias("probability"))
+            scored = A.in_training(batch.select("pkt_no"))
         scored.select("pkt_no", "rmse", "is_training", "label", "probability").write.mode("overwrite").parquet(f"{results}/batch={number}")
         phases.write(spark.createDataFrame([(seen, model_at)], "seen long, model_at long"), number)
-        for old in (sums, phases, Versions(f"{folder}/vectors", "batch")):
+        for old in (sums, phases):
             if number > 1:
                 old.forget(spark, number - 2)
 
