@@ -115,3 +115,43 @@ def test_errors_of_an_encoder_are_written_once(spark, monkeypatch):
     monkeypatch.setattr(G, "materialize", lambda df, name: names.append((name, df.columns)) or keep(df, name))
     G.encoder_errors(df, df, hidden=(2,), steps=2)
     assert names[1:] == [("errors", ["error"])]
+
+
+def test_quasi_newton_steps_reach_the_lowest_point():
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(30, 12))
+    a, b = m.T @ m + 0.01 * np.eye(12), rng.normal(size=12)
+    passes = []
+
+    def valley(x):
+        passes.append(x)
+        return 0.5 * float(x @ a @ x) - float(b @ x), a @ x - b
+
+    assert np.allclose(G.minimised(valley, np.zeros(12), 200, 1e-12), np.linalg.solve(a, b), atol=1e-5) and len(passes) < 120
+    curve = G.minimised(lambda x: ((1 - x[0]) ** 2 + 100 * (x[1] - x[0] ** 2) ** 2, np.array(
+        [2 * (x[0] - 1) - 400 * x[0] * (x[1] - x[0] ** 2), 200 * (x[1] - x[0] ** 2)])), np.array([-1.2, 1.0]), 200, 1e-12)
+    assert np.allclose(curve, 1.0, atol=1e-3)
+
+
+def test_dense_network_is_sparks_and_steps_over_blocks(spark, monkeypatch):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    from tidewatch.operators import learn
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 3))
+    y = ((x[:, 0] * x[:, 1] > 0) + (x[:, 2] > 1)).astype(float)
+    net, df = G.Layers([3, 4, 5, 3]), table(spark, x, y)
+    flat = rng.normal(0, 0.5, sum(int(np.prod(s)) for s in net.shapes))
+    grad = net.loss(flat, x, y)[1]
+    for k in range(len(flat)):
+        move = np.zeros(len(flat))
+        move[k] = 1e-6
+        assert abs((net.loss(flat + move, x, y)[0] - net.loss(flat - move, x, y)[0]) / 2e-6 - grad[k]) < 1e-3
+    written, keep = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, name: written.append(keep(df, name)) or written[-1])
+    fitted = learn.dense_network(3, (8,), 3, 60).fit(df)
+    own = MultilayerPerceptronClassifier(layers=[3, 8, 3], maxIter=60, seed=42).fit(df)
+    cost = [G.Layers([3, 8, 3]).loss(m.weights.toArray(), x, y)[0] / 400 for m in (fitted, own)]
+    assert len(written) == 1 and set(written[0].columns) == {"n", "x", "y"} and cost[0] < 1.2 * cost[1] + 0.02
+    assert fitted.transform(df).where("prediction = label").count() > 0.9 * 400
