@@ -133,6 +133,20 @@ def test_quasi_newton_steps_reach_the_lowest_point():
     assert np.allclose(curve, 1.0, atol=1e-3)
 
 
+def test_kernel_machine_writes_no_kernel_features(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    written, keep = [], G.materialize
+    for m in (G, K):
+        monkeypatch.setattr(m, "materialize", lambda df, name: written.append(keep(df, name)) or written[-1], raising=False)
+    x = rng.normal(size=(300, 2))
+    fitted = K.KernelSVC(maxIter=30).fit(table(spark, x, ((x ** 2).sum(1) > 1.4).astype(float)))
+    assert sum(r["b"] for w in written for r in w.select(K.F.length("x").alias("b")).collect()) == 300 * 2 * 8
+    # the plane is near the lowest value of the penalised hinge loss: a random step raises it
+    flat, net, y = fitted.flat, fitted.net, ((x ** 2).sum(1) > 1.4).astype(float)
+    cost = lambda f: net.loss(f, x, y)[0] / 300 + 0.0005 * float(f[:-1] @ f[:-1])
+    assert cost(flat) < 0.3 * cost(0 * flat) and all(cost(flat + rng.normal(0, 0.5, len(flat))) > cost(flat) for _ in range(20))
+
+
 def test_dense_network_is_sparks_and_steps_over_blocks(spark, monkeypatch):
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 

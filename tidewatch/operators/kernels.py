@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasRegParam, HasSeed
 from pyspark.ml.stat import Summarizer
@@ -19,7 +16,6 @@ from pyspark.sql import functions as F
 from tidewatch.operators import gradients
 from tidewatch.operators.scans import order_statistics
 from tidewatch.operators.scorers import model
-from tidewatch.runtime import materialize
 
 
 #: Rows mapped at once, so that what is computed step by step stays near the core.
@@ -56,14 +52,6 @@ class Fourier:
             np.multiply(cosines(z), np.sqrt(2.0 / len(shift)), out=out[k:k + CHUNK])
         return out
 
-    def column(self, df: DataFrame, features: str, out: str) -> DataFrame:
-        @F.pandas_udf("array<double>")
-        def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for x in batches:
-                yield pd.Series(list(self(gradients.matrix(x))) if len(x) else [], dtype=object)
-
-        return df.withColumn(out, array_to_vector(mapped(vector_to_array(features))))
-
 
 def width_of(df: DataFrame, features: str) -> tuple[int, float]:
     """Number of inputs, and the kernel's usual ``gamma``: one by inputs times the variance of all values."""
@@ -73,14 +61,32 @@ def width_of(df: DataFrame, features: str) -> tuple[int, float]:
     return len(mean), 1.0 / (len(mean) * spread) if spread > 1e-12 else 1.0
 
 
+class Hinge(gradients.Net):
+    """A plane in the kernel's space and the hinge losses of rows that lie less than 1 on their side of it; ``y`` is 0 or 1."""
+
+    def __init__(self, fourier: Fourier) -> None:
+        self.fourier, self.shapes = fourier, [(len(fourier.shift), 1), (1,)]
+
+    def loss(self, flat, x, y):
+        mapped, side = self.fourier(x), 2.0 * y - 1.0
+        short = 1.0 - side * (mapped @ flat[:-1] + flat[-1])
+        pull = np.where(short > 0, -side, 0.0)
+        return float(np.maximum(short, 0.0).sum()), np.r_[pull @ mapped, pull.sum()]
+
+    def out(self, flat, x):
+        return self.fourier(x) @ flat[:-1] + flat[-1]
+
+
 class KernelSVCModel(Model, HasFeaturesCol):
-    def __init__(self, fourier: Fourier, linear: Model, features: str) -> None:
+    def __init__(self, net: Hinge, flat: np.ndarray, features: str) -> None:
         super().__init__()
-        self.fourier, self.linear = fourier, linear
+        self.net, self.flat = net, flat
         self._set(featuresCol=features)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return self.linear.transform(self.fourier.column(dataset, self.getFeaturesCol(), "_fourier")).drop("_fourier")
+        rows = gradients.outputs(dataset, self.net, self.flat, self.getFeaturesCol(), "_margin")
+        raw = array_to_vector(F.array(-F.col("_margin"), F.col("_margin")))
+        return rows.withColumns({"rawPrediction": raw, "prediction": (F.col("_margin") > 0).cast("double")}).drop("_margin")
 
 
 class KernelSVC(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter, HasRegParam, HasSeed):
@@ -98,9 +104,16 @@ class KernelSVC(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter, HasRegParam,
         features = self.getFeaturesCol()
         inputs, usual = width_of(dataset, features)
         fourier = Fourier(inputs, self.getOrDefault(self.gamma) or usual, self.getOrDefault(self.width), self.getSeed())
-        rows = materialize(fourier.column(dataset, features, "_fourier").select("_fourier", self.getLabelCol()), "fourier")
-        learner = LinearSVC(featuresCol="_fourier", labelCol=self.getLabelCol(), regParam=self.getRegParam(), maxIter=self.getMaxIter(), standardization=False)
-        return KernelSVCModel(fourier, learner.fit(rows), features)
+        net, penalty = Hinge(fourier), self.getRegParam()
+        # the features of the kernel are made anew in every pass: written, they would take eight times the rows' disk
+        rows = gradients.packed(dataset, features, F.col(self.getLabelCol()).cast("double"))
+
+        def objective(flat: np.ndarray) -> tuple[float, np.ndarray]:
+            n, total, grad = gradients.gradient(rows, net, flat)
+            w = np.r_[flat[:-1], 0.0]
+            return total / n + 0.5 * penalty * float(w @ w), grad / n + penalty * w
+
+        return KernelSVCModel(net, gradients.minimised(objective, np.zeros(len(fourier.shift) + 1), self.getMaxIter()), features)
 
 
 @model("kernel_svc")
